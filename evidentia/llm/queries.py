@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language_id, license_scan, sharding
+from . import language_id, license_scan, packing, sharding
 
 #: The shards of the production layout.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -23,6 +25,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, SHARDS).select("doc_id", "slot", "shard")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -38,6 +45,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
     "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
     "op9_exact_dedup": op9_exact_dedup,
