@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import exact_dedup as dedup
 from . import language_id, license_scan, packing, sharding
 
@@ -39,6 +40,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), ranks))
+    decoded = bpe.decode(encoded, ranks)
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
+    "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
