@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import exact_dedup as dedup
-from . import language_id, license_scan, packing, sharding
+from . import kneser_ney, language_id, license_scan, packing, sharding
 
 #: The shards of the production layout.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -31,6 +31,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return kneser_ney.score_corpus(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -54,6 +59,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
