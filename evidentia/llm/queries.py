@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import exact_dedup as dedup
-from . import kneser_ney, language_id, license_scan, packing, sharding
+from . import kneser_ney, language_id, license_scan, ngram_join, packing, sharding
 
 #: The shards of the production layout.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -56,6 +56,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, set_id, class_id, n_links) of every document, for links of 0.8 or more between word 5-grams."""
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {"op9_exact_dedup": dedup.EXACT_DEDUP_SQL}
