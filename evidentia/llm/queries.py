@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import exact_dedup as dedup
-from . import kneser_ney, language_id, license_scan, ngram_join, packing, sharding
+from . import graph_search, kneser_ney, language_id, license_scan, ngram_join, packing, sharding, warc
 
 #: The shards of the production layout.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return graph_search.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, slot, shard) of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -40,6 +45,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive(_table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "refers_to")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -62,14 +72,26 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_graph_search": op1_graph_search,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_license_scan": op5_license_scan,
+    "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLES: dict[str, str] = {"op9_exact_dedup": dedup.EXACT_DEDUP_SQL}
+#: pages of equal text differ in no byte, so that text stands for the payload here.
+WARC_SQL = """
+with t as (select page_id, coalesce(html, '') as html from pages),
+k as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as first_id from t)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> first_id then first_id end as refers_to
+from k
+"""
+
+ORACLES: dict[str, str] = {"op6_warc": WARC_SQL, "op9_exact_dedup": dedup.EXACT_DEDUP_SQL}
