@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .codec import pack, steps, unpack
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 24 << 20
+CHUNK = 14 << 20
 #: Words kept by a task that encodes; beyond it, a word of a later chunk is encoded again.
 KNOWN = 1_000_000
 
@@ -42,20 +43,6 @@ def _encoder(path: str):  # noqa: ANN202
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    raw = np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays)
-    return zstandard.compress(raw, 1)
-
-
-def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
-    sizes, at, out = np.frombuffer(raw, "<u4", n), 4 * n, []
-    for size in sizes.tolist():
-        out.append(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size).T.copy().view("<u4").reshape(-1))
-        at += 4 * size
-    return out
-
-
 #: kind 0: the words of a chunk for one bucket (n: sorted slots; data: lengths and bytes). kind 1: the slots of texts by position.
 ROWS = "kind int, chunk long, bucket int, at binary, data binary"
 _ROWS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("at", pa.binary()), ("data", pa.binary())])
@@ -91,18 +78,25 @@ class _Chunk:
         self.docs.append(docs)
         self.size += len(data)
 
-    def rows(self, chunk: int, buckets: int) -> Iterator[tuple]:
-        yield 1, chunk, chunk % buckets, _pack(np.concatenate(self.counts)), _pack(np.concatenate(self.codes)), np.concatenate(self.docs)
+    def rows(self, chunk: int, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+        codes = np.concatenate(self.codes)
+        self.codes.clear()
+        # frequent words get small slots, whose codes take few bits
+        order = np.argsort(-np.bincount(codes, minlength=len(self.words)), kind="stable")
+        slot = np.empty(len(order), np.uint32)
+        slot[order] = np.arange(len(order), dtype=np.uint32)
+        yield 1, chunk % buckets, pack(np.concatenate(self.counts).astype(np.uint32), *np.concatenate(self.docs).T.copy()), pack(slot[codes])
+        del codes
         if not self.words:
             return
-        bucket = (np.concatenate(self.hashes) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        bucket = (np.concatenate(self.hashes) % np.uint64(buckets)).astype(np.int64)[order]
+        by_bucket = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         for b in range(buckets):
-            own = order[cuts[b] : cuts[b + 1]]
+            own = by_bucket[cuts[b] : cuts[b + 1]]
             if len(own):
-                words = [self.words[k] for k in own.tolist()]
-                yield 0, chunk, b, _pack(np.diff(own, prepend=0), np.fromiter(map(len, words), np.int64, len(words))), zstandard.compress(b"".join(words), 3), None
+                words = [self.words[k] for k in order[own].tolist()]
+                yield 0, b, pack(steps(own.astype(np.uint32)), np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress(b"".join(words), 3)
 
 
 def explode(docs: DataFrame, buckets: int, chunk: int = CHUNK) -> DataFrame:
@@ -112,9 +106,8 @@ def explode(docs: DataFrame, buckets: int, chunk: int = CHUNK) -> DataFrame:
         part, made, open_ = TaskContext.get().partitionId() << 24, 0, _Chunk()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, at, bucket, a, b, ids in open_.rows(part + made, buckets):
-                a = a if ids is None else len(a).to_bytes(4, "little") + a + zstandard.compress(ids.tobytes(), 1)
-                yield pa.RecordBatch.from_pydict({"kind": [kind], "chunk": [at], "bucket": [bucket], "at": [a], "data": [b]}, schema=_ROWS)
+            for kind, bucket, a, b in open_.rows(part + made, buckets):
+                yield pa.RecordBatch.from_pydict({"kind": [kind], "chunk": [part + made], "bucket": [bucket], "at": [a], "data": [b]}, schema=_ROWS)
 
         for batch in batches:
             data, offsets = K.column_bytes(batch.column("text"))
@@ -145,7 +138,7 @@ def encode_words(rows: DataFrame, ranks: str) -> DataFrame:
                 if row["kind"] == 0:
                     if len(known) > KNOWN:
                         known.clear()
-                    steps, lens = _unpack(row["at"], 2)
+                    slots, lens = unpack(row["at"], 2)
                     raw, at, out = zstandard.decompress(row["data"]), 0, []
                     for size in lens.tolist():
                         word = raw[at : at + size]
@@ -154,8 +147,8 @@ def encode_words(rows: DataFrame, ranks: str) -> DataFrame:
                         if ids is None:
                             ids = known[word] = encode(word.decode())
                         out.append(ids)
-                    row["at"] = _pack(steps, np.fromiter(map(len, out), np.int64, len(out)))
-                    row["data"] = _pack(np.fromiter((x for ids in out for x in ids), np.int64))
+                    row["at"] = pack(slots, np.fromiter(map(len, out), np.uint32, len(out)))
+                    row["data"] = pack(np.fromiter((x for ids in out for x in ids), np.uint32))
                 yield pa.RecordBatch.from_pylist([row], schema=_ROWS)
 
     return rows.mapInArrow(apply, ROWS)
@@ -165,9 +158,9 @@ def _texts(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     """Of some texts of a chunk at a time: doc ids, null flags, all their token ids, and where each text's begin."""
     slots, lens, ids = [], [], []
     for row in group[group["kind"] == 0].itertuples():
-        steps, n = _unpack(row.at, 2)
-        (own,) = _unpack(row.data, 1)
-        slots.append(np.cumsum(steps.astype(np.int64)))
+        gaps, n = unpack(row.at, 2)
+        (own,) = unpack(row.data, 1)
+        slots.append(np.cumsum(gaps.astype(np.int64)))
         lens.append(n.astype(np.int64))
         ids.append(own)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
@@ -176,16 +169,14 @@ def _texts(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     begin[slot] = np.cumsum(size) - size
     count[slot] = size
     for row in group[group["kind"] == 1].itertuples():
-        cut = 4 + int.from_bytes(row.at[:4], "little")
-        (per_text,) = _unpack(row.at[4:cut], 1)
-        docs = np.frombuffer(zstandard.decompress(row.at[cut:]), np.int64).reshape(-1, 2)
-        (codes,) = _unpack(row.data, 1)
+        per_text, docs, null = unpack(row.at, 3)
+        (codes,) = unpack(row.data, 1)
         edges = np.concatenate([[0], np.cumsum(per_text.astype(np.int64))])
         for i in range(0, len(docs), 256):  # some texts at a time
             j = min(i + 256, len(docs))
             own = codes[edges[i] : edges[j]]
             tokens = np.concatenate([[0], np.cumsum(count[own])])
-            yield docs[i:j, 0], docs[i:j, 1], flat[K.ragged(begin[own], count[own])], tokens[edges[i : j + 1] - edges[i]]
+            yield docs[i:j].view(np.int64), null[i:j], flat[K.ragged(begin[own], count[own])], tokens[edges[i : j + 1] - edges[i]]
 
 
 def assemble(rows: DataFrame) -> DataFrame:
