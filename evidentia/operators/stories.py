@@ -45,8 +45,8 @@ def source_items(items: DataFrame, most: int = 12, dependencies: int = 1) -> Dat
     """(q, path, line_start, line_end, place) of items (q, ord, path, line_start, line_end): first of each range, dependencies
     last and at most so many."""
     first = items.groupBy("q", "path", "line_start", "line_end").agg(F.min("ord").alias("ord")).withColumn("dep", F.col("path").startswith("__dependencies__/"))
-    kept = first.withColumn("_k", F.row_number().over(Window.partitionBy("q", "dep").orderBy("ord"))).filter(~F.col("dep") | (F.col("_k") <= dependencies))
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("dep", "ord"))).filter(F.col("place") <= most).select("q", "path", "line_start", "line_end", "place")
+    kept = first.withColumn("_k", F.row_number().over(Window.partitionBy("q", "dep").orderBy("ord", "path", "line_start"))).filter(~F.col("dep") | (F.col("_k") <= dependencies))
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("dep", "ord", "path", "line_start"))).filter(F.col("place") <= most).select("q", "path", "line_start", "line_end", "place")
 
 
 def freshness(fingerprints: DataFrame, current: DataFrame) -> DataFrame:
