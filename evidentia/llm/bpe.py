@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding of whole corpora: each distinct word is encoded once.
 
 Texts are exploded into pre-tokens with their positions. Stretches of texts (chunks) reduce their pre-tokens to
-distinct words before anything moves; the words of all chunks are shuffled by word, encoded once each, sent back
-to their chunks and put together by position. A word costs one entry for each chunk that holds it, however frequent
+distinct words before anything moves: the positions stay behind, as a file of the chunk in the shared folder. The words of
+all chunks are shuffled by word, encoded once each, sent back to their chunks and put together by position. A word costs one entry for each chunk that holds it, however frequent
 it is, so that no key is hot.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .codec import pack, steps, unpack
+from .scratch import local_path, shared_dir
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 14 << 20
+CHUNK = 8 << 20
 #: Words kept by a task that encodes; beyond it, a word of a later chunk is encoded again.
 KNOWN = 1_000_000
 
@@ -43,7 +45,7 @@ def _encoder(path: str):  # noqa: ANN202
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-#: kind 0: the words of a chunk for one bucket (n: sorted slots; data: lengths and bytes). kind 1: the slots of texts by position.
+#: kind 0: the words of a chunk for one bucket (at: slots and lengths; data: bytes), later its ids. kind 1: that there is a chunk.
 ROWS = "kind int, chunk long, bucket int, at binary, data binary"
 _ROWS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("at", pa.binary()), ("data", pa.binary())])
 
@@ -78,15 +80,18 @@ class _Chunk:
         self.docs.append(docs)
         self.size += len(data)
 
-    def rows(self, chunk: int, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    def positions(self) -> tuple[bytes, np.ndarray]:
+        """The chunk's file: ids and lengths of its documents and the slots of their pre-tokens; and the words in the order
+        of slots. Frequent words get small slots, whose codes take few bits."""
         codes = np.concatenate(self.codes)
         self.codes.clear()
-        # frequent words get small slots, whose codes take few bits
         order = np.argsort(-np.bincount(codes, minlength=len(self.words)), kind="stable")
         slot = np.empty(len(order), np.uint32)
         slot[order] = np.arange(len(order), dtype=np.uint32)
-        yield 1, chunk % buckets, pack(np.concatenate(self.counts).astype(np.uint32), *np.concatenate(self.docs).T.copy()), pack(slot[codes])
-        del codes
+        return pack(np.concatenate(self.counts).astype(np.uint32), *np.concatenate(self.docs).T.copy(), slot[codes]), order
+
+    def rows(self, order: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes | None, bytes | None]]:
+        yield 1, 0, None, None
         if not self.words:
             return
         bucket = (np.concatenate(self.hashes) % np.uint64(buckets)).astype(np.int64)[order]
@@ -99,15 +104,22 @@ class _Chunk:
                 yield 0, b, pack(steps(own.astype(np.uint32)), np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress(b"".join(words), 3)
 
 
-def explode(docs: DataFrame, buckets: int, chunk: int = CHUNK) -> DataFrame:
-    """Rows of ROWS, and with a chunk's positions the ids of its documents (null ids by a mask)."""
+def explode(docs: DataFrame, buckets: int, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """Rows of ROWS, and a file of positions for each chunk. A chunk's number comes from its partition, so that a task that runs
+    again over the same rows makes the same chunks and replaces their files by equal ones."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, open_ = TaskContext.get().partitionId() << 24, 0, _Chunk()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, bucket, a, b in open_.rows(part + made, buckets):
-                yield pa.RecordBatch.from_pydict({"kind": [kind], "chunk": [part + made], "bucket": [bucket], "at": [a], "data": [b]}, schema=_ROWS)
+            number = part + made
+            blob, order = open_.positions()
+            temp = f"{folder}/{number}.{TaskContext.get().taskAttemptId()}.part"
+            with open(temp, "wb") as f:
+                f.write(blob)
+            os.replace(temp, f"{folder}/{number}")
+            for kind, bucket, a, b in open_.rows(order, buckets):
+                yield pa.RecordBatch.from_pydict({"kind": [kind], "chunk": [number], "bucket": [bucket if kind == 0 else number % buckets], "at": [a], "data": [b]}, schema=_ROWS)
 
         for batch in batches:
             data, offsets = K.column_bytes(batch.column("text"))
@@ -154,7 +166,7 @@ def encode_words(rows: DataFrame, ranks: str) -> DataFrame:
     return rows.mapInArrow(apply, ROWS)
 
 
-def _texts(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _texts(group: pd.DataFrame, folder: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of some texts of a chunk at a time: doc ids, null flags, all their token ids, and where each text's begin."""
     slots, lens, ids = [], [], []
     for row in group[group["kind"] == 0].itertuples():
@@ -168,23 +180,22 @@ def _texts(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     begin, count = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
     begin[slot] = np.cumsum(size) - size
     count[slot] = size
-    for row in group[group["kind"] == 1].itertuples():
-        per_text, docs, null = unpack(row.at, 3)
-        (codes,) = unpack(row.data, 1)
-        edges = np.concatenate([[0], np.cumsum(per_text.astype(np.int64))])
-        for i in range(0, len(docs), 256):  # some texts at a time
-            j = min(i + 256, len(docs))
-            own = codes[edges[i] : edges[j]]
-            tokens = np.concatenate([[0], np.cumsum(count[own])])
-            yield docs[i:j].view(np.int64), null[i:j], flat[K.ragged(begin[own], count[own])], tokens[edges[i : j + 1] - edges[i]]
-
-
-def assemble(rows: DataFrame) -> DataFrame:
+    with open(f"{folder}/{group['chunk'].iloc[0]}", "rb") as f:
+        per_text, docs, null, codes = unpack(f.read(), 4)
+    edges = np.concatenate([[0], np.cumsum(per_text.astype(np.int64))])
+    for i in range(0, len(docs), 256):  # some texts at a time
+        j = min(i + 256, len(docs))
+        own = codes[edges[i] : edges[j]]
+        tokens = np.concatenate([[0], np.cumsum(count[own])])
+        yield docs[i:j].view(np.int64), null[i:j], flat[K.ragged(begin[own], count[own])], tokens[edges[i : j + 1] - edges[i]]
+
+
+def assemble(rows: DataFrame, folder: str) -> DataFrame:
     """(doc_id, ids): each text's token ids as unsigned little-endian 32-bit numbers, put together by position."""
 
     def apply(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for docs, null, ids, at in _texts(group):
+        for docs, null, ids, at in _texts(group, folder):
             raw = ids.astype("<u4").tobytes()
             out += [(None if x else d, raw[4 * a : 4 * b]) for d, x, a, b in zip(docs.tolist(), null.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return pd.DataFrame({"doc_id": pd.array([d for d, _ in out], "Int64"), "ids": [x for _, x in out]})
@@ -200,8 +211,10 @@ def encode(docs: DataFrame, ranks: str, chunk: int = CHUNK) -> DataFrame:
     no rows; only doc_id and text are read. A text longer than a chunk is a chunk of its own.
     """
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = explode(docs, buckets, chunk)
-    return assemble(encode_words(rows.repartition(buckets, "bucket"), ranks))
+    folder = local_path(shared_dir(docs.sparkSession))
+    os.makedirs(folder, exist_ok=True)
+    rows = explode(docs, buckets, folder, chunk)
+    return assemble(encode_words(rows.repartition(buckets, "bucket"), ranks), folder)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:

@@ -75,7 +75,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _P, np.uint64), np.full(n, _PINV, np.uint64)
     up[0] = down[0] = 1
@@ -84,7 +84,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes, from one prefix sum over the block."""
-    up, down = _powers(max(2 * BLOCK, 1 << int(len(data)).bit_length()))
+    up, down = _powers(BLOCK if len(data) <= BLOCK else 1 << int(len(data)).bit_length())
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
