@@ -95,7 +95,8 @@ def resolve_imports(edges: DataFrame, paths: DataFrame) -> DataFrame:
     )
     lookup = keys.groupBy("k.kind", "k.key").agg(F.min("path").alias("target"))
     spec = F.col("specifier")
-    inside = globs.normalise(F.concat(T.dirname(F.col("path")), F.lit("/"), spec))
+    folder = T.dirname(F.col("path"))
+    inside = globs.normalise(F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), spec))
     relative = spec.startswith(".")
     dotted = F.replace(T.strip_extension(spec), F.lit("."), F.lit("/"))
     tries = lambda *xs: F.array(*[F.struct(F.lit(i).alias("order"), F.lit(kind).alias("kind"), key.alias("key")) for i, (kind, key) in enumerate(xs)])
