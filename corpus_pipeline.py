@@ -15,21 +15,23 @@ MIN_COSINE = 0.02
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that resemble no language. Others keep their columns."""
-    scored = language_id.predict(docs, language_id.profiles(docs.filter(~language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())))
-    return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_COSINE)).select(*docs.columns)
+    train = docs.filter(~language_id.held_out(docs["doc_id"]) & docs["lang"].isNotNull() & docs["text"].isNotNull())
+    whole = docs.select("text", F.struct("*").alias("row"))  # so that no column of docs clashes with the prediction's
+    scored = language_id.predict(whole, language_id.profiles(train))
+    return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_COSINE)).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest doc_id stays; a document without doc_id stays always."""
     gone = exact_dedup.exact_dedup(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256")).distinct()
     own = F.sha2(exact_dedup.normalised(docs["text"]), 256)
-    return docs.join(gone, (docs["doc_id"] == F.col("gone_id")) & (own == F.col("gone_sha256")), "left_anti")
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (own == gone["gone_sha256"]), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 0.8 or more connect, the one with the smallest doc_id stays."""
     gone = written(ngram_join.ngram_join(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

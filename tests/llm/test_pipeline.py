@@ -5,6 +5,8 @@ from evidentia.llm import language_id
 from tests.llm.test_pairs_search_warc import _brute
 
 SF = "/root/testdata/sf0.001"
+#: Values of columns whose names the stages use themselves.
+X = ("clash", 1, 2, 3)
 
 
 def test_stages_follow_each_other(spark):
@@ -26,9 +28,9 @@ def test_stages_follow_each_other(spark):
 
 @pytest.mark.parametrize("k", [0, 1, 2])
 def test_stage_keeps_columns_and_odd_rows(spark, k):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, gone_id int, row int, keep_id long"
     text = "the and of to in a the and of to in a word"
-    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, text, "en", "s", 1), (None, text, "en", None, None), (3, None, None, None, None), (4, "", "en", "s", 0), (5, "123", "en", "s", 3)], schema)
+    docs = spark.createDataFrame([(1, text, "en", "s", 1, *X), (2, text, "en", "s", 1, *X), (None, text, "en", None, None, *X), (3, None, None, None, None, *X), (4, "", "en", "s", 0, *X), (5, "123", "en", "s", 3, *X)], schema)
     out = corpus_pipeline.STAGES[k][1](spark, docs, SF)
     assert out.columns == docs.columns
     ids = [r.doc_id for r in out.collect()]
