@@ -8,9 +8,10 @@ it is, so that no key is hot.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -190,22 +191,28 @@ def _texts(group: pd.DataFrame, folder: str) -> Iterator[tuple[np.ndarray, np.nd
         yield docs[i:j].view(np.int64), null[i:j], flat[K.ragged(begin[own], count[own])], tokens[edges[i : j + 1] - edges[i]]
 
 
-def assemble(rows: DataFrame, folder: str) -> DataFrame:
+#: What a chunk's frame of (doc_id, ids) becomes in the worker that made it, and the schema of that.
+Then = tuple[Callable[[pd.DataFrame], pd.DataFrame], str]
+
+
+def assemble(rows: DataFrame, folder: str, then: Then | None = None) -> DataFrame:
     """(doc_id, ids): each text's token ids as unsigned little-endian 32-bit numbers, put together by position."""
+    finish, schema = then or (lambda frame: frame, "doc_id long, ids binary")
 
     def apply(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        frames = []
         for docs, null, ids, at in _texts(group, folder):
             raw = ids.astype("<u4").tobytes()
-            out += [(None if x else d, raw[4 * a : 4 * b]) for d, x, a, b in zip(docs.tolist(), null.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return pd.DataFrame({"doc_id": pd.array([d for d, _ in out], "Int64"), "ids": [x for _, x in out]})
+            own = pd.array([None if x else d for d, x in zip(docs.tolist(), null.tolist(), strict=True)], "Int64")
+            frames.append(finish(pd.DataFrame({"doc_id": own, "ids": [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]})))
+        return pd.concat(frames)
 
-    return rows.groupBy("chunk").applyInPandas(apply, "doc_id long, ids binary")
+    return rows.groupBy("chunk").applyInPandas(apply, schema)
 
 
-def encode(docs: DataFrame, ranks: str, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, then: Then | None = None) -> DataFrame:
     """(doc_id, ids) of every row of docs: the ids of its whole text by the ranks, as the tiktoken library encodes
-    it without special tokens.
+    it without special tokens. With then, what that makes of (doc_id, ids), some texts at a time, in the same worker.
 
     A null or empty text has no ids. Repeated rows and null doc_ids are encoded row by row; an empty table gives
     no rows; only doc_id and text are read. A text longer than a chunk is a chunk of its own.
@@ -214,40 +221,43 @@ def encode(docs: DataFrame, ranks: str, chunk: int = CHUNK) -> DataFrame:
     folder = local_path(shared_dir(docs.sparkSession))
     os.makedirs(folder, exist_ok=True)
     rows = explode(docs, buckets, folder, chunk)
-    return assemble(encode_words(rows.repartition(buckets, "bucket"), ranks), folder)
+    return assemble(encode_words(rows.repartition(buckets, "bucket"), ranks), folder, then)
+
+
+@functools.lru_cache(maxsize=2)
+def token_bytes(ranks: str) -> list[bytes]:
+    """The table of token bytes by id: a row for each of the vocabulary's tokens, so of a fixed size."""
+    known = read_ranks(ranks)
+    table = [b""] * (max(known.values()) + 1)
+    for token, rank in known.items():
+        table[rank] = token
+    return table
+
+
+def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """encoded with (bytes) behind its columns: ids joined with the table of token bytes, which has a row for each
-    of the vocabulary's tokens and so a fixed size."""
+    """encoded with (bytes) behind its columns: the ids joined with the table of token bytes."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: list[bytes] = []
         for batch in batches:
-            if not table:
-                known = read_ranks(ranks)
-                table = [b""] * (max(known.values()) + 1)
-                for token, rank in known.items():
-                    table[rank] = token
-            out = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
+            table = token_bytes(ranks)
+            out = [None if x is None else decode_ids(x, table) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
 
     return encoded.mapInArrow(apply, f"{kept}, bytes binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """encoded with ids_sha256 behind its columns: of the decimal ids, joined by commas."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
+def round_trip_digests(ranks: str) -> Then:
+    """For encode(): the number of ids, and SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(1 << 16)]
-        for batch in batches:
-            out = []
-            for x in batch.column("ids").to_pylist():
-                ids = np.frombuffer(x, "<u4")
-                parts = map(decimal.__getitem__, ids.tolist()) if not len(ids) or ids.max() < len(decimal) else map(str, ids.tolist())
-                out.append(hashlib.sha256(",".join(parts).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "ids_sha256"])
-
-    return encoded.mapInArrow(apply, f"{kept}, ids_sha256 string")
+    def digest(frame: pd.DataFrame) -> pd.DataFrame:
+        table = token_bytes(ranks)
+        ids = frame["ids"].tolist()
+        text = [hashlib.sha256(",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest() for x in ids]
+        return pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": text, "decoded_sha256": [hashlib.sha256(decode_ids(x, table)).hexdigest() for x in ids]})
+
+    return digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

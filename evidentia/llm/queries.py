@@ -57,9 +57,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), ranks))
-    decoded = bpe.decode(encoded, ranks)
-    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return bpe.encode(_table(spark, sf_dir, "documents"), ranks, then=bpe.round_trip_digests(ranks))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,9 +50,11 @@ def test_bpe_of_nothing(empty):
 def test_bpe_digest(edge):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     reference = bpe._encoder(ranks)
-    for r in bpe.digests(bpe.encode(edge.filter("doc_id is not null").dropDuplicates(["doc_id"]), ranks)).collect():
+    docs = edge.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    for r in bpe.encode(docs, ranks, then=bpe.round_trip_digests(ranks)).collect():
         ids = reference.encode_ordinary(WORDS[r.doc_id] or "")
-        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((WORDS[r.doc_id] or "").encode()).hexdigest()
 
 
 def _pieces_fit(rows, ids, length):
