@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -132,7 +132,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, own = questions(spark, sf_dir), files(spark, sf_dir)
     fused = R.ranked(_fused(spark, sf_dir), ["q"], [F.desc("rrf"), F.asc("key")])
     features = R.lexical_tokens(q).withColumn("families", F.array().cast("array<string>")).withColumn("manifest_seeking", F.lit(True))
-    rows = fused.join(own.withColumnRenamed("doc_id", "key"), "key").join(features, "q").join(fused.groupBy("q").agg(F.count(F.lit(1)).alias("n_rows")), "q")
+    rows = fused.join(own.withColumnRenamed("doc_id", "key"), "key").join(features, "q").withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy("q")))
     return R.domain_boost(rows).withColumn("score", F.round((F.col("n_rows") - F.col("rank") + 1) * 2 + F.col("boost"), 6)).withColumnRenamed("rank", "fused_rank")
 
 
