@@ -134,8 +134,8 @@ def story_context_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with i as (select l_orderkey as q, min(l_linenumber) as ord, concat(case when l_partkey % 3 = 0 then '__dependencies__/' else '' end, l_partkey) as path, l_suppkey as ls, l_suppkey + 5 as le from lineitem group by q, path, ls, le),
-d as (select *, starts_with(path, '__dependencies__/') as dep from i), k as (select *, row_number() over (partition by q, dep order by ord, path) as k from d)
-select q, path, ls as line_start, le as line_end, row_number() over (partition by q order by dep, ord, path) as place from k where not dep or k <= 1 qualify place <= 12""")
+d as (select *, starts_with(path, '__dependencies__/') as dep from i), k as (select *, row_number() over (partition by q, dep order by ord, path, ls) as k from d)
+select q, path, ls as line_start, le as line_end, row_number() over (partition by q order by dep, ord, path, ls) as place from k where not dep or k <= 1 qualify place <= 12""")
 def source_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.when(F.col("l_partkey") % 3 == 0, "__dependencies__/").otherwise(""), F.col("l_partkey").cast("string"))
     return stories.source_items(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("ord"), path.alias("path"), F.col("l_suppkey").alias("line_start"), (F.col("l_suppkey") + 5).alias("line_end")))
