@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import places
 from ..functions import text as T
 
+#: What looks like a definition.
 DEFINITION = r"\b(export|function|class|const|async|def|fn|struct|impl|app\.(get|post|use)|create[A-Z]\w+)\b"
-LAYERS_FIRST = 8
 
 
 def in_groups(df: DataFrame, part: str, order: list[str], pick: Callable[[list], list[tuple]], schema: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import places
 from ..functions import text as T
@@ -19,7 +20,7 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 THRESHOLD = 0.20
 DIMS = 64
-#: Bytes of question vectors that go to every task at once; more questions are searched in several passes.
+#: Bytes of question vectors that go to every task at once; more questions are searched in blocks.
 QUERY_BYTES = 64 << 20
 
 
@@ -85,51 +86,71 @@ def hashed_vectors(docs: DataFrame, dims: int = DIMS) -> DataFrame:
     return packed.select("key", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero).cast("double")).alias("vec"))
 
 
+def _matrix(vecs: list, dims: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Unit rows of the usable vectors, their places, and their length: null, zero and odd-sized vectors are left out."""
+    dims = dims or max((len(v) for v in vecs if v is not None), default=0)
+    fit = [j for j, v in enumerate(vecs) if v is not None and len(v) == dims and None not in v and any(v)]
+    x = np.array([vecs[j] for j in fit], np.float64).reshape(len(fit), dims)
+    return x / np.linalg.norm(x, axis=1, keepdims=True), np.array(fit, np.int64), dims
+
+
+def _best(questions: np.ndarray, vectors: np.ndarray, limit: int, threshold: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of questions and vectors and their cosines: for each question all that its limit nearest could be, ties included."""
+    for a in range(0, len(questions), 512):
+        score = np.round(questions[a : a + 512] @ vectors.T, 6)
+        if threshold is not None:
+            score[score < threshold] = -np.inf
+        low = np.partition(score, -limit, axis=1)[:, -limit, None] if score.shape[1] > limit else -np.inf
+        r, c = np.nonzero((score >= low) & (score > -np.inf))
+        yield r + a, c, score[r, c]
+
+
 def cosine_topk(vectors: DataFrame, questions: DataFrame, limit: int, threshold: float | None = None) -> DataFrame:
     """(q, key, score, rank): the nearest vectors (key, vec) of each question (q, vec) by exact cosine, rounded to six places.
 
-    Question vectors go to the tasks in passes of bounded size; a task keeps only its own best for each question, so that
-    the shuffle carries limit rows for each task and question. Rows of zero or null vectors, or of other lengths, do
-    not match. A predicate on vectors belongs before the call: it reaches the scan.
+    Up to QUERY_BYTES of question vectors go to every task; more are cut into blocks, as are the vectors, and each pair of
+    blocks is one row. Either way a task keeps only its own best for each question, so that the shuffle carries limit
+    rows for each task and question. Rows of zero or null vectors, or of other lengths, do not match. A
+    predicate on vectors belongs before the call: it reaches the scan.
     """
-    rows = questions.filter("vec is not null").select("q", "vec").collect()
-    dims = max((len(r.vec) for r in rows), default=1)
-    step = max(1, QUERY_BYTES // (8 * dims))
-    key = vectors.schema["key"].dataType.simpleString()
-    q_type = questions.schema["q"].dataType.simpleString()
-    found = None
-    for i in range(0, max(1, len(rows)), step):
-        part = [r for r in rows[i : i + step] if len(r.vec) == dims]
-        matrix, names = np.array([r.vec for r in part], np.float64).reshape(len(part), dims), [r.q for r in part]
-        norm = np.linalg.norm(matrix, axis=1)
-        good = norm > 0
-        matrix, names = matrix[good] / norm[good, None], [n for n, g in zip(names, good, strict=True) if g]
-
-        def best(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, names: list = names) -> Iterator[pa.RecordBatch]:
+    asked = questions.filter("vec is not null").select("q", "vec")
+    n, dims = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    q_type, key_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((questions, "q"), (vectors, "key")))
+    schema = f"q {questions.schema['q'].dataType.simpleString()}, key {vectors.schema['key'].dataType.simpleString()}, score double"
+
+    def rows(names: list, keys: list, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in found[0].tolist()], q_type), pa.array([keys[i] for i in found[1].tolist()], key_type), pa.array(found[2])], names=["q", "key", "score"])
+
+    if n * dims * 8 <= QUERY_BYTES:
+        here = asked.collect()
+        matrix, fit, _ = _matrix([r.vec for r in here], dims)
+        names = [here[i].q for i in fit.tolist()]
+
+        def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vecs = batch.column("vec").to_pylist()
-                fit = [j for j, v in enumerate(vecs) if v is not None and len(v) == matrix.shape[1] and None not in v and any(v)]
-                if not fit or not names:
-                    continue
-                x = np.array([vecs[j] for j in fit], np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                keys = np.array(batch.column("key").to_pylist(), object)[fit]
-                for a in range(0, len(names), 512):
-                    score = np.round(matrix[a : a + 512] @ x.T, 6)
-                    if threshold is not None:
-                        score[score < threshold] = -np.inf
-                    if score.shape[1] > limit:
-                        cut = np.partition(score, -limit, axis=1)[:, -limit]
-                        r, c = np.nonzero((score >= cut[:, None]) & (score > -np.inf))
-                    else:
-                        r, c = np.nonzero(score > -np.inf)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[a + j] for j in r.tolist()], batch_q), pa.array(keys[c].tolist(), batch.schema.field("key").type), pa.array(score[r, c])], names=["q", "key", "score"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        batch_q = to_arrow_type(questions.schema["q"].dataType)
-        one = vectors.select("key", "vec").mapInArrow(best, f"q {q_type}, key {key}, score double")
-        found = one if found is None else found.unionByName(one)
+                x, fit, _ = _matrix(batch.column("vec").to_pylist(), dims)
+                keys = batch.column("key").to_pylist()
+                if len(x) and names:
+                    yield from (rows(names, [keys[i] for i in fit.tolist()], f) for f in _best(matrix, x, limit, threshold))
+
+        found = vectors.select("key", "vec").mapInArrow(against_all, schema)
+    else:
+        size = max(1, QUERY_BYTES // (8 * dims))
+
+        def blocks(df: DataFrame, id_: str, total: int, name: str) -> DataFrame:
+            block = F.pmod(F.xxhash64(id_), F.lit(max(1, -(-total // size))))
+            return df.groupBy(block.alias(f"{name}_block")).agg(F.collect_list(F.struct(id_, "vec")).alias(name))
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.select(["qs", "vs"]).to_pylist():
+                    m, fit_q, _ = _matrix([r["vec"] for r in row["qs"]], dims)
+                    x, fit_v, _ = _matrix([r["vec"] for r in row["vs"]], dims)
+                    if len(m) and len(x):
+                        names, keys = [row["qs"][i]["q"] for i in fit_q.tolist()], [row["vs"][i]["key"] for i in fit_v.tolist()]
+                        yield from (rows(names, keys, f) for f in _best(m, x, limit, threshold))
+
+        found = blocks(asked, "q", n, "qs").crossJoin(blocks(vectors.filter("vec is not null").select("key", "vec"), "key", vectors.count(), "vs")).mapInArrow(pairs, schema)
     return ranked(found, ["q"], [F.desc("score"), F.asc("key")], limit)
 
 
@@ -168,7 +189,13 @@ ABBREVIATION = r"(?i)^(?:e\.g|i\.e|etc|vs)\.?$"
 #: Phrases by which two technologies are joined.
 INTEGRATION = r"(?i)\b(?:work(?:s|ing)? together|works? with|integrat\w*|connect\w*|wire[ds]?|wiring|talks? to|interacts? with|flow (?:from|between|through)|powered by|powers|uses? [\w-]+ to\b)"
 #: Names by which technologies are asked for.
-TECHNOLOGIES = "javascript typescript python rust go golang java kotlin scala php elixir lua zig solidity html css react express flask django node.js lancedb sqlite postgres redis docker yaml toml json".split()
+TECHNOLOGIES = "javascript typescript python rust go golang java kotlin scala php elixir lua zig solidity html css react express flask django node.js sqlite postgres redis docker yaml toml json".split()
+
+
+#: Words that ask for package lists, for markup, and for style.
+MANIFEST_WORDS = r"(?i)\b(dependency|dependencies|devdependencies|manifest|version|versions|installed|install|package\.json|package manager|npm|pnpm|yarn)\b"
+MARKUP_WORDS = r"\b(html|markup|template|dom|document|page|screen|layout|visible|ui|frontend|browser)\b"
+STYLE_WORDS = r"\b(css|style|styles|stylesheet|selector|layout|appearance|theme|visual|color|spacing|responsive|animation)\b"
 
 
 def query_shape(text: Column) -> Column:
@@ -200,13 +227,12 @@ def policy(questions: DataFrame, arm: str = ARM) -> DataFrame:
 
 
 def wants_manifest(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(dependency|dependencies|devdependencies|manifest|version|versions|installed|install|package\.json|package manager|npm|pnpm|yarn)\b")
+    return text.rlike(MANIFEST_WORDS)
 
 
 def surface_families(text: Column) -> Column:
     low = F.lower(text)
-    markup = low.rlike(r"\b(html|markup|template|dom|document|page|screen|layout|visible|ui|frontend|browser)\b")
-    style = low.rlike(r"\b(css|style|styles|stylesheet|selector|layout|appearance|theme|visual|color|spacing|responsive|animation)\b")
+    markup, style = low.rlike(MARKUP_WORDS), low.rlike(STYLE_WORDS)
     return F.filter(F.array(F.when(markup, "markup"), F.when(style, "style")), lambda x: x.isNotNull())
 
 
