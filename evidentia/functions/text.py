@@ -29,12 +29,12 @@ def join_lines(parts: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def split_identifier(value: Column, lower: bool = True) -> Column:
     """Parts of an identifier: cut at camel-case humps, then at everything that is not a letter or digit."""
-    parts = F.filter(F.split(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+"), lambda x: x != "")
+    parts = F.array_remove(F.split(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+"), "")
     return F.transform(parts, F.lower) if lower else parts
 
 
@@ -59,7 +59,7 @@ def code_terms(content: Column, limit: int = 80) -> Column:
 
 
 def path_tokens(path: Column) -> Column:
-    return F.filter(F.split(path, "[^A-Za-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(path, "[^A-Za-z0-9]+"), "")
 
 
 def fts_text(path: Column, content: Column, description: Column) -> Column:
