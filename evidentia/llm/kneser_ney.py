@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays in the shared folder,
+"""Interpolated modified Kneser-Ney model (bigrams here, trigrams in kneser_ney_trigram): counted in Spark, kept as sorted hash arrays in the shared folder,
 mapped into memory by the workers that score.
 
 A word is the top 64 bits of its hash, as a successor the top 48. Tasks count stretches of text and send each bucket
@@ -313,7 +313,7 @@ def log_probabilities(model: Model, arrays: _Arrays, cur: np.ndarray, prev: np.n
     return np.log10(p), count[c_at]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model) -> DataFrame:  # noqa: ANN001
     """docs with (n_tokens, n_known, train_tokens, base_score, score) behind its columns, which replace columns of
     these names. perplexity is 10 ** (-score / n_tokens)."""
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -321,12 +321,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = _Arrays(model.folder, model.buckets)
+        from . import kneser_ney_trigram as trigram
+
+        arrays = (_Arrays if isinstance(model, Model) else trigram.Tables)(model.folder, model.buckets)
         for batch in batches:
             data, offsets = K.column_bytes(batch.column("text"))
             for i, j in K.blocks(offsets, SCORED):
                 cur, begin = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                lp, count = log_probabilities(model, arrays, cur, contexts(cur, begin))
+                lp, count = log_probabilities(model, arrays, cur, contexts(cur, begin)) if isinstance(model, Model) else trigram.log_probabilities(model, arrays, cur, begin)
                 base = np.log10((count + 1) / (model.n_tokens + model.n_words + 1))
                 sums = [np.add.reduceat(x, begin[:-1]) for x in (base, lp)]
                 known = np.add.reduceat((count > 0).astype(np.int64), begin[:-1])
@@ -341,12 +343,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
-def score_corpus(docs: DataFrame) -> DataFrame:
+def score_corpus(docs: DataFrame, order: int = 2) -> DataFrame:
     """docs with held_out and the columns of score(); the model learns from all documents that are not held out.
 
+    order is the length of the longest n-gram, 2 or 3; before a text stand order - 1 starts.
+
     Case of A-Z is ignored; words are separated by blanks, tabs and line ends, and each text ends with one more
     token. A null or empty text is that token alone. Where nothing was learnt, every token is unknown. Repeated rows
     count as often as they occur; further columns pass through, except those that have a result's name.
     """
-    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    from . import kneser_ney_trigram as trigram
+
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: only bigrams and trigrams")
+    model = (train if order == 2 else trigram.train)(docs.filter(~held_out(F.col("doc_id"))))
     return score(docs.withColumn("held_out", held_out(F.col("doc_id"))), model)
