@@ -69,27 +69,14 @@ def rank_evidence(items: DataFrame) -> DataFrame:
 def layer_diverse(items: DataFrame, limit: int) -> DataFrame:
     """items (q, rank, path) with (place): first those of a new path and a new layer, then of a new path, then the rest.
 
-    Whether a layer is new depends on what was taken before, so a question is one group: it holds its candidates only.
+    A layer is a function of the path, so the first pass takes the best item of each layer and the second that of each path.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-
-    def pick(rows: list) -> list[tuple]:
-        paths, layers, taken = set(), set(), []
-        for r in rows:
-            if r.path not in paths and r.layer not in layers:
-                paths.add(r.path)
-                layers.add(r.layer)
-                taken.append(r)
-        first = {r.rank for r in taken}
-        for r in rows:
-            if r.rank not in first and r.path not in paths:
-                paths.add(r.path)
-                taken.append(r)
-        first = {r.rank for r in taken}
-        taken += [r for r in rows if r.rank not in first]
-        return [(*r, i + 1) for i, r in enumerate(taken[:limit])]
-
-    return in_groups(items.withColumn("layer", places.layer(F.col("path"))), "q", ["rank"], pick, f"{kinds}, layer string, place int")
+    first = lambda by: F.row_number().over(Window.partitionBy("q", by).orderBy("rank")) == 1
+    rows = items.withColumn("layer", places.layer(F.col("path")))
+    turn = rows.withColumn("_turn", F.when(first("layer"), 0).when(first("path"), 1).otherwise(2))
+    # a path whose best item a layer took has had its turn: its other items are among the rest
+    place = F.row_number().over(Window.partitionBy("q").orderBy("_turn", "rank"))
+    return turn.withColumn("place", place).filter(F.col("place") <= limit).drop("_turn")
 
 
 def reconcile_refs(refs: DataFrame, evidence: DataFrame) -> DataFrame:
