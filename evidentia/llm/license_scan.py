@@ -1,13 +1,12 @@
 """Licence scan by a positional index of rare words.
 
-Document frequencies of the licence vocabulary come from the whole corpus. In each file the words of highest IDF
-are looked up; postings of a template that agree on the place where the template would begin are intersected, and
-a template counts when enough of its words stand at their places and its key phrase is there in full.
+Document frequencies of the licence vocabulary come from the whole corpus. A template of n words of which m must stand
+at their places has at least one of its n - m + 1 rarest places right wherever it counts: these words are looked up in each
+file, every start that they propose is verified by relative position, and the template's key phrase must be there in full.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,10 +76,15 @@ class Index:
         self.vocabulary = np.unique(np.concatenate([*self.sequence, *self.key]))
         self.rows = [np.searchsorted(self.vocabulary, s) for s in self.sequence]
         self.key_rows = [np.searchsorted(self.vocabulary, s) for s in self.key]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, rows in enumerate(self.rows):
-            for place, row in enumerate(rows.tolist()):
-                self.postings[row].append((t, place))
+
+        sizes = np.array([len(r) for r in self.rows])
+        self.flat, self.begin = np.concatenate(self.rows), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        #: How many words of each template must stand at their places.
+        self.needed = np.array([next(k for k in range(n + 1) if k / n >= t.cover) for n, t in zip(sizes.tolist(), templates, strict=True)])
+
+    def sought(self, idf: np.ndarray) -> list[np.ndarray]:
+        """For each template the rarest places, of which one at least is right wherever the template is."""
+        return [np.argsort(-idf[r], kind="stable")[: len(r) - m + 1] for r, m in zip(self.rows, self.needed.tolist(), strict=True)]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """For each word its row of the vocabulary, or -1."""
@@ -90,6 +94,8 @@ class Index:
 
 
 INDEX = Index((*BASE, *TEMPLATES))
+#: Starts that are verified at once.
+STARTS = 1 << 16
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -128,45 +134,40 @@ def _phrase_at(rows: np.ndarray, starts: np.ndarray, phrase: np.ndarray) -> np.n
     return ok
 
 
-def scan_file(rows: np.ndarray, idf: np.ndarray) -> tuple[list[tuple[str, int]], dict[str, float]]:
+def scan_file(rows: np.ndarray, sought: list[np.ndarray]) -> tuple[list[tuple[str, int]], dict[str, float]]:
     """Of one file: (label, word) of each base phrase, and the best coverage for each label.
 
-    rows: the vocabulary row of each word of the file, -1 for other words.
+    rows: the vocabulary row of each word of the file, -1 for other words; sought: the places of Index.sought.
     """
     hit = np.flatnonzero(rows >= 0)
-    there = np.unique(rows[hit])
-    if not len(there):
+    if not len(hit):
         return [], {}
-    order = there[np.argsort(-idf[there], kind="stable")]
     base: list[tuple[str, int]] = []
     covered: dict[str, float] = {}
-    # a template is sought through its rarest word of those that the file has, so that none is missed
-    anchor: dict[int, tuple[int, int]] = {}
-    for row in order.tolist():
-        for t, place in INDEX.postings[row]:
-            anchor.setdefault(t, (row, place))
     present = np.zeros(len(INDEX.vocabulary), bool)
-    present[there] = True
-    for t, (row, place) in anchor.items():
+    present[rows[hit]] = True
+    enough = np.add.reduceat(present[INDEX.flat].astype(np.int64), INDEX.begin) >= INDEX.needed
+    for t in np.flatnonzero(enough).tolist():
         template, words = INDEX.templates[t], INDEX.rows[t]
-        if present[words].mean() < template.cover or not present[INDEX.key_rows[t]].all():
+        if not present[INDEX.key_rows[t]].all():
             continue
-        starts = hit[rows[hit] == row] - place
+        starts = np.unique(np.concatenate([hit[rows[hit] == words[place]] - place for place in sought[t].tolist()]))
         if t < len(BASE):
             at = starts[_phrase_at(rows, starts, words)]
             base += [(template.label, int(a)) for a in at]
             if len(at):
                 covered[template.label] = 1.0
             continue
-        # relative positions: how many words of the template stand where this start puts them
-        places = starts[:, None] + np.arange(len(words))
-        inside = (places >= 0) & (places < len(rows))
-        agree = (inside & (rows[np.clip(places, 0, len(rows) - 1)] == words)).mean(axis=1)
-        for start, share in zip(starts[agree >= template.cover].tolist(), agree[agree >= template.cover].tolist(), strict=True):
-            key = INDEX.key_rows[t]
-            near = np.arange(max(0, start), min(len(rows), start + len(words)))
-            if _phrase_at(rows, near, key).any():
-                covered[template.label] = max(covered.get(template.label, 0.0), float(share))
+        for k in range(0, len(starts), STARTS):
+            # relative positions: how many words of the template stand where this start puts them
+            places = starts[k : k + STARTS, None] + np.arange(len(words))
+            inside = (places >= 0) & (places < len(rows))
+            agree = (inside & (rows[np.clip(places, 0, len(rows) - 1)] == words)).sum(axis=1)
+            for i in np.flatnonzero(agree >= INDEX.needed[t]).tolist():
+                start = int(starts[k + i])
+                near = np.arange(max(0, start), min(len(rows), start + len(words)))
+                if _phrase_at(rows, near, INDEX.key_rows[t]).any():
+                    covered[template.label] = max(covered.get(template.label, 0.0), float(agree[i] / len(words)))
     return base, covered
 
 
@@ -179,7 +180,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Case of A-Z is ignored. A null or empty text has no words and no labels. Repeated rows get equal results, an
     empty table gives none, and further columns pass through except those of these three names.
     """
-    idf = document_frequencies(docs)
+    sought = INDEX.sought(document_frequencies(docs))
     docs = docs.drop("n_words", "places", "found")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     places_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
@@ -190,7 +191,7 @@ def scan(docs: DataFrame) -> DataFrame:
             n_words, places, found = [], [], []
             for i, j, rows, at in _words(batch):
                 for k in range(j - i):
-                    base, covered = scan_file(rows[at[k] : at[k + 1]], idf)
+                    base, covered = scan_file(rows[at[k] : at[k + 1]], sought)
                     n_words.append(int(at[k + 1] - at[k]))
                     places.append([{"label": a, "word": b} for a, b in base])
                     found.append([{"label": a, "cover": b} for a, b in sorted(covered.items())])
