@@ -202,3 +202,10 @@ def merge_stage_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter((F.length("text") > 500) & ~F.substring("text", 1, 500).rlike(r"^\s|\s$"))
     return d.select("doc_id", T.clamp_at_word(F.col("text"), 100).alias("head"), T.squash(F.substring("text", 1, 500), 500).alias("squashed"))
+
+
+@query()
+def text_clamps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_clamps on the whole text of every document: null, short and blank texts too. Checked against Python in tests."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.clamp_at_word(F.col("text"), 100).alias("head"), T.squash(F.col("text"), 500).alias("squashed"))
