@@ -86,6 +86,14 @@ def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("path", F.size("parts").alias("n_parts"), F.size(F.array_distinct("parts")).alias("n_distinct"), F.md5(F.array_join("parts", " ")).alias("parts_md5"))
 
 
+@query(f"""with {FILES}, p as (select path, list_filter(string_split_regex(lower(regexp_replace(content, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') as parts from files)
+select path, len(parts) as n_parts, len(list_distinct(parts)) as n_distinct, md5(array_to_string(parts, ' ')) as parts_md5 from p""")
+def split_identifiers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of whole contents, by the operator."""
+    own = files(spark, sf_dir).select("path", T.split_identifier(F.col("content")).alias("parts"))
+    return own.select("path", F.size("parts").alias("n_parts"), F.size(F.array_distinct("parts")).alias("n_distinct"), F.md5(F.array_join("parts", " ")).alias("parts_md5"))
+
+
 @query(f"""with {FILES}, x as (select path, flatten(list_transform(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda n: list_transform(list_filter(string_split_regex(regexp_replace(n, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda q: q <> ''), lambda q: lower(q)))) as t from files),
 e as (select path, unnest(t) as w, generate_subscripts(t, 1) as i from x),
 f as (select path, w, min(i) as i from e where length(w) >= 3 and w not in ({", ".join(f"'{w}'" for w in T.STOPWORDS)}) group by path, w),
