@@ -36,13 +36,17 @@ def route(questions: DataFrame, results: DataFrame) -> DataFrame:
     return s.select("q", "n_results", "top_similarity", "overview", fast.alias("fast"), weak.alias("weak"))
 
 
-def similar_traces(traces: DataFrame, questions: DataFrame, cutoff: Column, revision: DataFrame | None = None, limit: int = 3, floor: float = TRACE_FLOOR) -> DataFrame:
+def similar_traces(traces: DataFrame, questions: DataFrame, cutoff: Column, revision: DataFrame | None = None, limit: int = 3, floor: float = TRACE_FLOOR, others: bool = False) -> DataFrame:
     """(q, key, score, rank) of the nearest prior questions, traces (key, vec, ts, revision), that are not older than cutoff, of the current
-    revision if one is given, and at least floor near. The filters come before the vectors are compared."""
+    revision if one is given, and at least floor near; with others, none is its own trace (key = q). The filters come before the vectors are compared."""
     fresh = traces.filter(F.col("ts") >= cutoff)
     if revision is not None:
         fresh = fresh.join(F.broadcast(revision), "revision", "left_semi")
-    return R.cosine_topk(fresh.select("key", "vec"), questions, limit, floor)
+    if not others:
+        return R.cosine_topk(fresh.select("key", "vec"), questions, limit, floor)
+    # one more than asked for, as the own one may be among them
+    near = R.cosine_topk(fresh.select("key", "vec"), questions, limit + 1, floor).filter("q <> key").drop("rank")
+    return R.ranked(near, ["q"], [F.desc("score"), F.asc("key")], limit)
 
 
 def seed_queries(questions: DataFrame, templates: list[tuple[str, str]], limit: int = 6) -> DataFrame:

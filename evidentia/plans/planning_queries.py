@@ -33,6 +33,17 @@ def similar_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.similar_traces(traces, asked, F.lit(100), current, floor=0.3).withColumnRenamed("key", "vec_id")
 
 
+@query("""with t as (select vec_id, embedding::double[] as v from embeddings where vec_id >= 100 and label in (1, 2, 3, 4)), q as (select vec_id as q, embedding::double[] as v from embeddings where vec_id % 50 = 0),
+c as (select q, vec_id, round(list_cosine_similarity(q.v, t.v), 6) as score from q, t where q <> vec_id) select q, vec_id, score, row_number() over (partition by q order by score desc, vec_id) as rank from c where score >= 0.3 qualify rank <= 3""")
+def similar_traces_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """similar_traces over all rows, those that are questions too; only a question's own row is left out."""
+    e = table(spark, sf_dir, "embeddings")
+    traces = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ts"), F.col("label").alias("revision"))
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec"))
+    current = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "revision int")
+    return P.similar_traces(traces, asked, F.lit(100), current, floor=0.3, others=True).withColumnRenamed("key", "vec_id")
+
+
 PLAN = """plan as (select l_orderkey as q, l_linenumber as item, l_suppkey % 5 as path, case when l_partkey % 3 > 0 then l_partkey % 50 end as s, l_partkey % 50 + 10 as e from lineitem where l_linenumber <= 2),
 ev as (select l_orderkey as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as ord, l_suppkey % 5 as path, l_partkey % 60 as ls, l_partkey % 60 + l_quantity::int as le from lineitem)"""
 
