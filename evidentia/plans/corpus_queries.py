@@ -61,9 +61,9 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {FILES}, h as (select split_part(path, '/', 1) as repo, concat(path, ':', substr(sha256(content), 1, 16)) as line from files)
 select repo, substr(sha256(string_agg(line, chr(10) order by line)), 1, 16) as revision, count(*) as n_files from h group by repo""")
 def source_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash for each repository, over its sorted lines of path and hash: about 40 bytes a file meet in a repository's group."""
+    """One hash for each repository, over its sorted lines of path and hash, which stream through the digest: a task holds a batch."""
     h = files(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("repo"), F.concat("path", F.lit(":"), F.substring(F.sha2("content", 256), 1, 16)).alias("line"))
-    return h.groupBy("repo").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256), 1, 16).alias("revision"), F.count(F.lit(1)).alias("n_files"))
+    return h.repartition("repo").sortWithinPartitions("repo", "line").mapInArrow(corpus.line_digests, "repo string, revision string, n_files long")
 
 
 CHUNK_CTE = f"""{FILES}, w as (select doc_id, path, string_split_regex(content, '\\r?\\n') as l from files),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +103,26 @@ def dedupe_docs(docs: DataFrame) -> DataFrame:
     return docs.groupBy("path").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n").alias("content"))
 
 
+def line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(repo, revision, n_files) of rows (repo, line) sorted by both: 16 digits of the SHA-256 of the lines with line ends between them."""
+    repo, digest, n = None, None, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"repo": pa.array([repo], pa.string()), "revision": [digest.hexdigest()[:16]], "n_files": pa.array([n], pa.int64())})
+
+    for batch in batches:
+        for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if digest is None or key != repo:
+                if digest is not None:
+                    yield row()
+                repo, digest, n = key, hashlib.sha256(), 0
+            if line is not None:
+                digest.update(("\n" if n else "").encode() + line.encode())
+            n += 1
+    if digest is not None:
+        yield row()
+
+
 # ---- manifests
 
 
