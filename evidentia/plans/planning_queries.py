@@ -183,7 +183,7 @@ def hybrid_search_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .graph_queries import _imports
 
     own = files(spark, sf_dir).select("path", "content")
-    edges = G.resolve_imports(_imports(spark, sf_dir), own.select("path")).select("path", "target")
+    edges = G.resolve_imports(_imports(spark, sf_dir, whole=True), own.select("path")).select("path", "target")
     facts = G.line_facts(own, languages=("python", "javascript", "json", "css", "html", "go"))
     found = S.search(chunking.windows(own), questions(spark, sf_dir), facts=facts, edges=edges, support=S.SUPPORT_SLOTS)
     return found.select("q", "rank", "path", "line_start", "similarity", "score", "support", F.array_join("origins", ",").alias("origins"))
