@@ -55,7 +55,7 @@ class _Chunk:
     """Distinct words in order of appearance, and for each text the slots of its pre-tokens."""
 
     def __init__(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.hashes: list[np.ndarray] = []
         self.words: list[bytes] = []
         self.codes: list[np.ndarray] = []
@@ -66,17 +66,17 @@ class _Chunk:
     def add(self, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> None:
         starts = K.pretoken_starts(data, offsets)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        hashes, first, inverse = np.unique(K.span_hash(data, starts, ends), return_index=True, return_inverse=True) if len(starts) else (np.zeros(0, np.uint64),) * 3
-        keys, slots, raw = hashes.tolist(), self.slots, data.tobytes()
-        new = np.array([k for k, h in enumerate(keys) if h not in slots], np.int64)
+        words, first, hashes, inverse = K.distinct_spans(data, starts, ends) if len(starts) else ([], *[np.zeros(0, np.int64)] * 3)
+        slots = self.slots
+        new = np.array([k for k, w in enumerate(words) if w not in slots], np.int64)
         new = new[np.argsort(first[new], kind="stable")] if len(new) else new
         for k in new.tolist():
-            slots[keys[k]] = len(slots)
-            self.words.append(raw[starts[first[k]] : ends[first[k]]])
+            slots[words[k]] = len(slots)
+            self.words.append(words[k])
         if len(new):
             self.hashes.append(hashes[new])
-        own = np.fromiter(map(slots.__getitem__, keys), np.int64, len(keys))
-        self.codes.append(own[inverse.astype(np.int64)].astype(np.uint32))
+        own = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+        self.codes.append(own[inverse].astype(np.uint32))
         self.counts.append(np.diff(np.searchsorted(starts, offsets, "left")))
         self.docs.append(docs)
         self.size += len(data)

@@ -91,6 +91,42 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which spans have the same bytes as the span of number other; eight bytes of all are compared at a time."""
+    size = ends - starts
+    same = size == size[other]
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live, at = np.flatnonzero(same & (other != np.arange(len(size)))), 0
+    while len(live) > 64 or (len(live) and not at):
+        left = size[live] - at
+        unlike = (eight[starts[live] + at] ^ eight[starts[other[live]] + at]) << (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+        same[live[unlike != 0]] = False
+        live, at = live[(unlike == 0) & (left > 8)], at + 8
+    for k in live.tolist():
+        same[k] = data[starts[k] : ends[k]].tobytes() == data[starts[other[k]] : ends[other[k]]].tobytes()
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct spans' bytes, where each comes first, their hashes, and for each span the number of its bytes. Spans
+    meet by hash; bytes decide."""
+    hashes, first, inverse = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    inverse = inverse.astype(np.int64)
+    raw = data.tobytes()
+    words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    odd = np.flatnonzero(~same_spans(data, starts, ends, first[inverse]))
+    if len(odd):
+        extra: dict[bytes, int] = {}
+        for k in odd.tolist():
+            word = raw[starts[k] : ends[k]]
+            if word not in extra:
+                extra[word] = len(words)
+                words.append(word)
+                first, hashes = np.append(first, k), np.append(hashes, hashes[inverse[k]])
+            inverse[k] = extra[word]
+    return words, first, hashes, inverse
+
+
 # ---- pre-tokens of byte-level BPE
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3

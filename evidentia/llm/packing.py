@@ -49,7 +49,7 @@ class WordEncoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         if ranks := byte_ranks(path):  # the same ids, faster word by word
             self.one = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
@@ -57,11 +57,11 @@ class WordEncoder:
             tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
             self.one = lambda word: tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        ids = list(map(self.one, words))
+    def _learn(self, words: list[bytes]) -> None:
+        ids = [self.one(word.decode()) for word in words]
         raw, last = np.array([x for own in ids for x in own], np.uint32).tobytes(), 0
-        for key, own in zip(keys, ids, strict=True):
-            self.known[key] = raw[last : last + 4 * len(own)]
+        for word, own in zip(words, ids, strict=True):
+            self.known[word] = raw[last : last + 4 * len(own)]
             last += 4 * len(own)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +70,11 @@ class WordEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        hashes, first, inverse = np.unique(K.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+        words, _, _, inverse = K.distinct_spans(data, starts, ends)
         if len(self.known) > self.BOUND:
             self.known.clear()
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        raw = data.tobytes()
-        self._learn([keys[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode() for k in new])
-        packed = [self.known[h] for h in keys]
+        self._learn([w for w in words if w not in self.known])
+        packed = [self.known[w] for w in words]
         lens = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         at = np.cumsum(lens) - lens
         ids = np.frombuffer(b"".join(packed), np.uint32)[K.ragged(at[inverse], lens[inverse])]

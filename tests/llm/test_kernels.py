@@ -46,3 +46,17 @@ def test_codec_round_trip():
     arrays = [np.array([], np.uint32), np.array([1, 2**31, 5], np.uint32), np.array([2**63, 1], np.uint64), np.array([7], np.uint16)]
     for a, b in zip(arrays, codec.unpack(codec.pack(*arrays), 4), strict=True):
         assert a.tolist() == b.tolist() and a.dtype == b.dtype
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in [*rng.integers(1, 30, 400), 3000, 3000]]
+    words += [words[-1], words[-1][:-1] + b"z"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = np.concatenate([[0], ends[:-1]])
+    for constant in (False, True):
+        if constant:
+            monkeypatch.setattr(K, "span_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        found, first, hashes, inverse = K.distinct_spans(data, starts, ends)
+        assert len(set(found)) == len(found) == len(first) == len(hashes) and [found[k] for k in inverse] == words
