@@ -46,8 +46,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of each assembled capture; beside the response's own columns, the address in its request and metadata records."""
     captures = warc.archive(_table(spark, sf_dir, "pages"))
-    return captures.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "refers_to")
+    return captures.select(
+        "page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "refers_to", F.col("request.url").alias("request_url"), F.col("metadata.url").alias("metadata_url")
+    )
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +85,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-#: pages of equal text differ in no byte, so that text stands for the payload here.
-WARC_SQL = """
-with t as (select page_id, coalesce(html, '') as html from pages),
-k as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as first_id from t)
+#: pages of equal text differ in no byte, so that text stands for the payload here. Blanks and control characters of an
+#: address are escaped; each capture has its own request and metadata.
+WARC_SQL = r"""
+with t as (select page_id, coalesce(html, '') as html, array_to_string(list_transform(regexp_extract_all(coalesce(url, ''), '(?s).'),
+  c -> case when unicode(c) <= 32 then printf('%%%02X', unicode(c)) else c end), '') as url from pages),
+k as (select page_id, url, strlen(html) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as first_id from t)
 select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id <> first_id then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= 1000 and page_id <> first_id then first_id end as refers_to
+  case when payload_bytes >= 1000 and page_id <> first_id then first_id end as refers_to,
+  url as request_url, url as metadata_url
 from k
 """
 

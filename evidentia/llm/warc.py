@@ -92,7 +92,8 @@ def write_archives(planned: DataFrame, roll: int = ROLL) -> DataFrame:
 
 
 def parse(stream: gzip.GzipFile) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
+    """Headers (names in lower case) and block of each record; one whose length is no number has an empty block, and what
+    follows up to the next record is skipped."""
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -100,7 +101,8 @@ def parse(stream: gzip.GzipFile) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()).strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             head[k.strip().lower()] = v.strip()
-        yield head, stream.read(int(head.get("content-length", "0")))
+        size = head.get("content-length", "")
+        yield head, stream.read(int(size) if size.isdecimal() else 0)
 
 
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, url string, date string, payload_bytes long, payload_digest string, payload binary"
