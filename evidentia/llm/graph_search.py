@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Distinct vectors in a shard (on average), queries in a block, and edges of a point.
-SHARD, QUERIES, DEGREE = 2048, 2048, 28
+#: Distinct vectors in a shard (on average), queries in a block, and edges of a point. Every query visits every shard, so
+#: both grow with their number only, and are as large as a task can hold.
+SHARD, QUERIES, DEGREE = 16384, 16384, 28
+#: Queries that advance together.
+TOGETHER = 1024
 #: Widths of the beams that build and that search, and how many points of a beam a step expands.
 BUILD_BEAM, BEAM, EXPAND = 48, 64, 4
 #: A candidate goes when a kept one is so many times nearer to it than the point is (squared distances).
@@ -124,10 +127,10 @@ def build_graph(x: np.ndarray, seed: int = 0, degree: int = DEGREE) -> tuple[np.
 
 
 def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as given, in double precision, and their single-precision unit vectors."""
+    """Vectors in double precision, times a power of two so that no square overflows, and their single-precision unit vectors."""
     v = np.stack([np.asarray(a, np.float64) for a in column])
-    scaled = v / np.abs(v).max(axis=1, keepdims=True)
-    return v, (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+    return v, (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +155,8 @@ def _search(k: int, beam: int):  # noqa: ANN202
         graph = np.full((len(index), max(1, width)), -1, np.int64)
         for i, a in enumerate(index["neighbours"]):
             graph[i, : len(a)] = a
-        found, _ = beam_search(x, graph, np.flatnonzero(index["entry"].to_numpy()), unit, min(beam, len(index)))
+        entries = np.flatnonzero(index["entry"].to_numpy())
+        found = np.concatenate([beam_search(x, graph, entries, unit[i : i + TOGETHER], min(beam, len(index)))[0] for i in range(0, len(unit), TOGETHER)])
         ids, out = index["ids"].tolist(), []
         length, q_length = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         for own, vector, norm, near in zip(queries["query_id"].tolist(), q, q_length, found[:, : 2 * k + 2], strict=True):
