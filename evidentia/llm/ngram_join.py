@@ -1,10 +1,12 @@
 """Similarity join of texts by the Jaccard coefficient of their word n-grams, with Bayesian pruning.
 
 Texts with the same set of n-grams are one node. Bands of MinHash values link nodes that may be similar, each to the
-smallest of its bucket; the components of these links hold every pair that shares a band. Inside a component, in
-blocks of bounded size, MinHash values are compared some at a time: a pair is dropped when the posterior
-probability that it reaches the threshold falls below a tolerance, and the rest are counted exactly. No pair is
-ever a row: a block gives each text's number of links and the smallest text it hangs together with.
+smallest of its bucket; the components of these links hold every pair that shares a band. A component is compared as a
+whole where its texts are much alike, and bucket by bucket where that makes fewer pairs, as in long chains of texts that
+are little alike; both ways meet every pair that shares a band. In blocks of bounded size, MinHash values are compared
+some at a time: a pair is dropped when the posterior probability that it reaches the threshold falls below a tolerance,
+and the rest are counted exactly. No pair is ever a row: a block gives each text's number of links and the smallest
+text it hangs together with.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 #: Values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 24, 1e-6
-#: Texts in a block of a component.
-BLOCK = 128
-#: Rows in a group of blocks.
-GROUP = 512
+#: Texts in a block, and n-grams of all its texts, on average.
+BLOCK, GRAMS = 128, 1 << 19
+#: Rows in a group of blocks, and n-grams of all its texts.
+GROUP, GROUP_GRAMS = 512, 1 << 21
 
 WORD = K.byte_table("\x20\x09\x0a\x0b\x0c\x0d")
 _RNG = np.random.default_rng(7)
@@ -85,9 +87,10 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, size, a, b, bands) of each row: the number of n-grams, the key of their set and its bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def sketch(docs: DataFrame, n: int = WORDS, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, a, b, bands) of each row: the number of n-grams, the key of their set and its bands; then the columns of also."""
+    names = ["doc_id", "size", "a", "b", "bands", *also]
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*also).schema.fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,9 +99,10 @@ def sketch(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 sets = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 keys = [set_key(g) for g in sets]
                 bands = [band_keys(signature(g)) if len(g) else np.zeros(0, np.int64) for g in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(g) for g in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array([len(g) for g in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(bands, pa.list_(pa.int64())), *map(own.column, also)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, size long, a long, b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(apply, f"doc_id long, size long, a long, b long, bands array<long>{more}")
 
 
 def least_matches(step: int, total: int, threshold: float, tolerance: float) -> list[int]:
@@ -170,7 +174,7 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> np
 def _blocks(n: int, threshold: float, tolerance: float):  # noqa: ANN202
     def apply(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, lo, hi), own in group.groupby(["component", "lo", "hi"], sort=False):
+        for (_, by_band, lo, hi), own in group.groupby(["component", "by_band", "lo", "hi"], sort=False):
             raw = [(t or "").encode() for t in own["text"]]
             data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])
             sets = shingles(data, offsets, n)
@@ -186,20 +190,33 @@ def _blocks(n: int, threshold: float, tolerance: float):  # noqa: ANN202
                 first, second = at[block[at] == lo], at[block[at] == hi]
                 i, j = np.repeat(first, len(second)), np.tile(second, len(first))
             i, j = similar_pairs(sets, i, j, threshold, tolerance)
+            if len(i) and by_band:  # a pair counts in the first of the buckets that hold it
+                used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+                bands = np.stack([band_keys(signature(sets[k])) for k in used.tolist()])
+                alike = bands[place[: len(i)]] == bands[place[len(i) :]]
+                mine = bands[place[: len(i)], alike.argmax(axis=1)] == own["component"].iloc[0]
+                i, j = i[mine], j[mine]
             if not len(i):
                 continue
             copies, names = own["copies"].to_numpy(), own["node"].to_numpy()
             links = np.bincount(i, copies[j], len(own)) + np.bincount(j, copies[i], len(own))
             root = _roots(len(own), i, j, names)
             for k in np.flatnonzero(links):
-                out.append((int(names[k]), int(root[k]), int(links[k]), bool(own["n_blocks"].iloc[0] > 1)))
+                out.append((int(names[k]), int(root[k]), int(links[k]), bool(by_band or own["n_blocks"].iloc[0] > 1)))
         return pd.DataFrame(out, columns=["node", "root", "links", "many"])
 
     return apply
 
 
-def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, set_id, class_id, n_links), one row for each row of docs.
+def _loose(buckets: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(component) of the components of several blocks that make fewer pairs bucket by bucket than as a whole."""
+    large = sizes.filter("n_blocks > 1").select("component", "k")
+    inside = buckets.select(F.col("hub").alias("node"), F.col("k").cast("double").alias("own")).join(parts.select("node", "component"), "node").groupBy("component").agg(F.sum(F.col("own") * F.col("own")).alias("pairs"))
+    return written(large.join(inside, "component").filter("pairs < cast(k as double) * k").select("component"), "loose")
+
+
+def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, set_id, class_id, n_links), one row for each row of docs; then the columns of also.
 
     Two rows are linked when the Jaccard coefficient of their sets of word n-grams is at least the threshold. set_id is
     the smallest doc_id with the same set of n-grams, class_id the smallest that links lead to, and n_links the
@@ -207,27 +224,35 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, to
     by blanks, tabs and line ends, and a text of fewer than n words is one n-gram of them all.
 
     A null, empty or blank text has no n-grams and no links: its class is itself. A row with a null doc_id has null ids and
-    no links. Repeated rows are copies of each other. An empty table gives no rows; only doc_id and text are read.
+    no links. Repeated rows are copies of each other. An empty table gives no rows; only doc_id, text and also are read.
     """
-    rows = written(sketch(docs, n).withColumn("node", F.xxhash64("size", "a", "b")), "sketch")
+    rows = written(sketch(docs, n, also).withColumn("node", F.xxhash64("size", "a", "b")), "sketch")
     some = rows.filter("doc_id is not null and size > 0")
     sets = written(
-        some.groupBy("node", "size", "a", "b").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies")).select("node", "a", "b", "copies", F.col("first.doc_id").alias("set_id"), F.col("first.bands").alias("bands")),
+        some.groupBy("node", "size", "a", "b").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies")).select("node", "size", "a", "b", "copies", F.col("first.doc_id").alias("set_id"), F.col("first.bands").alias("bands")),
         "sets",
     )
     banded = sets.select("node", F.explode("bands").alias("band"))
-    buckets = written(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("band", "hub"), "buckets")
-    hung = banded.join(buckets, "band").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    parts = written(connected_components(hung), "parts")
-    sizes = written(parts.groupBy("component").agg(F.count(F.lit(1)).alias("k")).select("component", F.ceil(F.col("k") / BLOCK).cast("int").alias("n_blocks"), "k"), "sizes")
-    total = sizes.agg(F.coalesce(F.sum(F.col("k") * F.col("n_blocks")), F.lit(0))).first()[0]
-    groups = max(1, int(total) // GROUP)
-    members = parts.join(sizes, "component").select("node", "component", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
+    buckets = written(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    hung = banded.join(buckets.select("band", "hub"), "band").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    parts = written(connected_components(hung).join(sets.select("node", "size"), "node"), "parts")
+    n_blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / GRAMS)).cast("int").alias("n_blocks")
+    sizes = written(parts.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("grams")).select("component", n_blocks, "k"), "sizes")
+    members = parts.join(sizes.select("component", "n_blocks"), "component").select("node", "size", "component", "n_blocks", F.lit(False).alias("by_band"))
+    if not sizes.filter("n_blocks > 1").isEmpty():
+        loose = _loose(buckets, parts, sizes)
+        apart = banded.join(parts.join(loose, "component").select("node", "size"), "node").join(buckets.select("band"), "band").withColumnRenamed("band", "component")
+        counts = apart.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("grams")).select("component", n_blocks)
+        members = members.join(loose, "component", "left_anti").unionByName(apart.join(counts, "component").withColumn("by_band", F.lit(True)))
+    members = written(members, "members")
+    total, grams = members.agg(F.coalesce(F.sum("n_blocks"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("n_blocks")), F.lit(0))).first()
+    groups = max(1, int(total) // GROUP, int(grams) // GROUP_GRAMS)
+    members = members.drop("size").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     members = members.join(sets.select("node", "a", "b", "copies", F.col("set_id").alias("doc_id")), "node")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     spread = texts.select("*", other.alias("other")).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    spread = spread.withColumn("g", F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(groups)))
+    spread = spread.withColumn("g", F.pmod(F.xxhash64("component", "by_band", "lo", "hi"), F.lit(groups)))
     found = written(spread.groupBy("g").applyInPandas(_blocks(n, threshold, tolerance), "node long, root long, links long, many boolean"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = found.filter("not many").select("node", F.col("root").alias("label")).distinct()
@@ -238,5 +263,5 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, to
     first = linked.groupBy("label").agg(F.min("set_id").alias("class_id"))
     classes = linked.join(first, "label").select("node", "class_id", "links")
     known = written(sets.select("node", "set_id", "copies").join(classes, "node", "left").select("node", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
-    alone = rows.filter("doc_id is null or size = 0").select("doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.select("doc_id", "node").join(known, "node").select("doc_id", "set_id", "class_id", "n_links").unionByName(alone)
+    alone = rows.filter("doc_id is null or size = 0").select("doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), *also)
+    return some.select("doc_id", "node", *also).join(known, "node").select("doc_id", "set_id", "class_id", "n_links", *also).unionByName(alone)

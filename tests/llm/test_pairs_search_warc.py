@@ -54,12 +54,23 @@ def _near_copies():
     return texts
 
 
-@pytest.mark.parametrize("kind", ["groups", "documents"])
-def test_join_loses_no_link(spark, kind):
-    texts = _near_copies() if kind == "groups" else {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+def _chain():
+    rng, at, texts = np.random.default_rng(4), 0, {}
+    for i in range(700):  # each text shares half to nine tenths of its n-grams with the next
+        texts[i] = " ".join(f"w{k}" for k in range(at, at + 40))
+        at += int(rng.integers(2, 9))
+    return texts
+
+
+@pytest.mark.parametrize("kind", ["groups", "documents", "chain"])
+def test_join_loses_no_link(spark, kind, monkeypatch):
+    loose = []
+    monkeypatch.setattr(ngram_join, "_loose", lambda *a, own=ngram_join._loose: loose.append(own(*a)) or loose[-1])
+    texts = {"groups": _near_copies, "chain": _chain, "documents": lambda: {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}}[kind]()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(docs).collect()}
     assert got == _brute(texts)
+    assert any(x.count() for x in loose) == (kind == "chain")
 
 
 def test_join_edges(spark):
@@ -97,7 +108,10 @@ def _exact(vectors, queries, k):
     return out
 
 
-def test_search_recall(spark):
+@pytest.mark.parametrize("shard", [graph_search.SHARD, 128])
+def test_search_recall(spark, shard, monkeypatch):
+    monkeypatch.setattr(graph_search, "SHARD", shard)
+    monkeypatch.setattr(graph_search, "QUERIES", shard // 16)
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     vectors = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
     want = _exact(vectors, {i: v for i, v in vectors.items() if i % 50 == 0}, 5)
@@ -119,6 +133,17 @@ def test_search_edges(spark):
     assert graph_search.nearest(v.filter("false"), v.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("power", [-300, 200, 300])
+def test_search_over_the_whole_range_of_doubles(spark, power):
+    x = np.random.default_rng(2).normal(size=(60, 4))
+    v = spark.createDataFrame([(i, (row * 10.0**power).tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    want = _exact(dict(enumerate(x)), {0: x[0], 50: x[50]}, 5)
+    got = defaultdict(list)
+    for r in graph_search.nearest(v, v.filter("vec_id % 50 = 0")).orderBy("rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == want
+
+
 def test_search_with_many_copies(spark):
     rows = [(i, [1.0, 0.5, 0.25]) for i in range(300)] + [(i, [float(i % 7), 1.0, float(i % 11)]) for i in range(300, 900)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
