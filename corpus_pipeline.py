@@ -29,9 +29,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more connect, the one with the smallest doc_id stays."""
-    gone = written(ngram_join.ngram_join(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Of documents that links of 0.8 or more connect, the one with the smallest doc_id stays. Where a doc_id has several
+    texts, each is judged by itself."""
+    digest = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    linked = ngram_join.ngram_join(docs.select("doc_id", "text", digest.alias("digest")), also=("digest",))
+    gone = written(linked.filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "gone")
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (digest == gone["gone_digest"]), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
