@@ -37,3 +37,12 @@ def test_stage_keeps_columns_and_odd_rows(spark, k):
     assert None in ids and (1 in ids)
     assert (2 in ids) == (k == 0) and (5 in ids) == (k != 0)
     assert corpus_pipeline.STAGES[k][1](spark, docs.filter("false"), SF).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_other_text_under_the_id_of_a_copy_stays(spark, k):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = a if k == 1 else a.replace("a7 ", "c7 ")
+    docs = spark.createDataFrame([(1, a), (2, near), (2, b), (3, None), (None, a)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.STAGES[k][1](spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, None), (None, a)], key=str)
