@@ -31,6 +31,8 @@ END, START = np.uint64(0x9FB21C651E98DF25), np.uint64(0x3C79AC492BA7B653)
 STRETCH = 32 << 20
 SCORED = 4 << 20
 SPREAD = 8
+#: Bytes of text whose grams a bucket holds at most, on average.
+BUCKET = 24 << 20
 _16, _32 = np.uint64(16), np.uint64(32)
 
 
@@ -230,10 +232,16 @@ class Model:
     word_rest: float
 
 
+def n_buckets(docs: DataFrame) -> int:
+    """How many buckets hold the counts: as many as shuffles have partitions, and more where the text fills them."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET)
+
+
 def train(docs: DataFrame) -> Model:
     """Counts every text of docs (null: empty). One row of sums for each bucket is reduced in Spark; the driver sees one."""
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = n_buckets(docs)
     folder = local_path(shared_dir(spark))
     os.makedirs(folder, exist_ok=True)
     counted = docs.select("text").mapInArrow(_count(buckets), ROWS)
@@ -262,7 +270,7 @@ class _Arrays:
 
     def _open(self, name: str, bucket: int) -> np.ndarray | None:
         path = f"{self.folder}/{name}-{bucket}.npy"
-        return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return np.load(path, mmap_mode="r").view(np.ndarray) if os.path.exists(path) else None
 
     def find(self, name: str, value: str, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The values of keys, which are sorted by bucket and then by key; zero where a key is missing."""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .codec import pack, steps, unpack
-from .kneser_ney import _ROWS, _16, _32, END, ROWS, START, STRETCH, _Arrays, _key, _ones_to_fours, _range, _save, _summed, discounts, tokens
+from .kneser_ney import _ROWS, _16, _32, END, ROWS, START, STRETCH, _Arrays, _key, _ones_to_fours, _range, _save, _summed, discounts, n_buckets, tokens
 from .scratch import local_path, shared_dir, written
 
 ROUNDS = 4
@@ -54,6 +54,11 @@ def _spot(key: np.ndarray, buckets: int) -> np.ndarray:
     return _range(K.mix(key + np.uint64(0x2545F4914F6CDD1D)), buckets)
 
 
+def _order(bucket: np.ndarray, along: np.ndarray, buckets: int) -> np.ndarray:
+    """The order by bucket, and there by the first 48 bits of along."""
+    return np.argsort(bucket.astype(np.uint64) << np.uint64(48) | along >> _16) if buckets <= 1 << 16 else np.lexsort((along, bucket))
+
+
 def _is_hot(v: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.isin(v, hot) if len(hot) else np.zeros(len(v), bool)
 
@@ -131,13 +136,16 @@ def _merge_words(folder: str):  # noqa: ANN202
 def _count(buckets: int, hot: np.ndarray, turn: int):  # noqa: ANN202
     def emit(held: list) -> Iterator[tuple[int, int, bytes]]:
         u, v, w = (np.concatenate(x) for x in zip(*(grams(*h) for h in held), strict=True))
-        bucket = _home(v, _key(v, w), hot, buckets)
-        mine = bucket % ROUNDS == turn
+        bucket = _spot(v, buckets)
+        far = np.flatnonzero(_is_hot(v, hot))
+        bucket[far] = _spot(_key(v[far], w[far]), buckets)
+        mine = np.flatnonzero(bucket % ROUNDS == turn)
+        if not len(mine):
+            return
         u, v, w, bucket = u[mine], v[mine], w[mine], bucket[mine]
-        order = np.lexsort((w, u, v, bucket))
+        # one sort by the first bits of everything; runs that they leave broken are only sent as two
+        order = _order(bucket, v >> np.uint64(24) << np.uint64(40) | u >> np.uint64(36) << np.uint64(28) | w >> np.uint64(36) << np.uint64(16), buckets)
         u, v, w, bucket = u[order], v[order], w[order], bucket[order]
-        if not len(u):
-            return
         new_v = np.concatenate([[True], (v[1:] != v[:-1]) | (bucket[1:] != bucket[:-1])])
         new_u = new_v | np.concatenate([[True], u[1:] != u[:-1]])
         first = np.flatnonzero(new_u | np.concatenate([[True], w[1:] != w[:-1]]))
@@ -176,7 +184,7 @@ class Tables(_Arrays):
     def rows(self, name: str, keys: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
         """The values of keys, in any order; zeros where a key is missing."""
         out = np.zeros((len(keys), width), np.int64)
-        order = np.lexsort((keys, bucket))
+        order = _order(bucket, keys, self.buckets)
         for b, i, j in _parts(bucket[order], self.buckets):
             have = self.open(f"{name}-key", b)
             if have is None or not len(have):
@@ -283,10 +291,10 @@ def _release(spark) -> None:  # noqa: ANN001
 
 def train(docs: DataFrame) -> TrigramModel:
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select("text")
+    buckets = n_buckets(texts)
     folder = local_path(shared_dir(spark))
     os.makedirs(folder, exist_ok=True)
-    texts = docs.select("text")
     words = written(texts.mapInArrow(_count_words(buckets), ROWS).groupBy("bucket").applyInPandas(_merge_words(folder), ROWS), "words")
 
     def sums(df: DataFrame, n: int) -> list[int]:
