@@ -1,8 +1,10 @@
 """Licence scan by a positional index of rare words.
 
 Document frequencies of the licence vocabulary come from the whole corpus. A template of n words of which m must stand
-at their places has at least one of its n - m + 1 rarest places right wherever it counts: these words are looked up in each
-file, every start that they propose is verified by relative position, and the template's key phrase must be there in full.
+at their places has at least one of its n - m + 1 rarest places right wherever it counts: the postings of these words are
+looked up in each file, every start that they propose is verified by relative position, and the template's key phrase must
+be there in full. A word counts within SLACK of the place that a start gives it, so that a few words put in or left out
+move the rest of a notice without losing it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
+#: By how many places a word of a template may be off. Base phrases allow none.
+SLACK = 2
+
 #: Words are runs of letters, digits and all non-ASCII bytes.
 WORD = K.byte_table("".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -83,7 +88,7 @@ class Index:
         self.needed = np.array([next(k for k in range(n + 1) if k / n >= t.cover) for n, t in zip(sizes.tolist(), templates, strict=True)])
 
     def sought(self, idf: np.ndarray) -> list[np.ndarray]:
-        """For each template the rarest places, of which one at least is right wherever the template is."""
+        """For each template the rarest places, of which one at least is right (within SLACK) wherever the template is."""
         return [np.argsort(-idf[r], kind="stable")[: len(r) - m + 1] for r, m in zip(self.rows, self.needed.tolist(), strict=True)]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
@@ -95,7 +100,7 @@ class Index:
 
 INDEX = Index((*BASE, *TEMPLATES))
 #: Starts that are verified at once.
-STARTS = 1 << 16
+STARTS = 1 << 14
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -144,6 +149,7 @@ def scan_file(rows: np.ndarray, sought: list[np.ndarray]) -> tuple[list[tuple[st
         return [], {}
     base: list[tuple[str, int]] = []
     covered: dict[str, float] = {}
+    padded = None
     present = np.zeros(len(INDEX.vocabulary), bool)
     present[rows[hit]] = True
     enough = np.add.reduceat(present[INDEX.flat].astype(np.int64), INDEX.begin) >= INDEX.needed
@@ -158,14 +164,19 @@ def scan_file(rows: np.ndarray, sought: list[np.ndarray]) -> tuple[list[tuple[st
             if len(at):
                 covered[template.label] = 1.0
             continue
+        if padded is None:
+            padded = np.concatenate([np.full(SLACK, -1), rows, np.full(SLACK + 1, -1)])
+        starts = np.unique(starts[:, None] + np.arange(-SLACK, SLACK + 1))
         for k in range(0, len(starts), STARTS):
             # relative positions: how many words of the template stand where this start puts them
-            places = starts[k : k + STARTS, None] + np.arange(len(words))
-            inside = (places >= 0) & (places < len(rows))
-            agree = (inside & (rows[np.clip(places, 0, len(rows) - 1)] == words)).sum(axis=1)
+            places = starts[k : k + STARTS, None] + np.arange(len(words)) + SLACK
+            agree = np.zeros(places.shape, bool)
+            for off in range(-SLACK, SLACK + 1):
+                agree |= padded[np.clip(places + off, 0, len(padded) - 1)] == words
+            agree = agree.sum(axis=1)
             for i in np.flatnonzero(agree >= INDEX.needed[t]).tolist():
                 start = int(starts[k + i])
-                near = np.arange(max(0, start), min(len(rows), start + len(words)))
+                near = np.arange(max(0, start - SLACK), min(len(rows), start + len(words) + SLACK))
                 if _phrase_at(rows, near, INDEX.key_rows[t]).any():
                     covered[template.label] = max(covered.get(template.label, 0.0), float(agree[i] / len(words)))
     return base, covered
