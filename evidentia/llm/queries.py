@@ -89,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: address are escaped; each capture has its own request and metadata.
 WARC_SQL = r"""
 with t as (select page_id, coalesce(html, '') as html, array_to_string(list_transform(regexp_extract_all(coalesce(url, ''), '(?s).'),
-  c -> case when unicode(c) <= 32 then printf('%%%02X', unicode(c)) else c end), '') as url from pages),
+  lambda c: case when unicode(c) <= 32 then printf('%%%02X', unicode(c)) else c end), '') as url from pages),
 k as (select page_id, url, strlen(html) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as first_id from t)
 select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id <> first_id then 'revisit' else 'response' end as record_type,
