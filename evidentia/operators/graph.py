@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import globs, places
 from ..functions import text as T
+from .retrieval import ranked
 
 #: For each language the kinds of facts that a line can hold, with a pattern whose first group is the name.
 LINE_FACTS: dict[str, dict[str, str]] = {
@@ -116,14 +117,23 @@ def import_hubs(edges: DataFrame, limit: int = 5) -> DataFrame:
 
 def import_neighbours(edges: DataFrame, seeds: DataFrame, limit: int = 8) -> DataFrame:
     """(q, path, direction, rank): files one import away from the seeds (q, path, seed_rank): what they import, then what
-    imports them, in the order of seeds; each once and no seed itself."""
-    out = seeds.join(edges.select("path", F.col("target").alias("other")), "path").select("q", "seed_rank", F.lit(0).alias("d"), "other")
-    into = seeds.join(edges.select(F.col("target").alias("path"), F.col("path").alias("other")), "path").select("q", "seed_rank", F.lit(1).alias("d"), "other")
+    imports them, in the order of seeds; each once and no seed itself.
+
+    Of a file's neighbours on one side only the first limit + n by name can be in a result, where n is the largest number of
+    seeds of a question: all others stand behind limit rows that are no seeds. The rest goes before the join."""
+    n = seeds.groupBy("q").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    pairs = edges.select("path", F.col("target").alias("other")).distinct()
+
+    def side(own: DataFrame, d: int) -> DataFrame:
+        few = ranked(own, ["path"], [F.col("other")], limit + n).drop("rank")
+        return seeds.join(few, "path").select("q", "seed_rank", F.lit(d).alias("d"), "other")
+
+    out, into = side(pairs, 0), side(pairs.select(F.col("other").alias("path"), F.col("path").alias("other")), 1)
     both = out.unionByName(into).groupBy("q", "other").agg(F.min(F.struct("seed_rank", "d")).alias("first"))
     both = both.withColumnRenamed("other", "path").join(seeds.select("q", "path"), ["q", "path"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("first", "path"))
-    ranked = both.withColumn("rank", rank).filter(F.col("rank") <= limit)
-    return ranked.select("q", "path", F.when(F.col("first.d") == 0, "imports").otherwise("imported_by").alias("direction"), "rank")
+    best = both.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return best.select("q", "path", F.when(F.col("first.d") == 0, "imports").otherwise("imported_by").alias("direction"), "rank")
 
 
 def architecture_spine(hubs: DataFrame, limit: int = 5) -> DataFrame:

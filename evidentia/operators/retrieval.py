@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,8 +21,10 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 THRESHOLD = 0.20
 DIMS = 64
-#: Bytes of question vectors that go to every task at once; more questions are searched in blocks.
-QUERY_BYTES = 64 << 20
+#: Bytes of question vectors that go to every task at once; more questions are searched in blocks of so many bytes.
+QUERY_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
+#: Pairs of questions and terms that go to every task at once; more are joined.
+QUERY_TERMS = 1_000_000
 
 
 def candidates(k: int) -> int:
@@ -55,13 +58,99 @@ def postings(docs: DataFrame) -> DataFrame:
     return own.select("key", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _term_counts(terms: pa.Array):  # noqa: ANN202
+    """Numbers of texts with each term; -1: of all texts; -2: of all tokens."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total, size = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            doc, term, dl = _term_places(batch.column("low"), terms)
+            found += np.bincount(np.unique(doc * len(terms) + term) % len(terms), minlength=len(terms))
+            total, size = total + len(dl), size + int(dl.sum())
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"term": np.append(some, [-1, -2]), "n": np.append(found[some], [total, size])})
+
+    return apply
+
+
+def _term_places(low: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of lower-case texts that is one of the terms its text and term; and the number of tokens of each text.
+    Texts are cut as functions.text.tokens does, without moving arrays of strings."""
+    lists = pc.split_pattern(pc.replace_substring_regex(low, "[^a-z0-9]+", " "), " ")
+    values, doc = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    term = pc.fill_null(pc.index_in(values, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.greater(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    return doc[term >= 0].astype(np.int64), term[term >= 0], np.bincount(doc[some], minlength=len(low))
+
+
+def _term_scores(names: list, of: np.ndarray, term: np.ndarray, terms: pa.Array, idf: np.ndarray, avgdl: float, limit: int, q_type: pa.DataType):  # noqa: ANN202
+    """Scores the texts of a batch for all questions, some at a time: weights of texts by terms, times terms by questions."""
+    cuts, blocks = [0], []  # ranges of questions (of is ascending) with at most 8192 terms, or one question
+    for k in range(1, len(names) + 1):
+        if k == len(names) or np.searchsorted(of, k + 1) - np.searchsorted(of, cuts[-1]) > 8192:
+            cuts.append(k)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        i, j = np.searchsorted(of, [a, b])
+        blocks.append((a, b, of[i:j] - a, term[i:j]))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, own, dl = _term_places(batch.column("low"), terms)
+            pair, tf = np.unique(doc * len(terms) + own, return_counts=True)
+            doc, own = pair // len(terms), pair % len(terms)
+            weight = idf[own] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+            for a, b, q, t in blocks:
+                used, column = np.unique(t, return_inverse=True)
+                asked = np.zeros((len(used), b - a))
+                asked[column, q] = 1
+                place = np.full(len(terms), -1)
+                place[used] = np.arange(len(used))
+                score = np.zeros((len(dl), b - a))
+                for k in range(0, len(dl), 256):
+                    i, j = np.searchsorted(doc, [k, k + 256])
+                    here = i + np.flatnonzero(place[own[i:j]] >= 0)
+                    table = np.zeros((min(256, len(dl) - k), len(used)))
+                    table[doc[here] - k, place[own[here]]] = weight[here]
+                    score[k : k + 256] = table @ asked
+                score = np.where(score > 0, np.round(score, 6), -np.inf).T
+                low = np.partition(score, -limit, axis=1)[:, -limit, None] if score.shape[1] > limit else -np.inf
+                r, c = np.nonzero((score >= low) & (score > -np.inf))
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in (r + a).tolist()], q_type), batch.column("key").take(pa.array(c)), pa.array(score[r, c])], names=["q", "key", "score"])
+
+    return apply
+
+
 def bm25(docs: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
-    """(q, key, score, rank) of the best texts of docs (key, text); only terms that are asked for are counted and moved.
+    """(q, key, score, rank) of the best texts of docs (key, text).
 
-    Questions share their terms: a term's weights are computed once, however many questions hold it.
+    Up to QUERY_TERMS pairs of questions and terms go to every task, which scores its texts for all questions at once and
+    keeps its own best for each, so that the shuffle carries limit rows for each batch and question; more pairs are
+    joined with the texts' terms. A text without a term of a question is no result for it; a null text is an empty one.
     """
     asked = query_terms(questions)
-    own = docs.select("key", T.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    if asked.count() > QUERY_TERMS:
+        return _joined_bm25(docs, asked, limit)
+    pairs = asked.orderBy("q").toArrow()
+    terms = pc.unique(pairs["term"])
+    number, names = {}, []
+    for q in pairs["q"].to_pylist():
+        if q not in number:
+            number[q] = len(names)
+            names.append(q)
+    of = np.array([number[q] for q in pairs["q"].to_pylist()], np.int64)
+    term = np.asarray(pc.index_in(pairs["term"], value_set=terms), np.int64)
+    own = docs.select("key", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    n = dict(own.select("low").mapInArrow(_term_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False, name=None)) if names else {}
+    total, df = n.get(-1, 0), np.array([n.get(t, 0) for t in range(len(terms))], np.float64)
+    schema = f"q {questions.schema['q'].dataType.simpleString()}, key {docs.schema['key'].dataType.simpleString()}, score double"
+    score = _term_scores(names, of, term, terms, np.log(1 + (total - df + 0.5) / (df + 0.5)), n.get(-2, 0) / max(total, 1) or 1.0, limit, to_arrow_type(questions.schema["q"].dataType))
+    return ranked((own if names else own.limit(0)).mapInArrow(score, schema), ["q"], [F.desc("score"), F.asc("key")], limit)
+
+
+def _joined_bm25(docs: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """bm25 of any number of questions, as joins; a term's weights are computed once, however many questions hold it."""
+    own = docs.select("key", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
     size = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     terms = asked.select("term").distinct()
     hits = own.select("key", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -86,12 +175,15 @@ def hashed_vectors(docs: DataFrame, dims: int = DIMS) -> DataFrame:
     return packed.select("key", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero).cast("double")).alias("vec"))
 
 
-def _matrix(vecs: list, dims: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Unit rows of the usable vectors, their places, and their length: null, zero and odd-sized vectors are left out."""
-    dims = dims or max((len(v) for v in vecs if v is not None), default=0)
-    fit = [j for j, v in enumerate(vecs) if v is not None and len(v) == dims and None not in v and any(v)]
-    x = np.array([vecs[j] for j in fit], np.float64).reshape(len(fit), dims)
-    return x / np.linalg.norm(x, axis=1, keepdims=True), np.array(fit, np.int64), dims
+def _matrix(vecs: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the usable vectors of one length, and their places: null and zero vectors, and those with a null or
+    non-finite component, are left out."""
+    fit = np.array([j for j, v in enumerate(vecs) if v is not None and len(v) == dims and None not in v], np.int64)
+    x = np.array([vecs[j] for j in fit.tolist()], np.float64).reshape(len(fit), dims)
+    most = np.abs(x).max(axis=1, initial=0)
+    good = np.isfinite(x).all(axis=1) & (most > 0)
+    x = x[good] / most[good, None]
+    return x / np.linalg.norm(x, axis=1, keepdims=True), fit[good]
 
 
 def _best(questions: np.ndarray, vectors: np.ndarray, limit: int, threshold: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,48 +201,52 @@ def cosine_topk(vectors: DataFrame, questions: DataFrame, limit: int, threshold:
     """(q, key, score, rank): the nearest vectors (key, vec) of each question (q, vec) by exact cosine, rounded to six places.
 
     Up to QUERY_BYTES of question vectors go to every task; more are cut into blocks, as are the vectors, and each pair of
-    blocks is one row. Either way a task keeps only its own best for each question, so that the shuffle carries limit
-    rows for each task and question. Rows of zero or null vectors, or of other lengths, do not match. A
-    predicate on vectors belongs before the call: it reaches the scan.
+    blocks is one group. Either way a task keeps only its own best for each question, so that the shuffle carries limit
+    rows for each task and question. A question meets the vectors of its own length. Vectors that are null or zero, or have a null
+    or non-finite component, match nothing. A predicate on vectors belongs before the call: it reaches the scan.
     """
-    asked = questions.filter("vec is not null").select("q", "vec")
-    n, dims = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    asked, stored = (df.filter("vec is not null").select(id_, "vec") for df, id_ in ((questions, "q"), (vectors, "key")))
+    size = asked.agg(F.coalesce(F.sum(F.size("vec") * 8), F.lit(0)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
     q_type, key_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((questions, "q"), (vectors, "key")))
     schema = f"q {questions.schema['q'].dataType.simpleString()}, key {vectors.schema['key'].dataType.simpleString()}, score double"
 
-    def rows(names: list, keys: list, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in found[0].tolist()], q_type), pa.array([keys[i] for i in found[1].tolist()], key_type), pa.array(found[2])], names=["q", "key", "score"])
-
-    if n * dims * 8 <= QUERY_BYTES:
+    def by_length(names: list, vecs: list) -> list[tuple[int, np.ndarray, list]]:
+        found = []
+        for dims in sorted({len(v) for v in vecs if v}):
+            matrix, fit = _matrix(vecs, dims)
+            found.append((dims, matrix, [names[i] for i in fit.tolist()]))
+        return found
+
+    def matches(asked_: list[tuple[int, np.ndarray, list]], keys: list, vecs: list) -> Iterator[pa.RecordBatch]:
+        for dims, matrix, names in asked_:
+            x, fit = _matrix(vecs, dims)
+            if len(x) and names:
+                for q, v, score in _best(matrix, x, limit, threshold):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], q_type), pa.array([keys[fit[i]] for i in v.tolist()], key_type), pa.array(score)], names=["q", "key", "score"])
+
+    if size[0] <= QUERY_BYTES:
         here = asked.collect()
-        matrix, fit, _ = _matrix([r.vec for r in here], dims)
-        names = [here[i].q for i in fit.tolist()]
+        all_asked = by_length([r.q for r in here], [r.vec for r in here])
 
         def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, fit, _ = _matrix(batch.column("vec").to_pylist(), dims)
-                keys = batch.column("key").to_pylist()
-                if len(x) and names:
-                    yield from (rows(names, [keys[i] for i in fit.tolist()], f) for f in _best(matrix, x, limit, threshold))
+                yield from matches(all_asked, batch.column("key").to_pylist(), batch.column("vec").to_pylist())
 
-        found = vectors.select("key", "vec").mapInArrow(against_all, schema)
+        found = stored.mapInArrow(against_all, schema)
     else:
-        size = max(1, QUERY_BYTES // (8 * dims))
+        rows = max(1, BLOCK_BYTES // (8 * size[1]))
+        n_q, n_v = (max(1, -(-df.count() // rows)) for df in (asked, stored))
 
-        def blocks(df: DataFrame, id_: str, total: int, name: str) -> DataFrame:
-            block = F.pmod(F.xxhash64(id_), F.lit(max(1, -(-total // size))))
-            return df.groupBy(block.alias(f"{name}_block")).agg(F.collect_list(F.struct(id_, "vec")).alias(name))
+        def blocks(df: DataFrame, id_: str, own: str, n: int, other: str, m: int) -> DataFrame:
+            return df.select(id_, "vec", F.pmod(F.xxhash64(id_), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other)).groupBy("qb", "vb")
 
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.select(["qs", "vs"]).to_pylist():
-                    m, fit_q, _ = _matrix([r["vec"] for r in row["qs"]], dims)
-                    x, fit_v, _ = _matrix([r["vec"] for r in row["vs"]], dims)
-                    if len(m) and len(x):
-                        names, keys = [row["qs"][i]["q"] for i in fit_q.tolist()], [row["vs"][i]["key"] for i in fit_v.tolist()]
-                        yield from (rows(names, keys, f) for f in _best(m, x, limit, threshold))
-
-        found = blocks(asked, "q", n, "qs").crossJoin(blocks(vectors.filter("vec is not null").select("key", "vec"), "key", vectors.count(), "vs")).mapInArrow(pairs, schema)
+        def pair(qs: pa.Table, vs: pa.Table) -> pa.Table:
+            if not len(qs) or not len(vs):
+                return pa.table({"q": pa.array([], q_type), "key": pa.array([], key_type), "score": pa.array([], pa.float64())})
+            out = list(matches(by_length(qs["q"].to_pylist(), qs["vec"].to_pylist()), vs["key"].to_pylist(), vs["vec"].to_pylist()))
+            return pa.Table.from_batches(out, pa.schema([("q", q_type), ("key", key_type), ("score", pa.float64())]))
+
+        found = blocks(asked, "q", "qb", n_q, "vb", n_v).cogroup(blocks(stored, "key", "vb", n_v, "qb", n_q)).applyInArrow(pair, schema)
     return ranked(found, ["q"], [F.desc("score"), F.asc("key")], limit)
 
 

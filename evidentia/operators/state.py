@@ -26,14 +26,24 @@ def apply_changes(stored: DataFrame, incoming: DataFrame, actions: DataFrame, ke
 
 
 def cache_hits(asks: DataFrame, answers: DataFrame, ttl_s: int) -> DataFrame:
-    """asks (ask_id, question_hash, ts, revision) with (hit): whether an answer (question_hash, ts, revision) of the same revision,
-    which is not null, is not older than ttl_s; 0 never ends."""
-    a = answers.groupBy("question_hash", "revision").agg(F.max("ts").alias("answered"), F.min("ts").alias("first"))
-    both = asks.join(a, ["question_hash", "revision"], "left")
-    fresh = F.col("answered").isNotNull() & (F.col("first") <= F.col("ts"))
-    if ttl_s:
-        fresh = fresh & (F.unix_timestamp("ts") - F.unix_timestamp("answered") <= ttl_s)
-    return both.select("ask_id", F.coalesce(fresh, F.lit(False)).alias("hit"))
+    """(ask_id, hit) of asks (ask_id, question_hash, ts, revision): whether the cache holds an answer at that time.
+
+    The cache holds the last of answers (answer_id, question_hash, ts, revision) to a question at or before the ask; later ones
+    replace it, but one without a revision is not stored. It serves while it is younger than ttl_s (0 or less: always)
+    and has the ask's revision, which is not null; an ask of another revision, or of none, removes it. Equal times
+    go by the ids, answers first. Blank revisions count as null.
+    """
+    revision = F.when(F.trim("revision") != "", F.trim("revision")).alias("revision")
+    rows = asks.select("question_hash", "ts", F.lit(1).alias("kind"), F.col("ask_id").alias("id"), revision)
+    stored = answers.select("question_hash", "ts", F.lit(0).alias("kind"), F.col("answer_id").alias("id"), revision).filter("revision is not null")
+    w = Window.partitionBy("question_hash").orderBy("ts", "kind", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("kind") == 0, F.struct("ts", "revision")), ignorenulls=True).over(w)
+    seen = rows.unionByName(stored).withColumn("answer", last).withColumn("n", F.sum(1 - F.col("kind")).over(w))
+    same = F.coalesce(F.col("revision") == F.col("answer.revision"), F.lit(False))
+    before = Window.partitionBy("question_hash", "n").orderBy("ts", "kind", "id").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.sum(F.when((F.col("kind") == 1) & ~same, 1).otherwise(0)).over(before), F.lit(0)) > 0
+    young = F.unix_micros("ts") - F.unix_micros("answer.ts") < ttl_s * 1_000_000 if ttl_s > 0 else F.lit(True)
+    return seen.withColumn("hit", same & ~gone & young).filter("kind = 1").select(F.col("id").alias("ask_id"), "hit")
 
 
 def lru(accesses: DataFrame, cap: int) -> DataFrame:

@@ -28,12 +28,15 @@ def ttl_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(end)).filter(F.col("ts") >= F.col("end") - F.expr("interval 1 day")).select("event_id", "user_id")
 
 
-@query("""with a as (select user_id % 20 as question_hash, event_type as revision, max(ts) as answered, min(ts) as first from events where event_id % 3 = 0 group by all),
-q as (select event_id as ask_id, user_id % 20 as question_hash, event_type as revision, ts from events where event_id % 3 <> 0)
-select ask_id, coalesce(first <= q.ts and epoch(date_trunc('second', q.ts)) - epoch(date_trunc('second', answered)) <= 300, false) as hit from q left join a using (question_hash, revision)""")
+@query("""with e as (select event_id as id, event_id % 3 <> 0 as asks, user_id as question_hash, event_type as revision, epoch_us(ts) as us from events),
+a as (select * from e where not asks),
+q as (select e.id, e.question_hash, e.revision, e.us, max(struct_pack(us := a.us, id := a.id, revision := a.revision)) as s
+  from e left join a on a.question_hash = e.question_hash and a.us <= e.us where e.asks group by all)
+select id as ask_id, coalesce(revision = s.revision and q.us - s.us < 86400000000 and not exists (select 1 from q as b
+  where b.question_hash = q.question_hash and b.s = q.s and b.revision <> b.s.revision and (b.us < q.us or b.us = q.us and b.id < q.id)), false) as hit from q""")
 def answer_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).select(F.col("event_id").alias("ask_id"), (F.col("user_id") % 20).alias("question_hash"), F.col("event_type").alias("revision"), F.col("ts").cast("timestamp").alias("ts"))
-    return state.cache_hits(e.filter("ask_id % 3 <> 0"), e.filter("ask_id % 3 = 0").drop("ask_id"), 300)
+    e = _events(spark, sf_dir).select(F.col("event_id").alias("ask_id"), F.col("user_id").alias("question_hash"), F.col("event_type").alias("revision"), F.col("ts").cast("timestamp").alias("ts"))
+    return state.cache_hits(e.filter("ask_id % 3 <> 0"), e.filter("ask_id % 3 = 0").withColumnRenamed("ask_id", "answer_id"), 86400)
 
 
 @query("""with l as (select user_id as key, max(ts) as last_access, max(event_id) as seq from events group by user_id)

@@ -103,9 +103,37 @@ def test_cosine_in_passes(spark, monkeypatch):
     q = v.filter("key < 9").select(F.col("key").alias("q"), "vec")
     want = sorted(map(tuple, R.cosine_topk(v, q, 4).collect()))
     monkeypatch.setattr(R, "QUERY_BYTES", 60)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 100)
     assert sorted(map(tuple, R.cosine_topk(v, q, 4).collect())) == want and len(want) == 36
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_odd_vectors_hide_no_others(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(R, "QUERY_BYTES", 1)
+        monkeypatch.setattr(R, "BLOCK_BYTES", 32)
+    nan, inf = float("nan"), float("inf")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [1.0, 0.0, 0.0]), (8, [1e300, 1e300])], "key int, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [nan, 0.0]), (4, []), (5, None)], "q int, vec array<double>")
+    got = [(r.q, r.key) for r in R.cosine_topk(v, q, 3).orderBy("q", "rank").collect()]
+    assert got == [(1, 1), (1, 2), (1, 8), (2, 7)]
+
+
+def test_terms_in_tasks_and_joined(spark, chunks, monkeypatch):
+    docs = chunks.select(F.struct("path", "line_start").alias("key"), F.col("content").alias("text")).unionByName(spark.createDataFrame([(("x", 1), None), (("y", 1), "  ")], "key struct<path: string, line_start: int>, text string"))
+    q = asked(spark, [(1, "invoice total"), (2, "the watcher of the store"), (3, None), (4, "store store"), (9, "nothingness")])
+    want = sorted(map(tuple, R.bm25(docs, q, 3).collect()))
+    monkeypatch.setattr(R, "QUERY_TERMS", 0)
+    assert sorted(map(tuple, R.bm25(docs, q, 3).collect())) == want and want
+
+
+def test_neighbours_of_a_hub(spark):
+    edges = [(f"f{i:03d}", "hub") for i in range(300)] + [("a", "hub"), ("hub", "z"), ("a", "b"), ("a", "b")]
+    seeds = [(1, "hub", 1), (1, "f000", 2), (1, "f001", 3), (2, "a", 1)]
+    got = G.import_neighbours(spark.createDataFrame(edges, "path string, target string"), spark.createDataFrame(seeds, "q int, path string, seed_rank int"), 4).orderBy("q", "rank").collect()
+    assert [(r.q, r.path, r.direction) for r in got] == [(1, "z", "imports"), (1, "a", "imported_by"), (1, "f002", "imported_by"), (1, "f003", "imported_by"), (2, "b", "imports"), (2, "hub", "imports")]
+
+
 def test_import_resolution(spark):
     paths = spark.createDataFrame([(p,) for p in ("src/a/x.js", "src/b/y.ts", "src/b/index.js", "lib/pkg/mod.py", "other/pkg/mod.py", "top.js")], "path string")
     edges = [("src/a/x.js", "../b/y"), ("src/a/x.js", "./x"), ("src/a/x.js", "pkg.mod"), ("src/a/x.js", "top.js"), ("src/a/x.js", "../../../out"), ("src/a/x.js", "react"), ("top.js", "./src/b/index.js")]

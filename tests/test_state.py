@@ -69,10 +69,15 @@ def test_fingerprint_changes_hashes(spark):
 
 def test_cache_rules(spark):
     t = datetime(2024, 1, 1)
-    asks = spark.createDataFrame([(1, "h", t + timedelta(seconds=60), "r1"), (2, "h", t + timedelta(seconds=600), "r1"), (3, "h", t + timedelta(seconds=60), "r2"), (4, "h", t + timedelta(seconds=60), None), (5, "z", t, "r1")], "ask_id int, question_hash string, ts timestamp, revision string")
-    answers = spark.createDataFrame([("h", t, "r1"), ("h", t, None)], "question_hash string, ts timestamp, revision string")
-    hits = lambda ttl: sorted(r.ask_id for r in state.cache_hits(asks, answers, ttl).filter("hit").collect())
-    assert hits(300) == [1] and hits(0) == [1, 2]
+    at = lambda s: t + timedelta(seconds=s)
+    answers = [(1, "a", 0, "r1"), (2, "a", 1, None), (3, "b", 0, "r1"), (4, "b", 10_000, "r1"), (5, "c", 0, "r1"), (6, "c", 50, "r2"), (7, "d", 0, "r1"), (8, "e", 0, " ")]
+    asks = [(1, "a", 60, "r1"), (2, "a", 299, " r1 "), (3, "a", 300, "r1"), (4, "b", 5_000, "r1"), (5, "c", 60, "r1"), (6, "c", 70, "r2"), (7, "d", 10, "r2"), (8, "d", 20, "r1"), (9, "z", 0, "r1"), (10, "e", 1, None), (11, "b", 10_000, "r1"), (12, "c", 49, None)]
+    schema = "{}_id int, question_hash string, ts timestamp, revision string"
+    frame = lambda rows, name: spark.createDataFrame([(i, q, at(s), r) for i, q, s, r in rows], schema.format(name))
+    hits = lambda ttl: sorted(r.ask_id for r in state.cache_hits(frame(asks, "ask"), frame(answers, "answer"), ttl).filter("hit").collect())
+    # 3 comes too late; 4 may not see what is answered after it; 5 and 7 have another revision and remove the entry, so that 6 and 8 miss
+    assert hits(300) == [1, 2, 11] and hits(0) == [1, 2, 3, 4, 11]
+    assert state.cache_hits(frame(asks, "ask").filter("false"), frame(answers, "answer"), 1).count() == 0
 
 
 def test_compaction(spark):
