@@ -3,23 +3,26 @@
 Texts are exploded into pre-tokens with their positions. Stretches of texts (chunks) reduce their pre-tokens to
 distinct words before anything moves: the positions stay behind, as a file of the chunk in the shared folder. The words of
 all chunks are shuffled by word, encoded once each, sent back to their chunks and put together by position. A word costs one entry for each chunk that holds it, however frequent
-it is, so that no key is hot.
+it is, so that no key is hot. Decoding joins each id with the table of token bytes and puts the bytes together by position.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
+import math
 import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import kernels as K
 from .codec import pack, steps, unpack
@@ -196,18 +199,26 @@ Then = tuple[Callable[[pd.DataFrame], pd.DataFrame], str]
 
 
 def assemble(rows: DataFrame, folder: str, then: Then | None = None) -> DataFrame:
-    """(doc_id, ids): each text's token ids as unsigned little-endian 32-bit numbers, put together by position."""
-    finish, schema = then or (lambda frame: frame, "doc_id long, ids binary")
+    """(doc_id, ids): each text's token ids, put together by position."""
+    finish, schema = then or (lambda frame: frame, "doc_id long, ids array<int>")
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def apply(group: pd.DataFrame) -> pd.DataFrame:
-        frames = []
-        for docs, null, ids, at in _texts(group, folder):
-            raw = ids.astype("<u4").tobytes()
+    def apply(group: pa.Table) -> pa.Table:
+        tables = []
+        for docs, null, ids, at in _texts(group.to_pandas(), folder):
             own = pd.array([None if x else d for d, x in zip(docs.tolist(), null.tolist(), strict=True)], "Int64")
-            frames.append(finish(pd.DataFrame({"doc_id": own, "ids": [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]})))
-        return pd.concat(frames)
+            frame = pd.DataFrame({"doc_id": own, "ids": np.split(ids.astype(np.int32), at[1:-1])})
+            tables.append(pa.Table.from_pandas(finish(frame), schema=arrow, preserve_index=False))
+        return pa.concat_tables(tables)
 
-    return rows.groupBy("chunk").applyInPandas(apply, schema)
+    return rows.groupBy("chunk").applyInArrow(apply, schema)
+
+
+def n_buckets(docs: DataFrame) -> int:
+    """How many buckets the words are shuffled to: as many as shuffles have partitions, and beyond that the root of the
+    number of chunks, so that both the words of a bucket and the rows that a chunk sends grow with the root of the input."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.isqrt(int(size) // CHUNK))
 
 
 def encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, then: Then | None = None) -> DataFrame:
@@ -217,47 +228,84 @@ def encode(docs: DataFrame, ranks: str, chunk: int = CHUNK, then: Then | None =
     A null or empty text has no ids. Repeated rows and null doc_ids are encoded row by row; an empty table gives
     no rows; only doc_id and text are read. A text longer than a chunk is a chunk of its own.
     """
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = n_buckets(docs)
     folder = local_path(shared_dir(docs.sparkSession))
     os.makedirs(folder, exist_ok=True)
     rows = explode(docs, buckets, folder, chunk)
     return assemble(encode_words(rows.repartition(buckets, "bucket"), ranks), folder, then)
 
 
-@functools.lru_cache(maxsize=2)
-def token_bytes(ranks: str) -> list[bytes]:
-    """The table of token bytes by id: a row for each of the vocabulary's tokens, so of a fixed size."""
+def token_table(spark: SparkSession, ranks: str) -> DataFrame:
+    """(id, token): the bytes of each token of the vocabulary, so of a fixed size, whatever the corpus."""
     known = read_ranks(ranks)
-    table = [b""] * (max(known.values()) + 1)
-    for token, rank in known.items():
-        table[rank] = token
-    return table
-
-
-def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return spark.createDataFrame(pa.table({"id": pa.array(known.values(), pa.int32()), "token": pa.array(known.keys(), pa.binary())}))
+
+
+def _join_tokens(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (head, at, token) in the order of ids, head at a row's first one, become the fields of head and the bytes behind."""
+    held: pa.StructArray | None = None
+    parts: list[bytes] = []
+    last = -1
+    for batch in batches:
+        head, at, token = batch.columns
+        if token.null_count and pc.any(pc.and_(token.is_null(), at.is_valid())).as_py():
+            raise ValueError("an id is no token of the vocabulary")
+        first = np.flatnonzero(head.is_valid().to_numpy(zero_copy_only=False))
+        place = at.fill_null(0).to_numpy()
+        moved = place != np.append(last, place[:-1]) + 1
+        moved[first] = False
+        if moved.any():
+            raise ValueError("ids have left their order")
+        last = int(place[-1])
+        joined = token.cast(pa.large_binary())  # its data is the text; offsets tell where each token begins
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+        data = joined.buffers()[2]
+        piece = lambda i, j: data[offsets[i] : offsets[j]].to_pybytes() if data is not None else b""
+        cuts = [*first.tolist(), len(batch)]
+        parts.append(piece(0, cuts[0]))
+        if len(first):
+            heads = head.take(pa.array(first))
+            done = heads[:-1] if held is None else pa.concat_arrays([held, heads[:-1]])
+            texts = ([] if held is None else [b"".join(parts)]) + [piece(i, j) for i, j in zip(cuts[:-2], cuts[1:-1], strict=True)]
+            held, parts = heads[-1:], [piece(cuts[-2], cuts[-1])]
+            if len(done):
+                yield _decoded(done, texts, names)
+    if held is not None:
+        yield _decoded(held, [b"".join(parts)], names)
+
+
+def _decoded(heads: pa.StructArray, texts: list[bytes], names: list[str]) -> pa.RecordBatch:
+    none, *kept = heads.flatten()
+    return pa.RecordBatch.from_arrays([*kept, pa.array([None if x else t for x, t in zip(none.to_pylist(), texts, strict=True)], pa.binary())], names=[*names, "bytes"])
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """encoded with (bytes) behind its columns: the ids joined with the table of token bytes."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = token_bytes(ranks)
-            out = [None if x is None else decode_ids(x, table) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
+    """The columns of encoded but ids, and bytes: each id joined with the table of token bytes, put together by position.
 
-    return encoded.mapInArrow(apply, f"{kept}, bytes binary")
+    The table is broadcast, as it is as large as the vocabulary; so rows stay in their tasks and in order (which is
+    checked), and nothing is shuffled. No ids give no bytes, null ids null; an id that is no token is an error.
+    Repeated rows stay, an empty table gives no rows, and column names do not matter but for ids and bytes.
+    """
+    names = [c for c in encoded.columns if c != "ids"]
+    head = F.struct(F.col("ids").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    rows = encoded.select(head.alias("head"), F.posexplode_outer("ids").alias("at", "id"))
+    joined = rows.join(F.broadcast(token_table(encoded.sparkSession, ranks)), "id", "left")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "ids"), "bytes binary"])
+    begins = F.coalesce("at", F.lit(0)) == 0
+    return joined.select(F.when(begins, F.col("head")).alias("head"), "at", "token").mapInArrow(lambda batches: _join_tokens(batches, names), schema)
 
 
-def round_trip_digests(ranks: str) -> Then:
-    """For encode(): the number of ids, and SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
+def id_digests() -> Then:
+    """For encode(): the number of ids, SHA-256 of the decimal ids joined by commas, and the ids."""
 
     def digest(frame: pd.DataFrame) -> pd.DataFrame:
-        table = token_bytes(ranks)
         ids = frame["ids"].tolist()
-        text = [hashlib.sha256(",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest() for x in ids]
-        return pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": text, "decoded_sha256": [hashlib.sha256(decode_ids(x, table)).hexdigest() for x in ids]})
+        text = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+        return pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(x) for x in ids], "ids_sha256": text, "ids": frame["ids"]})
+
+    return digest, "doc_id long, n_tokens long, ids_sha256 string, ids array<int>"
+
 
-    return digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, and decoded from its ids again."""
+    return decode(encode(docs, ranks, then=id_digests()), ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))

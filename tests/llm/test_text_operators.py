@@ -34,12 +34,25 @@ def test_bpe_is_tiktoken(spark, some, edge):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     reference = bpe._encoder(ranks)
     docs = some.select("doc_id", "text").union(edge.selectExpr("doc_id + 1000000", "text"))
-    want = Counter((r.doc_id, np.array(reference.encode_ordinary(r.text or ""), "<u4").tobytes()) for r in docs.collect())
-    got = bpe.decode(bpe.encode(docs, ranks, chunk=50_000), ranks)
-    rows = got.collect()
-    assert Counter((r.doc_id, bytes(r.ids)) for r in rows) == want
+    want = Counter((r.doc_id, tuple(reference.encode_ordinary(r.text or ""))) for r in docs.collect())
+    encoded = bpe.encode(docs, ranks, chunk=50_000)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in encoded.collect()) == want
     texts = Counter((r.doc_id, (r.text or "").encode()) for r in docs.collect())
-    assert Counter((r.doc_id, bytes(r.bytes)) for r in rows) == texts
+    assert Counter((r.doc_id, bytes(r.bytes)) for r in bpe.decode(encoded, ranks).collect()) == texts
+
+
+def test_bpe_decoding_of_odd_rows(spark):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    table = {v: k for k, v in bpe.read_ranks(ranks).items()}
+    ids = [None, [], [300, 5, 300], [0], list(range(25_000)), [], None, [7]]  # a row of more ids than a batch holds
+    rows = [(i, x, f"t{i}", "h") for i, x in enumerate([*ids, *ids])]
+    encoded = spark.createDataFrame(rows, "at int, ids array<int>, token string, head string").coalesce(1)
+    got = bpe.decode(encoded, ranks)
+    assert got.columns == ["at", "token", "head", "bytes"]
+    assert [(r[0], r[1], r[2], None if r[3] is None else bytes(r[3])) for r in got.collect()] == [(i, t, h, None if x is None else b"".join(table[k] for k in x)) for i, x, t, h in rows]
+    assert bpe.decode(encoded.filter("false"), ranks).count() == 0
+    with pytest.raises(Exception, match="no token of the vocabulary"):
+        bpe.decode(spark.createDataFrame([([10**9],)], "ids array<int>"), ranks).collect()
 
 
 def test_bpe_of_nothing(empty):
@@ -51,7 +64,7 @@ def test_bpe_digest(edge):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     reference = bpe._encoder(ranks)
     docs = edge.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    for r in bpe.encode(docs, ranks, then=bpe.round_trip_digests(ranks)).collect():
+    for r in bpe.round_trip(docs, ranks).collect():
         ids = reference.encode_ordinary(WORDS[r.doc_id] or "")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((WORDS[r.doc_id] or "").encode()).hexdigest()
