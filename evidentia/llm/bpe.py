@@ -30,6 +30,8 @@ from .scratch import local_path, shared_dir
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK = 8 << 20
+#: Ids of a block whose distinct ones are joined with their bytes; a longer row is a block of its own.
+BLOCK = 1 << 18
 #: Words kept by a task that encodes; beyond it, a word of a later chunk is encoded again.
 KNOWN = 1_000_000
 
@@ -241,58 +243,78 @@ def token_table(spark: SparkSession, ranks: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(known.values(), pa.int32()), "token": pa.array(known.keys(), pa.binary())}))
 
 
-def _join_tokens(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows (head, at, token) in the order of ids, head at a row's first one, become the fields of head and the bytes behind."""
-    held: pa.StructArray | None = None
-    parts: list[bytes] = []
-    last = -1
+#: A block's row: its other columns and the codes of its ids, both only at place 0; then a row for each of its distinct ids.
+BLOCKS = "head binary, codes binary, at int, id int"
+_BLOCKS = pa.schema([("head", pa.binary()), ("codes", pa.binary()), ("at", pa.int32()), ("id", pa.int32())])
+
+
+def _distinct_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCKS: of some rows at a time their distinct ids, and for each id its place among them."""
+    for batch in batches:
+        ids = batch.column("ids")
+        n = pc.list_value_length(ids).fill_null(0).to_numpy().astype(np.int64)
+        flat, edges = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
+        others = batch.drop_columns(["ids"]).append_column("n", pc.list_value_length(ids))
+        for i, j in K.blocks(edges, BLOCK):
+            own = flat[edges[i] : edges[j]]
+            distinct, codes = np.unique(own, return_inverse=True)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, others.schema) as stream:
+                stream.write_batch(others.slice(i, j - i))
+            blank = pa.nulls(len(distinct), pa.binary())
+            head = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((sink.getvalue().to_pybytes(), pa.binary()), (codes.astype("<u4").tobytes(), pa.binary()), (0, pa.int32()), (None, pa.int32()))], schema=_BLOCKS)
+            yield head
+            yield pa.RecordBatch.from_arrays([blank, blank, pa.array(np.arange(1, len(distinct) + 1, dtype=np.int32)), pa.array(distinct.astype(np.int32))], schema=_BLOCKS)
+
+
+def _decoded(head: bytes, codes: np.ndarray, tokens: list[bytes]) -> pa.RecordBatch:
+    """A block's rows, their ids' bytes put together by position."""
+    rows = pa.ipc.open_stream(head).read_next_batch()
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    begin, data = np.cumsum(length) - length, np.frombuffer(b"".join(tokens), np.uint8)
+    text = b"".join(data[K.ragged(begin[c], length[c])].tobytes() for c in (codes[k : k + BLOCK] for k in range(0, len(codes), BLOCK)))
+    at = np.concatenate([[0], np.cumsum(length[codes])])
+    n = rows.column("n")
+    edges = at[np.concatenate([[0], np.cumsum(n.fill_null(0).to_numpy())])].tolist()
+    own = [None if x is None else text[a:b] for x, a, b in zip(n.to_pylist(), edges, edges[1:], strict=False)]
+    return rows.drop_columns(["n"]).append_column("bytes", pa.array(own, pa.binary()))
+
+
+def _join_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (head, codes, at, id, token) of blocks, in order, become the blocks' rows with their bytes."""
+    head, codes, tokens = None, None, []
     for batch in batches:
-        head, at, token = batch.columns
-        if token.null_count and pc.any(pc.and_(token.is_null(), at.is_valid())).as_py():
+        if pc.any(pc.and_(batch.column("token").is_null(), batch.column("id").is_valid())).as_py():
             raise ValueError("an id is no token of the vocabulary")
-        first = np.flatnonzero(head.is_valid().to_numpy(zero_copy_only=False))
-        place = at.fill_null(0).to_numpy()
-        moved = place != np.append(last, place[:-1]) + 1
-        moved[first] = False
-        if moved.any():
+        at, token = batch.column("at").to_numpy(), batch.column("token").to_pylist()
+        edges = [*np.flatnonzero(at == 0).tolist(), len(batch)]
+        if not np.array_equal(at[: edges[0]], np.arange(len(tokens) + 1, len(tokens) + 1 + edges[0])):
             raise ValueError("ids have left their order")
-        last = int(place[-1])
-        joined = token.cast(pa.large_binary())  # its data is the text; offsets tell where each token begins
-        offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
-        data = joined.buffers()[2]
-        piece = lambda i, j: data[offsets[i] : offsets[j]].to_pybytes() if data is not None else b""
-        cuts = [*first.tolist(), len(batch)]
-        parts.append(piece(0, cuts[0]))
-        if len(first):
-            heads = head.take(pa.array(first))
-            done = heads[:-1] if held is None else pa.concat_arrays([held, heads[:-1]])
-            texts = ([] if held is None else [b"".join(parts)]) + [piece(i, j) for i, j in zip(cuts[:-2], cuts[1:-1], strict=True)]
-            held, parts = heads[-1:], [piece(cuts[-2], cuts[-1])]
-            if len(done):
-                yield _decoded(done, texts, names)
-    if held is not None:
-        yield _decoded(held, [b"".join(parts)], names)
-
-
-def _decoded(heads: pa.StructArray, texts: list[bytes], names: list[str]) -> pa.RecordBatch:
-    none, *kept = heads.flatten()
-    return pa.RecordBatch.from_arrays([*kept, pa.array([None if x else t for x, t in zip(none.to_pylist(), texts, strict=True)], pa.binary())], names=[*names, "bytes"])
+        tokens += token[: edges[0]]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if head is not None:
+                yield _decoded(head, codes, tokens)
+            head, codes, tokens = batch.column("head")[i].as_py(), np.frombuffer(batch.column("codes")[i].as_py(), "<u4"), token[i + 1 : j]
+            if not np.array_equal(at[i:j], np.arange(j - i)):
+                raise ValueError("ids have left their order")
+    if head is not None:
+        yield _decoded(head, codes, tokens)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """The columns of encoded but ids, and bytes: each id joined with the table of token bytes, put together by position.
+    """The columns of encoded but ids, and bytes: ids joined with the table of token bytes, put together by position.
 
-    The table is broadcast, as it is as large as the vocabulary; so rows stay in their tasks and in order (which is
-    checked), and nothing is shuffled. No ids give no bytes, null ids null; an id that is no token is an error.
-    Repeated rows stay, an empty table gives no rows, and column names do not matter but for ids and bytes.
+    Of some rows at a time each distinct id is joined once. The table is broadcast, as it is as large as the vocabulary;
+    so rows stay in their tasks and in order (which is checked), and nothing is shuffled. No ids give no bytes, null ids
+    null; an id that is no token is an error. Repeated rows stay, an empty table gives no rows, and the names of other
+    columns do not matter, but bytes is replaced.
     """
-    names = [c for c in encoded.columns if c != "ids"]
-    head = F.struct(F.col("ids").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    rows = encoded.select(head.alias("head"), F.posexplode_outer("ids").alias("at", "id"))
-    joined = rows.join(F.broadcast(token_table(encoded.sparkSession, ranks)), "id", "left")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "ids"), "bytes binary"])
-    begins = F.coalesce("at", F.lit(0)) == 0
-    return joined.select(F.when(begins, F.col("head")).alias("head"), "at", "token").mapInArrow(lambda batches: _join_tokens(batches, names), schema)
+    kept = [f for f in encoded.schema.fields if f.name not in ("ids", "bytes")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "bytes binary"])
+    own = encoded.select("ids", *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
+    joined = own.mapInArrow(_distinct_ids, BLOCKS).join(F.broadcast(token_table(encoded.sparkSession, ranks)), "id", "left")
+    names = [*(f.name for f in kept), "bytes"]
+    return joined.select("head", "codes", "at", "id", "token").mapInArrow(lambda batches: (b.rename_columns(names) for b in _join_tokens(batches)), schema)
 
 
 def id_digests() -> Then:
