@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import places
 from ..functions import text as T
+from ..functions import vocabulary as V
+from .questions import first_by
 
 #: What looks like a definition.
 DEFINITION = r"\b(export|function|class|const|async|def|fn|struct|impl|app\.(get|post|use)|create[A-Z]\w+)\b"
@@ -201,34 +204,20 @@ def lint_diagrams(diagrams: DataFrame) -> DataFrame:
     return s.select("id", problem.isNull().alias("ok"), problem.alias("problem"))
 
 
-#: Weak phrases of notes that teach nothing.
-WEAK = (r"^this (line|code|function) (does|is|runs|handles)\b", r"^(returns|sets|gets|calls) (the )?(value|result)\.?$", r"^(see|note) (above|below)\b", r"^todo\b")
+def is_weak_note(note: Column) -> Column:
+    """Whether a note only restates the syntax, or is blank."""
+    low = F.lower(F.trim(F.regexp_replace(F.coalesce(note, F.lit("")), r"\s+", " ")))
+    return reduce(lambda a, p: a | low.rlike(p), V.WEAK_NOTES, low == "")
 
 
-def is_weak_note(note: Column) -> Column:
-    low = F.lower(F.trim(note))
-    return (F.length(low) < 4) | low.rlike("|".join(WEAK))
-
-
-# ---- intents
-
-#: Words of each intent, in the order in which ties are decided.
-INTENTS = {
-    "locate_code": "where locate find file files defined declared located", "explain_behavior": "how behavior behaviour happens flow sequence lifecycle works",
-    "explain_design": "why design architecture decision tradeoff pattern structure", "debug_issue": "bug error fail fails failing broken crash exception wrong",
-    "plan_change": "change add implement refactor modify extend migrate support", "compare": "compare difference versus vs alternative better",
-    "configure": "config configure configuration setup install environment setting settings", "overview": "overview summary summarize big picture whole everything",
-}
-SCOPES = {"system": "system codebase repository repo project architecture whole", "feature": "feature flow pipeline module service component", "file": "file class module script", "symbol": "function method variable constant symbol"}
-
-
-def classify_intent(questions: DataFrame) -> DataFrame:
-    """(q, intent, scope, confidence) of questions (q, text): the intent with most of its words in the question; 0.45 and 0.08
-    for each of them and 0.04 for each ahead of the next, at most 0.95; 0.35 without any."""
-    words = T.tokens(F.coalesce("text", F.lit("")))
-    score = lambda vocabulary: F.size(F.array_intersect(words, F.array(*map(F.lit, vocabulary.split()))))
-    scores = F.array_sort(F.array(*[F.struct((-score(v)).alias("neg"), F.lit(i).alias("i"), F.lit(k).alias("name")) for i, (k, v) in enumerate(INTENTS.items())]))
-    s = questions.select("q", scores.alias("s"), F.coalesce(*[F.when(score(v) > 0, k) for k, v in SCOPES.items()], F.lit("feature")).alias("scope"))
-    best, next_ = -F.col("s")[0]["neg"], -F.col("s")[1]["neg"]
-    confidence = F.when(best == 0, 0.35).otherwise(F.least(F.lit(0.95), 0.45 + 0.08 * best + 0.04 * (best - next_)))
-    return s.select("q", F.when(best == 0, "explain_behavior").otherwise(F.col("s")[0]["name"]).alias("intent"), "scope", F.round(confidence, 4).alias("confidence"))
+def is_non_teaching(value: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(value, F.lit("")))).isin(*V.NON_TEACHING)
+
+
+def sanitize_callouts(callouts: DataFrame, allowed: DataFrame, limit: int = 5) -> DataFrame:
+    """(key, line_no, note, place) of callouts (key, ord, line_no, note) on allowed (key, line_no) lines: no weak notes, the first
+    of each line, of those the first of each note whatever its case, quotes and blanks, and the first limit."""
+    clean = F.substring(F.trim(F.regexp_replace("note", r"\s+", " ")), 1, 280)
+    rows = callouts.withColumn("note", clean).filter(~is_weak_note(F.col("note"))).join(allowed.select("key", "line_no").distinct(), ["key", "line_no"], "left_semi")
+    lines = first_by(rows, ["key"], F.col("line_no"), "ord", 2**31 - 1).drop("place")
+    return first_by(lines, ["key"], F.lower(F.regexp_replace("note", "[`'\"]", "")), "ord", limit).select("key", "line_no", "note", "place")

@@ -111,8 +111,12 @@ def resolve_imports(edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 def import_hubs(edges: DataFrame, limit: int = 5) -> DataFrame:
     """(path, wires, rank): the files that import most other files."""
-    wires = edges.groupBy("path").agg(F.countDistinct("target").alias("wires"))
-    return wires.orderBy(F.desc("wires"), "path").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("wires"), "path")))
+    return wires(edges).orderBy(F.desc("wires"), "path").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("wires"), "path")))
+
+
+def wires(edges: DataFrame) -> DataFrame:
+    """(path, wires): how many files each one imports."""
+    return edges.groupBy("path").agg(F.countDistinct("target").alias("wires"))
 
 
 def import_neighbours(edges: DataFrame, seeds: DataFrame, limit: int = 8) -> DataFrame:
@@ -137,13 +141,13 @@ def import_neighbours(edges: DataFrame, seeds: DataFrame, limit: int = 8) -> Dat
 
 
 def architecture_spine(hubs: DataFrame, limit: int = 5) -> DataFrame:
-    """(path, role, place) of hubs (path, rank): the best of each role in the fixed order of roles, then the rest by rank."""
-    role = places.architecture_role(F.col("path"))
+    """(path, role, place) of hubs (path, wires): the best of each role in the fixed order of roles, then the rest by wires. Of a
+    role no more than limit can be among them, so that the last sort sees few rows."""
     order = F.array_position(F.array(*map(F.lit, places.ROLES)), F.col("role"))
-    again = F.row_number().over(Window.partitionBy("role").orderBy("rank")) > 1
-    marked = hubs.withColumn("role", role).withColumn("again", again).withColumn("o", F.when(F.col("again"), F.col("rank")).otherwise(order))
-    top = marked.orderBy("again", "o", "path").limit(limit)
-    return top.select("path", "role", F.row_number().over(Window.orderBy("again", "o", "path")).alias("place"))
+    best = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("wires"), "path"))
+    few = hubs.withColumn("role", places.architecture_role(F.col("path"))).withColumn("nth", best).filter(F.col("nth") <= limit)
+    turn = [F.col("nth") > 1, F.when(F.col("nth") == 1, order), F.desc("wires"), F.col("path")]
+    return few.orderBy(*turn).limit(limit).select("path", "role", F.row_number().over(Window.orderBy(*turn)).alias("place"))
 
 
 # ---- lines

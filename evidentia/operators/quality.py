@@ -26,6 +26,12 @@ def ladder(metrics: DataFrame, order: list[str]) -> DataFrame:
     return metrics.withColumn("at", at).select("step", "type", "recall", "mrr", F.round(F.col("recall") - F.lag("recall").over(w), 4).alias("recall_delta"), F.round(F.col("mrr") - F.lag("mrr").over(w), 4).alias("mrr_delta"))
 
 
+def dup_share(notes: DataFrame) -> DataFrame:
+    """(dup_share, n) of notes (note): the share of those whose text occurs more than once, whatever its case and digits."""
+    k = notes.groupBy(F.lower(F.trim(F.regexp_replace("note", "[0-9]+", "#"))).alias("key")).agg(F.count(F.lit(1)).alias("k"))
+    return k.agg(F.round(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)) / F.sum("k"), 4).alias("dup_share"), F.sum("k").alias("n"))
+
+
 LOWER_BETTER = ("gap", "err", "weakCallouts")
 
 

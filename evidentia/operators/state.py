@@ -18,6 +18,18 @@ def changes(current: DataFrame, stored: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", action.alias("action"))
 
 
+def stale(stored: DataFrame, current: DataFrame, key: str = "path") -> DataFrame:
+    """Stored rows whose key is no longer there."""
+    return stored.join(current.select(key), key, "left_anti")
+
+
+def younger(rows: DataFrame, ts: str, now: DataFrame, seconds: int) -> DataFrame:
+    """Rows that are at most so many seconds older than now, a table of one row (now); 0 keeps all."""
+    if not seconds:
+        return rows
+    return rows.crossJoin(F.broadcast(now)).filter(F.col(ts) >= F.col("now") - F.make_interval(secs=F.lit(seconds))).drop("now")
+
+
 def apply_changes(stored: DataFrame, incoming: DataFrame, actions: DataFrame, key: str = "path") -> DataFrame:
     """stored without the removed and changed keys, and the incoming rows of the written ones."""
     gone = actions.filter(F.col("action").isin("remove", "write_changed")).select(key)

@@ -18,8 +18,7 @@ FINGERPRINT = "v1"
 select page_id, size_bytes, case when size_bytes > 60000 then 'too_large' when length(regexp_replace(html[:4096], '[^\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) > 0.08 * length(html[:4096]) then 'binary' end as skip_reason from t""")
 def scan_text_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("bytes"))
-    sized = pages.withColumn("size_bytes", F.octet_length("bytes").cast("long"))
-    return sized.select("page_id", "size_bytes", F.when(F.col("size_bytes") > 60_000, "too_large").when(corpus.looks_binary(F.col("bytes")), "binary").alias("skip_reason"))
+    return corpus.text_policy(pages.withColumn("size_bytes", F.octet_length("bytes").cast("long")), 60_000).select("page_id", "size_bytes", "skip_reason")
 
 
 EXCLUDE = ["src1/**", "**/es/**", "*.css", "src2/en/*.js"]
@@ -58,12 +57,11 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", T.content_hash(F.col("content"), FINGERPRINT).alias("content_hash"))
 
 
-@query(f"""with {FILES}, h as (select split_part(path, '/', 1) as repo, concat(path, ':', substr(sha256(content), 1, 16)) as line from files)
-select repo, substr(sha256(string_agg(line, chr(10) order by line)), 1, 16) as revision, count(*) as n_files from h group by repo""")
+@query(f"""with {FILES}, h as (select split_part(path, '/', 1) as repo, substr(sha256(path), 1, 3) as block, concat(path, ':', substr(sha256(content), 1, 16)) as line from files),
+b as (select repo, block, substr(sha256(string_agg(line, chr(10) order by line)), 1, 16) as d, count(*) as n from h group by all)
+select repo, substr(sha256(string_agg(concat(block, ':', d), chr(10) order by block)), 1, 16) as revision, sum(n)::bigint as n_files from b group by repo""")
 def source_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash for each repository, over its sorted lines of path and hash, which stream through the digest: a task holds a batch."""
-    h = files(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("repo"), F.concat("path", F.lit(":"), F.substring(F.sha2("content", 256), 1, 16)).alias("line"))
-    return h.repartition("repo").sortWithinPartitions("repo", "line").mapInArrow(corpus.line_digests, "repo string, revision string, n_files long")
+    return corpus.revisions(files(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("repo"), "path", "content"))
 
 
 CHUNK_CTE = f"""{FILES}, w as (select doc_id, path, string_split_regex(content, '\\r?\\n') as l from files),
@@ -77,19 +75,10 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("path", "line_start", "line_end", F.md5("content").alias("content_md5"))
 
 
-@query(f"""with {FILES}, p as (select path, list_filter(string_split_regex(lower(regexp_replace(content[:4000], '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') as parts from files)
-select path, len(parts) as n_parts, len(list_distinct(parts)) as n_distinct, md5(array_to_string(parts, ' ')) as parts_md5 from p""")
-def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 4000 characters, which is what the ranking looks at."""
-    parts = T.split_identifier(F.substring("content", 1, 4000))
-    own = files(spark, sf_dir).select("path", F.filter(F.split(F.lower(F.regexp_replace(F.substring("content", 1, 4000), "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda x: x != "").alias("parts"), parts.alias("own"))
-    return own.select("path", F.size("parts").alias("n_parts"), F.size(F.array_distinct("parts")).alias("n_distinct"), F.md5(F.array_join("parts", " ")).alias("parts_md5"))
-
-
 @query(f"""with {FILES}, p as (select path, list_filter(string_split_regex(lower(regexp_replace(content, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') as parts from files)
 select path, len(parts) as n_parts, len(list_distinct(parts)) as n_distinct, md5(array_to_string(parts, ' ')) as parts_md5 from p""")
-def split_identifiers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole contents, by the operator."""
+def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of whole contents."""
     own = files(spark, sf_dir).select("path", T.split_identifier(F.col("content")).alias("parts"))
     return own.select("path", F.size("parts").alias("n_parts"), F.size(F.array_distinct("parts")).alias("n_distinct"), F.md5(F.array_join("parts", " ")).alias("parts_md5"))
 
@@ -120,7 +109,7 @@ def clip_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", clip.alias("c")).select("path", F.col("c.n_lines").alias("n_lines"), F.col("c.truncated").alias("truncated"), F.md5("c.text").alias("text_md5"))
 
 
-@query(f"""with {FILES} select split_part(path, '.', 2) as ext, case when split_part(path, '.', 2) = 'json' then 'config' when split_part(path, '.', 2) in ('css', 'html', 'md') then 'ui' else 'core' end as layer,
+@query(f"""with {FILES} select split_part(path, '.', 2) as ext, case when split_part(path, '.', 2) = 'json' then 'configuration' when split_part(path, '.', 2) = 'md' then 'supporting' else 'core' end as layer,
  case split_part(path, '.', 2) when 'html' then 'markup' when 'md' then 'markup' when 'css' then 'style' end as family, split_part(path, '.', 2) in ('json', 'md') as supporting, count(*) as n_files
 from files group by all""")
 def path_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,17 +121,31 @@ def path_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {FILES}, s as (select path, case when length(content) > 20000 then 'too_large' when regexp_matches(path, '[.]css$') then 'path_excluded' end as reason from files)
 select coalesce(reason, 'indexed') as reason, count(*) as n, round(count(*) / (select count(*) from s)::double, 4) as share from s group by 1""")
 def skip_reason_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = files(spark, sf_dir).select(F.when(F.length("content") > 20_000, "too_large").when(F.col("path").rlike(r"\.css$"), "path_excluded").otherwise("indexed").alias("reason"))
-    counts = s.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("reason", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    return corpus.coverage(files(spark, sf_dir).select(F.when(F.length("content") > 20_000, "too_large").when(F.col("path").rlike(r"\.css$"), "path_excluded").alias("reason")))
+
+
+@query(f"""with {FILES} select path from files where regexp_matches(path, '^(.*/)?[^/]*[.]json$|^src1/.*') and not regexp_matches(path, '^src2/.*') order by path limit 80""")
+def find_repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.find_files(files(spark, sf_dir), ["*.json", "src1/**"], exclude=["src2/**"])
+
+
+@query(f"""with {FILES}, a as (select concat(case when doc_id % 9 = 0 then 'gone/' else '' end, path) as path from files)
+select a.path, case when f.path is null then 'not_found' when regexp_matches(f.path, '[.]css$') then 'excluded' when strlen(content) > 20000 then 'too_large' else 'ok' end as status,
+ case when f.path is not null and not regexp_matches(f.path, '[.]css$') and strlen(content) <= 20000 then md5(content) end as content_md5 from a left join files f using (path)""")
+def read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = files(spark, sf_dir)
+    asked = own.select(F.concat(F.when(F.col("doc_id") % 9 == 0, "gone/").otherwise(""), F.col("path")).alias("path"))
+    stored = own.withColumn("size_bytes", F.octet_length("content").cast("long")).withColumn("skip_reason", F.lit(None).cast("string")).withColumn("reason", F.when(F.col("path").rlike(r"\.css$"), "path_excluded"))
+    return corpus.read_source(stored, asked, 20_000).select("path", "status", F.md5("content").alias("content_md5"))
 
 
-@query("""with d as (select concat('__dependencies__/', source, '/', lang, '.md') as path, doc_id as seq, md5(coalesce(text, '')) as content from documents)
+@query("""with d as (select concat('__dependencies__/', source, '/', lang, '/', doc_id // 3, '.md') as path, doc_id as seq, md5(coalesce(text, '')) as content from documents)
 select path, string_agg(content, chr(10) || chr(10) order by seq) as content from d group by path""")
 def dedupe_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few documents share a path, as a dependency that several manifests name."""
     d = table(spark, sf_dir, "documents")
-    return corpus.dedupe_docs(d.select(F.concat(F.lit("__dependencies__/"), "source", F.lit("/"), "lang", F.lit(".md")).alias("path"), F.col("doc_id").alias("seq"), F.md5(F.coalesce("text", F.lit(""))).alias("content")))
+    path = F.concat(F.lit("__dependencies__/"), "source", F.lit("/"), "lang", F.lit("/"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit(".md"))
+    return corpus.dedupe_docs(d.select(path.alias("path"), F.col("doc_id").alias("seq"), F.md5(F.coalesce("text", F.lit(""))).alias("content")))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evidence as E
-
+from ..operators import quality
 from .common import FILES, files, query, table
 
 TOK = ["the", "licenses", "transaction", "stories", "and"]
@@ -158,28 +158,30 @@ def diagram_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with n as (select conv_id, turn, lower(trim(regexp_replace(text, '[0-9]+', '#', 'g'))) as note, text from conversations), c as (select *, count(*) over (partition by note) as k from n)
 select round(avg((k > 1)::int), 4) as dup_share, count(*) as n from c""")
 def dup_note_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = table(spark, sf_dir, "conversations").select(F.lower(F.trim(F.regexp_replace("text", "[0-9]+", "#"))).alias("note"))
-    k = notes.groupBy("note").agg(F.count(F.lit(1)).alias("k"))
-    return k.agg(F.round(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)) / F.sum("k"), 4).alias("dup_share"), F.sum("k").alias("n"))
+    return quality.dup_share(table(spark, sf_dir, "conversations").select(F.col("text").alias("note")))
 
 
-@query("""select doc_id, length(trim(text)) < 4 or regexp_matches(lower(trim(text)), '^this (line|code|function) (does|is|runs|handles)\\b|^(returns|sets|gets|calls) (the )?(value|result)\\.?$|^(see|note) (above|below)\\b|^todo\\b') as weak from documents""")
-def weak_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", E.is_weak_note(F.col("text")).alias("weak"))
+NOTES = """n as (select l_orderkey as key, l_linenumber as ord, l_linenumber % 4 as line_no, case l_suppkey % 5 when 0 then concat('Stores  x', l_partkey, ' for later') when 1 then 'Highlights the row' when 2 then concat('Part "', l_returnflag, '" decides') when 3 then concat('part ', l_returnflag, ' Decides') end as note from lineitem)"""
+
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, flag = F.col("l_suppkey") % 5, F.col("l_returnflag")
+    note = F.when(s == 0, F.concat(F.lit("Stores  x"), F.col("l_partkey").cast("string"), F.lit(" for later"))).when(s == 1, "Highlights the row").when(s == 2, F.concat(F.lit('Part "'), flag, F.lit('" decides'))).when(s == 3, F.concat(F.lit("part "), flag, F.lit(" Decides")))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("ord"), (F.col("l_linenumber") % 4).alias("line_no"), note.alias("note"))
 
-def _vocab(v: str) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in v.split()) + "]"
+
+@query(f"with {NOTES} select key, ord, note is null or not starts_with(lower(note), 'part') as weak from n")
+def weak_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _notes(spark, sf_dir).select("key", "ord", E.is_weak_note(F.col("note")).alias("weak"))
 
 
-@query(f"""with w as (select doc_id as q, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') as w from documents),
-s as (select q, w, [{', '.join(f"len(list_intersect(w, {_vocab(v)}))" for v in E.INTENTS.values())}] as s from w),
-b as (select q, w, s, list_max(s) as best, list_reverse_sort(s)[2] as next from s)
-select q, case when best = 0 then 'explain_behavior' else ({_vocab(' '.join(E.INTENTS))})[list_position(s, best)] end as intent,
- case {' '.join(f"when len(list_intersect(w, {_vocab(v)})) > 0 then '{k}'" for k, v in E.SCOPES.items())} else 'feature' end as scope,
- round(case when best = 0 then 0.35 else least(0.95, 0.45 + 0.08 * best + 0.04 * (best - next)) end, 4)::double as confidence from b""")
-def intent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.classify_intent(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q"), "text"))
+@query(f"""with {NOTES}, a as (select * from n where starts_with(lower(note), 'part') and line_no <> 3),
+l as (select * from a qualify row_number() over (partition by key, line_no order by ord) = 1),
+k as (select * from l qualify row_number() over (partition by key, lower(replace(note, '"', '')) order by ord) = 1)
+select key, line_no, note, row_number() over (partition by key order by ord) as place from k qualify place <= 5""")
+def model_callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = _notes(spark, sf_dir)
+    return E.sanitize_callouts(notes, notes.filter("line_no <> 3"))
 
 
 @query("""with a as (select o_orderkey as id, concat(o_orderpriority, ' order ', o_custkey) as name from orders)

@@ -23,20 +23,10 @@ def route_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.route(questions(spark, sf_dir), found).drop("overview")
 
 
-@query("""with t as (select vec_id, embedding::double[] as v, label from embeddings where vec_id % 50 <> 0 and vec_id >= 100 and label in (1, 2, 3, 4)), q as (select vec_id as q, embedding::double[] as v from embeddings where vec_id % 50 = 0),
-c as (select q, vec_id, round(list_cosine_similarity(q.v, t.v), 6) as score from q, t) select q, vec_id, score, row_number() over (partition by q order by score desc, vec_id) as rank from c where score >= 0.3 qualify rank <= 3""")
-def similar_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    traces = e.filter("vec_id % 50 <> 0").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ts"), F.col("label").alias("revision"))
-    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec"))
-    current = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "revision int")
-    return P.similar_traces(traces, asked, F.lit(100), current, floor=0.3).withColumnRenamed("key", "vec_id")
-
-
 @query("""with t as (select vec_id, embedding::double[] as v from embeddings where vec_id >= 100 and label in (1, 2, 3, 4)), q as (select vec_id as q, embedding::double[] as v from embeddings where vec_id % 50 = 0),
 c as (select q, vec_id, round(list_cosine_similarity(q.v, t.v), 6) as score from q, t where q <> vec_id) select q, vec_id, score, row_number() over (partition by q order by score desc, vec_id) as rank from c where score >= 0.3 qualify rank <= 3""")
-def similar_traces_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """similar_traces over all rows, those that are questions too; only a question's own row is left out."""
+def similar_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all rows, those that are questions too; only a question's own row is left out."""
     e = table(spark, sf_dir, "embeddings")
     traces = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ts"), F.col("label").alias("revision"))
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec"))
@@ -73,18 +63,18 @@ def uncovered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.uncovered(ev, plan.filter("s is not null")).select("q", "ord")
 
 
-@query(f"""with {FILES}, l as (select path, string_split_regex(content, '\\r?\\n') as l from files) select path, 3 as first, least(7, len(l)) as last, 1 as from_line, least(7, len(l)) + 170 as to_line from l where len(l) >= 3""")
+@query(f"""with {FILES}, l as (select path, string_split_regex(content, '\\r?\\n') as l from files) select path, case when len(l) >= 3 then 3 end as first, case when len(l) >= 3 then least(7, len(l)) end as last, case when len(l) >= 3 then 1 end as from_line, case when len(l) >= 3 then least(7, len(l)) + 170 end as to_line from l""")
 def visible_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = T.lines(F.col("content"))
-    rows = files(spark, sf_dir).filter(F.size(parts) >= 3).select("path", P.visible_range(T.gutter(F.slice(parts, 3, 5), F.lit(3))).alias("v"))
+    rows = files(spark, sf_dir).select("path", P.visible_range(T.gutter(F.slice(parts, 3, 5), F.lit(3))).alias("v"))
     r = rows.withColumn("r", P.read_range(F.col("v.first"), F.col("v.last")))
     return r.select("path", "v.first", "v.last", F.col("r.first").alias("from_line"), F.col("r.last").alias("to_line"))
 
 
-@query(f"""with {FILES}, l as (select doc_id, path, string_split_regex(regexp_replace(content, '[ \\t]+(\\r?\\n|$)', '\\1', 'g'), '\\r?\\n') as l from files), c as (select *, case when doc_id % 5 = 0 then 'not there at all' else array_to_string(l[2:3], chr(10)) end as code from l where len(l) >= 3)
+@query(f"""with {FILES}, l as (select doc_id, path, string_split_regex(regexp_replace(content, '[ \\t]+(\\r?\\n|$)', '\\1', 'g'), '\\r?\\n') as l from files), c as (select *, case when doc_id % 5 = 0 then 'not there at all' else array_to_string(l[2:3], chr(10)) end as code from l)
 select path, case when doc_id % 5 = 0 or trim(code, ' ' || chr(10) || chr(9)) = '' then 'gap' else 'verified' end as state from c""")
 def grounded_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = files(spark, sf_dir).filter(F.size(T.lines(F.col("content"))) >= 3)
+    own = files(spark, sf_dir)
     code = F.when(F.col("doc_id") % 5 == 0, "not there at all").otherwise(T.join_lines(F.slice(T.lines(F.col("content")), 2, 2)))
     components = own.select(F.lit(1).alias("q"), F.col("doc_id").alias("id"), "path", code.alias("code"))
     return P.ground_code(components, own.select(F.lit(1).alias("q"), "path", F.lit(1).alias("line_start"), "content")).select("path", "state")
@@ -162,14 +152,12 @@ def change_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.change_prompt(b)
 
 
-@query(f"""with {FILES}, i as (select split_part(path, '/', 1) as q, row_number() over (partition by split_part(path, '/', 1) order by doc_id) as ord, path, md5(content) as content from files)
+@query(f"""with {FILES}, i as (select split_part(path, '/', 1) as q, row_number() over (partition by split_part(path, '/', 1) order by doc_id) as ord, path, md5(content) as content from files qualify ord <= 8)
 select q, string_agg(concat('[', ord, '] ', path, ':1-9', chr(10), content), chr(10) || chr(10) order by ord) as message from i group by q""")
 def evidence_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    q = F.substring_index("path", "/", 1)
-    rows = files(spark, sf_dir).select(q.alias("q"), F.row_number().over(Window.partitionBy(q).orderBy("doc_id")).alias("ord"), "path", F.lit(1).alias("line_start"), F.lit(9).alias("line_end"), F.md5("content").alias("content"))
-    return P.evidence_message(rows)
+    """Of the eight items that an outline shows."""
+    rows = files(spark, sf_dir).select(F.substring_index("path", "/", 1).alias("q"), "doc_id", "path", F.lit(1).alias("line_start"), F.lit(9).alias("line_end"), F.md5("content").alias("content"))
+    return P.evidence_message(R.ranked(rows, ["q"], [F.asc("doc_id")], 8).withColumnRenamed("rank", "ord"))
 
 
 @query("select o_orderkey, round(0.14 + 0.8 * least(greatest(o_orderkey / 20000.0::double, 0), 1), 4) as ratio from orders")
@@ -183,7 +171,7 @@ def hybrid_search_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .graph_queries import _imports
 
     own = files(spark, sf_dir).select("path", "content")
-    edges = G.resolve_imports(_imports(spark, sf_dir, whole=True), own.select("path")).select("path", "target")
+    edges = G.resolve_imports(_imports(spark, sf_dir), own.select("path")).select("path", "target")
     facts = G.line_facts(own, languages=("python", "javascript", "json", "css", "html", "go"))
     found = S.search(chunking.windows(own), questions(spark, sf_dir), facts=facts, edges=edges, support=S.SUPPORT_SLOTS)
     return found.select("q", "rank", "path", "line_start", "similarity", "score", "support", F.array_join("origins", ",").alias("origins"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import quality, state, stories
+from ..operators import quality, questions, state, stories
 from ..streaming import live
 from .common import query, table
 
@@ -24,8 +24,7 @@ def latest_wins_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, user_id from events where ts >= (select max(ts) from events) - interval 1 day")
 def ttl_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    end = e.agg(F.max("ts").alias("end"))
-    return e.crossJoin(F.broadcast(end)).filter(F.col("ts") >= F.col("end") - F.expr("interval 1 day")).select("event_id", "user_id")
+    return state.younger(e, "ts", e.agg(F.max("ts").alias("now")), 86_400).select("event_id", "user_id")
 
 
 @query("""with e as (select event_id as id, event_id % 3 <> 0 as asks, user_id as question_hash, event_type as revision, epoch_us(ts) as us from events),
@@ -178,7 +177,7 @@ def incremental_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {CHANGED} select path from old where path not in (select path from cur)")
 def anti_join_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, old = _snapshots(spark, sf_dir)
-    return old.join(now, "path", "left_anti").select("path")
+    return state.stale(old, now).select("path")
 
 
 @query("select doc_id, lang from documents where doc_id in (select doc_id from labels where quality = 1)")
@@ -197,18 +196,12 @@ def watch_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with q as (select lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) as n, min(doc_id) as first_id, count(*) as copies from documents group by 1) select md5(n) as query_md5, first_id, copies from q where first_id is not null order by first_id limit 6""")
 def merge_stage_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first six distinct questions, whatever their case and white space: six is what a stage may ask."""
-    n = F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))
-    return table(spark, sf_dir, "documents").groupBy(F.md5(n).alias("query_md5")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).orderBy("first_id").limit(6)
+    return questions.merge_texts(table(spark, sf_dir, "documents"), "doc_id", "text", 6).select(F.md5("key").alias("query_md5"), F.col("first").alias("first_id"), "copies")
 
 
-@query("select doc_id, regexp_extract(text[:100], '(?s)^(.*) ', 1) as head, trim(regexp_replace(text[:500], '\\s+', ' ', 'g')) as squashed from documents where length(text) > 500 and not regexp_matches(text[:500], '^\\s|\\s$')")
+@query("""with c as (select doc_id, text, regexp_extract(text[:100], '(?s)^(.*) ', 1) as word from documents)
+select doc_id, case when length(text) <= 100 then text when word <> '' then word else text[:100] end as head, (trim(regexp_replace(text, '\\s+', ' ', 'g')))[:500] as squashed from c""")
 def text_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter((F.length("text") > 500) & ~F.substring("text", 1, 500).rlike(r"^\s|\s$"))
-    return d.select("doc_id", T.clamp_at_word(F.col("text"), 100).alias("head"), T.squash(F.substring("text", 1, 500), 500).alias("squashed"))
-
-
-@query()
-def text_clamps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """text_clamps on the whole text of every document: null, short and blank texts too. Checked against Python in tests."""
+    """Of the whole text of every document: null, short and blank ones too."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.clamp_at_word(F.col("text"), 100).alias("head"), T.squash(F.col("text"), 500).alias("squashed"))

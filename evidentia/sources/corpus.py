@@ -15,7 +15,7 @@ from ..functions import globs, places
 from ..functions import text as T
 
 MOST_BYTES = 1_000_000
-READ_LINES, GREP_HITS, GREP_CHARS, LIST_ENTRIES = 200, 30, 220, 100
+READ_LINES, GREP_HITS, GREP_CHARS, LIST_ENTRIES, MANIFESTS = 200, 30, 220, 100, 80
 
 
 def scan_files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -37,9 +37,9 @@ def looks_binary(data: Column) -> Column:
     return (F.instr(text, "\0") > 0) | (control > 0.08 * F.length(text))
 
 
-def text_policy(files: DataFrame) -> DataFrame:
+def text_policy(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """files of (path, size_bytes, bytes) with (content, skip_reason): too_large, binary, or null with the text."""
-    reason = F.when(F.col("size_bytes") > MOST_BYTES, "too_large").when(looks_binary(F.col("bytes")), "binary")
+    reason = F.when(F.col("size_bytes") > most, "too_large").when(looks_binary(F.col("bytes")), "binary")
     return files.withColumn("skip_reason", reason).withColumn("content", F.when(reason.isNull(), F.decode("bytes", "UTF-8"))).drop("bytes")
 
 
@@ -103,6 +103,38 @@ def dedupe_docs(docs: DataFrame) -> DataFrame:
     return docs.groupBy("path").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n\n").alias("content"))
 
 
+def revisions(files: DataFrame) -> DataFrame:
+    """(repo, revision, n_files) of files (repo, path, content): one hash for each repository, in two steps. Files fall into 4096 blocks
+    by the hash of their path; a block's sorted lines of path and hash stream through a digest, and the revision is the
+    digest of the blocks' digests in order. So no task holds or orders a whole repository."""
+    line = F.concat("path", F.lit(":"), F.substring(F.sha2("content", 256), 1, 16))
+    own = files.select(F.concat("repo", F.lit("\0"), F.substring(F.sha2("path", 256), 1, 3)).alias("repo"), line.alias("line"))
+    blocks = own.repartition("repo").sortWithinPartitions("repo", "line").mapInArrow(line_digests, "repo string, revision string, n_files long")
+    parts = blocks.select(F.split("repo", "\0")[0].alias("repo"), F.concat(F.split("repo", "\0")[1], F.lit(":"), "revision").alias("line"), "n_files")
+    joined = F.array_join(F.array_sort(F.collect_list("line")), "\n")  # at most 4096 of 20 bytes
+    return parts.groupBy("repo").agg(F.substring(F.sha2(joined, 256), 1, 16).alias("revision"), F.sum("n_files").alias("n_files"))
+
+
+def coverage(files: DataFrame) -> DataFrame:
+    """(reason, n, share) of files (reason): how many were skipped and why, and how many indexed, where there is no reason."""
+    counts = files.groupBy(F.coalesce("reason", F.lit("indexed")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("reason", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+
+
+def find_files(files: DataFrame, patterns: list[str], limit: int = MANIFESTS, exclude: list[str] | None = None) -> DataFrame:
+    """The first paths of files (path) that match a pattern and none of exclude."""
+    found = files.select("path").filter(globs.matches(F.col("path"), patterns))
+    return (found.filter(~globs.matches(F.col("path"), exclude)) if exclude else found).distinct().orderBy("path").limit(limit)
+
+
+def read_source(files: DataFrame, asked: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """(path, status, content) of asked (path): ok with the whole text, too_large, binary, excluded, or not_found; files has
+    (path, size_bytes, content, skip_reason, reason)."""
+    status = F.when(F.col("size_bytes").isNull(), "not_found").when(F.col("reason").isNotNull(), "excluded").when(F.col("size_bytes") > most, "too_large").when(F.col("skip_reason").isNotNull(), F.col("skip_reason")).otherwise("ok")
+    rows = asked.select("path").distinct().join(files.select("path", "size_bytes", "content", "skip_reason", "reason"), "path", "left").withColumn("status", status)
+    return rows.select("path", "status", F.when(F.col("status") == "ok", F.coalesce("content", F.lit(""))).alias("content"))
+
+
 def line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(repo, revision, n_files) of rows (repo, line) sorted by both: 16 digits of the SHA-256 of the lines with line ends between them."""
     repo, digest, n = None, None, 0

@@ -25,6 +25,6 @@ def test_whole_texts(spark, tmp_path):
     more = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").union(more)
     rows.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.head, r.squashed) for r in state_queries.text_clamps_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.head, r.squashed) for r in state_queries.text_clamps(spark, str(tmp_path)).collect()}
     assert got == {r.doc_id: (_head(r.text), _squashed(r.text)) for r in rows.collect()}
     assert got[10**6 + 5][1] == "a b"
