@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import places
 from ..functions import text as T
 from ..functions import vocabulary as V
-from .questions import first_by
+from .questions import first_by, is_overview, wants_support
+from .retrieval import wants_manifest
 
 #: What looks like a definition.
 DEFINITION = r"\b(export|function|class|const|async|def|fn|struct|impl|app\.(get|post|use)|create[A-Z]\w+)\b"
@@ -221,3 +222,222 @@ def sanitize_callouts(callouts: DataFrame, allowed: DataFrame, limit: int = 5) -
     rows = callouts.withColumn("note", clean).filter(~is_weak_note(F.col("note"))).join(allowed.select("key", "line_no").distinct(), ["key", "line_no"], "left_semi")
     lines = first_by(rows, ["key"], F.col("line_no"), "ord", 2**31 - 1).drop("place")
     return first_by(lines, ["key"], F.lower(F.regexp_replace("note", "[`'\"]", "")), "ord", limit).select("key", "line_no", "note", "place")
+
+
+# ---- boosts by what a question is about
+
+#: Fixed values: (words of the question, pattern of the path, points, pattern of the content, points); the last content without
+#: other characters than letters and digits.
+ARCHITECTURE = (
+    (
+        r"\b(apis?|endpoints?|routes?|webhooks?|sse|streaming|handlers?|controllers?)\b", r"(^|/)(server|servers|routes?|controllers?|handlers?|apis?|endpoints?|middleware)\b", 4.0,
+        r"\b(app|router|server|api)\s*\.\s*(get|post|put|patch|delete|del|head|options|all|use)\s*\(|@(app|router)\.(get|post|put|patch|delete)\b|@(get|post|put|patch|delete|request)mapping\b|['\"`]/api/", 3.0,
+    ),
+    (
+        r"\b(db|database|datastore|store|storage|orm|schema|model|migration|repository|dao|sql|query|queries)\b", r"(^|/)(db|database|data|store|storage|model|schema|repository|repositories|dao|migration|prisma)", 3.0,
+        r"\b(table|schema|query|upsert|insert|select|where|migration|model|repository|prisma|sequelize|typeorm|mongoose)\b", 2.0,
+    ),
+    (
+        r"\b(index|indexing|indexed|retrieval|search|vector|embedding|embeddings|chunk|chunking)\b", r"(^|/)(index|indexes|search|retrieval|embed|embedding|chunk|vector|store|db|database|watch|dependency)", 4.0,
+        r"index|embed|embedding|vector|search|upsert|dependency|watcher|chunk", 3.0,
+    ),
+)
+#: Questions about what is seen, of which markup and of which style; and their content.
+SURFACE_QUESTION = r"\b(ui|browser|frontend|page|screen|layout|html|markup|dom|css|style|styles|stylesheet|selector|theme|visual|appearance)\b"
+MARKUP_QUESTION = r"\b(ui|browser|frontend|page|screen|layout|html|markup|dom|visible)\b"
+STYLE_QUESTION = r"\b(layout|css|style|styles|stylesheet|selector|theme|visual|appearance|color|spacing|responsive)\b"
+MARKUP_CONTENT = r"</?(html|head|body|main|section|form|button|input|nav|header|footer|div|span)\b"
+STYLE_CONTENT = r"[{;}]\s*(\n|$)|--[\w-]+\s*:"
+#: Questions about packages.
+PACKAGE_QUESTION = r"\b(dependencies|dependency|install|installs|package|packages|npm|pnpm|yarn|python|pip|rust|cargo|crate|typescript|tsconfig|config|configuration)\b"
+
+
+def architecture_boost(question: Column, path: Column, content: Column) -> Column:
+    """Points for items of the part of a system that a question is about: what is seen, interfaces, search, storage, packages."""
+    q, p, c = (F.lower(F.coalesce(x, F.lit(""))) for x in (question, path, content))
+    family = places.family(path)
+    when = lambda condition, n: F.when(F.coalesce(condition, F.lit(False)), n).otherwise(0.0)
+    seen = q.rlike(SURFACE_QUESTION)
+    markup, style = seen & (family == "markup"), seen & (family == "style")
+    score = when(markup & q.rlike(MARKUP_QUESTION), 5.0) + when(style & q.rlike(STYLE_QUESTION), 5.0) + when(markup & c.rlike(MARKUP_CONTENT), 2.0) + when(style & c.rlike(STYLE_CONTENT), 2.0)
+    bare = F.regexp_replace(c, "[^a-z0-9]+", "")
+    for text, (words, where, a, what, b) in zip((c, c, bare), ARCHITECTURE, strict=True):
+        score = score + when(q.rlike(words) & p.rlike(where), a) + when(q.rlike(words) & text.rlike(what), b)
+    return score + when(q.rlike(PACKAGE_QUESTION) & places.is_supporting(path), 3.0)
+
+
+def evidence_tokens(question: Column, limit: int = 40) -> Column:
+    """The words of a question that tell its subject, parts of identifiers by themselves, once each."""
+    names = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
+    parts = F.flatten(F.transform(names, lambda n: T.split_identifier(n)))
+    return F.slice(F.array_distinct(F.filter(parts, lambda p: (F.length(p) >= 3) & ~p.isin(*V.EVIDENCE_STOPWORDS))), 1, limit)
+
+
+def _abbreviated(words: Column, token: Column) -> Column:
+    """Whether one of the words, of four letters at least, begins a token of six at least."""
+    return (F.length(token) >= 6) & F.exists(words, lambda w: (F.length(w) < F.length(token)) & F.startswith(token, w))
+
+
+def subject_score(path: Column, content: Column, similarity: Column, tokens: Column) -> Column:
+    """Five times the similarity, and 2.5 and 0.75 for each token that the path and the whole name, fully or in short."""
+    low = F.lower(path)
+    hay = F.lower(F.concat(path, F.lit("\n"), F.substring(F.coalesce(content, F.lit("")), 1, 8000)))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z][a-z0-9]{3,}"), F.lit(0)))
+    hits = lambda c: F.size(F.filter(tokens, lambda t: token_matches(c, t) | _abbreviated(words(c), t)))
+    return F.coalesce(similarity * 5, F.lit(0.0)) + hits(low) * 2.5 + hits(hay) * 0.75
+
+
+def full_score(items: DataFrame, questions: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """items (q, ord, path, content, similarity, tool) with (score, rank) for questions (q, text): the subject, a file that was read,
+    the part of the system, profiles (contexts of profiles.context), supporting files, definitions and, for overviews, documentation and files near the root."""
+    from . import profiles
+
+    ctx = F.lit(None)
+    rows = items.join(questions.select("q", "text"), "q")
+    if contexts is not None:
+        rows = rows.join(contexts.select("q", F.struct("ids", "families", "categories", "terms").alias("ctx")), "q", "left")
+        ctx = F.col("ctx")
+    path, content, low = F.col("path"), F.coalesce("content", F.lit("")), F.lower(F.coalesce("text", F.lit("")))
+    over = is_overview(low)
+    score = subject_score(path, content, F.col("similarity"), evidence_tokens(F.col("text"))) + F.when(F.col("tool") == "read_file", 3.0).otherwise(0.0)
+    score = score + architecture_boost(F.col("text"), path, content)
+    if contexts is not None:
+        score = score + profiles.evidence_boost(ctx, path, content)
+    score = score + F.when(places.is_supporting(path), F.when(wants_support(low), 2.0).otherwise(0.25)).otherwise(0.0) + F.when(content.rlike(DEFINITION), 0.75).otherwise(0.0)
+    score = score + F.when(over & (places.supporting_role(path) == "documentation"), 5.0).otherwise(0.0) + F.when(over & (F.size(F.split(path, "/")) <= 2), 1.5).otherwise(0.0)
+    scored = rows.withColumn("score", F.round(score, 6)).drop("text", "ctx")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ord")))
+
+
+# ---- selection
+
+
+def _flags(ranked: DataFrame, questions: DataFrame) -> DataFrame:
+    low = F.lower(F.coalesce("text", F.lit("")))
+    asked = questions.select("q", (wants_support(low) | is_overview(low)).alias("allow"), wants_support(low).alias("wants"), wants_manifest(low).alias("packages"))
+    path = F.col("path")
+    return ranked.join(asked, "q").withColumn("supporting", places.is_supporting(path)).withColumn("dependency", F.startswith(path, F.lit(places.DEPENDENCY_DOCS)))
+
+
+def _fill(taken: DataFrame, rest: Column, limit: int | None) -> DataFrame:
+    """The rows that have a turn and place, then those for which rest holds, by rank; (place) from 1."""
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.col("turn").isNull(), "turn", "nth", "rank"))
+    out = taken.filter(F.col("turn").isNotNull() | rest).withColumn("place", order)
+    return out.filter(F.col("place") <= limit) if limit else out
+
+
+def _diverse(rows: DataFrame, limit: Column, candidates: Column) -> DataFrame:
+    """rows with (nth): the place of candidates by layer_diverse's turns, null beyond limit and for others."""
+    first = lambda by: F.row_number().over(Window.partitionBy("q", "cand", by).orderBy("rank")) == 1
+    marked = rows.withColumn("cand", candidates).withColumn("layer", places.layer(F.col("path")))
+    marked = marked.withColumn("t", F.when(first("layer"), 0).when(first("path"), 1).otherwise(2))
+    nth = F.row_number().over(Window.partitionBy("q", "cand").orderBy("t", "rank"))
+    return marked.withColumn("nth_", F.when(F.col("cand"), nth)).withColumn("diverse", F.when(F.col("nth_") <= limit, F.col("nth_"))).drop("cand", "t", "nth_")
+
+
+def outline_evidence(ranked: DataFrame, questions: DataFrame, hubs: DataFrame | None = None, limit: int = 8) -> DataFrame:
+    """(q, rank, path, place) of ranked (q, rank, path): at most five items of hub paths (q, path), then layer-diverse sources, then three
+    supporting ones (one, unless the question wants them), filled by rank; without dependency documents unless packages are asked for."""
+    rows = _flags(ranked, questions)
+    rows = rows.join(hubs.select("q", "path", F.lit(True).alias("hub")).distinct(), ["q", "path"], "left") if hubs is not None else rows.withColumn("hub", F.lit(None).cast("boolean"))
+    w = Window.partitionBy("q")
+    hub = F.coalesce("hub", F.lit(False))
+    rows = rows.withColumn("hub_n", F.when(hub, F.row_number().over(Window.partitionBy("q", hub).orderBy("rank")))).withColumn("is_hub", F.coalesce(F.col("hub_n") <= 5, F.lit(False)))
+    able = ~F.col("is_hub") & F.col("supporting") & (F.col("packages") | ~F.col("dependency"))
+    rows = rows.withColumn("able", able).withColumn("sup_n", F.when(F.col("able"), F.row_number().over(Window.partitionBy("q", "able").orderBy("rank"))))
+    rows = rows.withColumn("is_sup", F.coalesce(F.col("sup_n") <= F.when(F.col("allow"), 3).otherwise(1), F.lit(False)))
+    room = F.greatest(F.lit(0), limit - F.count_if("is_hub").over(w) - F.count_if("is_sup").over(w))
+    rows = _diverse(rows.withColumn("room", room), F.col("room"), ~hub & ~F.col("supporting"))
+    turn = F.when(F.col("is_hub"), 0).when(F.col("diverse").isNotNull(), 1).when(F.col("is_sup"), 2)
+    rows = rows.withColumn("turn", turn).withColumn("nth", F.when(F.col("turn") == 0, F.col("hub_n")).when(F.col("turn") == 1, F.col("diverse")).otherwise(F.col("sup_n")))
+    rest = (F.col("allow") | ~F.col("supporting")) & (F.col("packages") | ~F.col("dependency"))
+    return _fill(rows, rest, limit).select("q", "rank", "path", "place")
+
+
+def visible_evidence(ranked: DataFrame, questions: DataFrame, outline: DataFrame) -> DataFrame:
+    """(q, rank, path, place): the outline's items in their order, then all other ranked ones but dependency documents."""
+    rows = _flags(ranked, questions).join(outline.select("q", "rank", F.col("place").alias("nth")), ["q", "rank"], "left").withColumn("turn", F.when(F.col("nth").isNotNull(), 0))
+    return _fill(rows, F.col("packages") | ~F.col("dependency"), None).select("q", "rank", "path", "place")
+
+
+def component_evidence(ranked: DataFrame, questions: DataFrame, kind: str, limit: int = 4) -> DataFrame:
+    """(q, rank, path, place): for code the best item of each path, then the rest; for other kinds layer-diverse sources and, where
+    the question wants it, one supporting item, filled by rank."""
+    rows = _flags(ranked, questions)
+    if kind == "annotated_code_excerpt":
+        again = F.row_number().over(Window.partitionBy("q", "path").orderBy("rank")) > 1
+        return _fill(rows.withColumn("turn", F.when(again, 1).otherwise(0)).withColumn("nth", F.col("rank")), F.lit(False), limit).select("q", "rank", "path", "place")
+    able = F.col("supporting") & (F.col("packages") | ~F.col("dependency"))
+    rows = rows.withColumn("able", able).withColumn("sup_n", F.when(F.col("able"), F.row_number().over(Window.partitionBy("q", "able").orderBy("rank"))))
+    rows = rows.withColumn("is_sup", F.coalesce((F.col("sup_n") <= 1) & F.col("wants"), F.lit(False)))
+    rows = _diverse(rows.withColumn("room", limit - F.count_if("is_sup").over(Window.partitionBy("q"))), F.col("room"), ~F.col("supporting"))
+    rows = rows.withColumn("turn", F.when(F.col("diverse").isNotNull(), 0).when(F.col("is_sup"), 1)).withColumn("nth", F.coalesce("diverse", "sup_n"))
+    return _fill(rows, F.col("packages") | ~F.col("dependency"), limit).select("q", "rank", "path", "place")
+
+
+# ---- traces of behaviour
+
+
+def collect_evidence(refs: DataFrame) -> DataFrame:
+    """refs (q, ord, component, type, kind, path, line_start, line_end, claim) once per range and component, in the place of the first, without those that have no path."""
+    return first_by(refs.filter(F.coalesce("path", F.lit("")) != ""), ["q"], F.struct("path", "line_start", "line_end", "component"), "ord", 2**31 - 1)
+
+
+def entrypoints(evidence: DataFrame, limit: int = 5) -> DataFrame:
+    """(q, path, line_start, line_end, role, place): the first distinct ranges of evidence that no gap cites."""
+    gap = F.coalesce((F.col("type") == "evidence_callout") & (F.col("kind") == "gap"), F.lit(False))
+    rows = first_by(evidence.filter(~gap).drop("place"), ["q"], F.struct("path", "line_start", "line_end"), "ord", limit)
+    return rows.select("q", "path", "line_start", "line_end", places.trace_role(F.col("path")).alias("role"), "place")
+
+
+#: Actors of a behaviour, by what its texts mention.
+ACTORS = (
+    ("user/client", r"\b(user|browser|client|form|ui)\b"), ("server", r"\b(api|server|route|handler|hono|endpoint)\b"), ("llm/planner", r"\b(llm|model|provider|planner|synthesis|exploration|ai sdk)\b"),
+    ("data store", r"\bdb|database|store|lance|index|cache|trace\b"),
+)
+
+
+def actors(text: Column) -> Column:
+    """Who takes part in a behaviour; the system, if nobody is named."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.array_compact(F.array(*[F.when(low.rlike(p), name) for name, p in ACTORS]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("system")))
+
+
+def trace_texts(components: DataFrame, evidence: DataFrame, limit: int = 5) -> DataFrame:
+    """(q, alternates, questions, risks) of components (q, ord, type, kind, summary, detail): inferred callouts, gaps or else a standing question,
+    and a risk for each of the first four items of evidence (q, ord, path, line_start, line_end)."""
+    texts = lambda kind, c: F.slice(F.transform(F.array_sort(F.collect_list(F.when((F.col("type") == "evidence_callout") & (F.col("kind") == kind) & (c != ""), F.struct("ord", c.alias("t"))))), lambda x: x["t"]), 1, limit)
+    s, d = F.coalesce("summary", F.lit("")), F.coalesce("detail", F.lit(""))
+    asked = components.groupBy("q").agg(texts("inferred", F.when(s != "", s).otherwise("Alternate path")).alias("alternates"), texts("gap", F.when(s != "", s).otherwise(d)).alias("gaps"))
+    where = F.when(F.col("line_start").isNotNull() & F.col("line_end").isNotNull(), F.concat(F.lit(" lines "), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))).otherwise("")
+    risk = F.concat(F.lit("Changing "), "path", where, F.lit(" may affect "), places.trace_role(F.col("path")), F.lit(" behavior."))
+    few = evidence.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("ord"))).filter("k <= 4")
+    risks = few.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", risk.alias("t")))), lambda x: x["t"]).alias("risks"))
+    rows = asked.join(risks, "q", "left")
+    none = F.col("risks").isNull()
+    standing = F.when(none, "No source evidence was captured for this trace.").otherwise("Which alternate failure paths should be traced before modifying this behavior?")
+    return rows.select("q", "alternates", F.when(F.size("gaps") > 0, F.col("gaps")).otherwise(F.array(standing)).alias("questions"), F.coalesce("risks", F.array(F.lit("Changing this behavior without source evidence is high risk."))).alias("risks"))
+
+
+def condition_evidence(evidence: DataFrame, conditions: DataFrame, limit: int = 4) -> DataFrame:
+    """(q, ord, score, place) of evidence (q, ord, path, claim, component, type) for conditions (q, condition): by how many of its terms an item has."""
+    terms = F.regexp_extract_all(F.lower(F.coalesce("condition", F.lit(""))), F.lit("[a-z0-9_]{3,}"), F.lit(0))
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    hay = F.lower(F.concat_ws(" ", some("path"), some("claim"), some("component"), some("type")))
+    rows = evidence.join(conditions, "q").withColumn("hay", hay).withColumn("score", F.size(F.filter(terms, lambda t: F.contains(F.col("hay"), t)))).filter("score > 0")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ord"))
+    return rows.withColumn("place", place).filter(F.col("place") <= limit).select("q", "ord", "score", "place")
+
+
+def brief_evidence(evidence: DataFrame, limit: int = 12) -> DataFrame:
+    """evidence (q, ord, path, line_start, line_end, reason) once per range and reason; the first limit, with (role, place)."""
+    rows = first_by(evidence, ["q"], F.struct("path", "line_start", "line_end", "reason"), "ord", limit)
+    return rows.withColumn("role", places.file_role(F.col("path")))
+
+
+def substantive(lines: DataFrame, least: int = 3) -> DataFrame:
+    """(key, substantive) of lines (key, line), gutters and all: whether at least three lines are code."""
+    bare = F.trim(F.regexp_replace("line", r"^\s*\d+\s+[|:]?\s?", ""))
+    code = (bare != "") & ~bare.rlike(r"^(#|//|/\*|\*|--|<!--)") & ~bare.rlike(r"^[\[\](){};,]*$")
+    return lines.groupBy("key").agg((F.count_if(code) >= least).alias("substantive"))

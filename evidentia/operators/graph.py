@@ -69,14 +69,42 @@ def search_text(facts: DataFrame) -> DataFrame:
     return facts.withColumn("search_text", F.lower(F.concat_ws("\n", "path", "kind", "name", "target", "detail")))
 
 
-def graph_score(kind: Column, haystack: Column, tokens: Column) -> Column:
-    """What a fact adds to its row: by its kind, by tokens that name the kind, and by tokens that it contains."""
+def graph_score(kind: Column, haystack: Column, tokens: Column, family: Column | None = None, profile: Column | None = None) -> Column:
+    """What a fact adds to its row: by its kind, by tokens that name the kind, and by tokens that it contains; five times whether its
+    surface family is wanted, and four times its profile's score."""
     base = F.when(kind.isin("definition", "route", "storage", "entrypoint", "dependency"), 3.0).when(kind.isin("markup", "ui", "style", "style_rule"), 2.5).when(kind.isin("configuration", "import"), 2.0).otherwise(0.0)
     named = F.when(F.array_contains(tokens, F.lower(kind)), 4.0).otherwise(0.0) + F.when(F.array_contains(tokens, F.lit("route")) & (kind == "route"), 4.0).otherwise(0.0)
     styled = F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, ("selector", "style", "css")))) & kind.startswith("style"), 4.0).otherwise(0.0)
     marked = F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, ("html", "markup", "ui")))) & kind.isin("markup", "ui"), 4.0).otherwise(0.0)
     hits = F.aggregate(F.filter(tokens, lambda t: F.contains(haystack, t)), F.lit(0.0), lambda acc, t: acc + F.when(F.length(t) > 5, 2.0).otherwise(1.0))
-    return base + named + styled + marked + hits
+    score = base + named + styled + marked + hits
+    score = score if family is None else score + F.when(F.coalesce(family, F.lit(False)), 5.0).otherwise(0.0)
+    return score if profile is None else score + profile * 4
+
+
+def symbol_ranges(facts: DataFrame) -> DataFrame:
+    """(path, name, line_start, line_end, place) of the definitions among facts, once each, by line and name."""
+    own = facts.filter((F.col("kind") == "definition") & (F.coalesce("name", F.lit("")) != "") & F.col("line_start").isNotNull() & F.col("line_end").isNotNull())
+    rows = own.select("path", "name", "line_start", "line_end").distinct()
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("line_start", "line_end", "name")))
+
+
+def named_symbol(symbols: DataFrame, terms: DataFrame) -> DataFrame:
+    """(q, path, name, line_start, line_end): of each path the first of symbol_ranges that a term (q, term) names."""
+    named = symbols.filter(F.col("line_end") >= F.col("line_start")).join(terms.select("q", F.lower("term").alias("low")).distinct(), F.lower("name") == F.col("low"))
+    rest = F.min_by(F.struct("name", "line_start", "line_end"), "place")
+    return named.groupBy("q", "path").agg(rest.alias("s")).select("q", "path", "s.*")
+
+
+def import_edges(facts: DataFrame) -> DataFrame:
+    """(path, specifier) of the imports among facts; all of them, for the order of rows says nothing of which to leave out."""
+    own = facts.filter((F.col("kind") == "import") & (F.coalesce("target", F.lit("")) != "") & ~F.startswith("path", F.lit(places.DEPENDENCY_DOCS)))
+    return own.select("path", F.col("target").alias("specifier"))
+
+
+def known_paths(chunks: DataFrame) -> DataFrame:
+    """(path) of stored chunks, once each."""
+    return chunks.select("path").distinct()
 
 
 # ---- imports

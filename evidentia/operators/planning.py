@@ -126,6 +126,31 @@ def reconcile_draft(draft: DataFrame, candidates: DataFrame, limit: int = 8) ->
     return R.ranked(kept.unionByName(rest).repartition("q"), ["q"], [F.asc("at"), F.asc("path")], limit).select("q", "path", F.col("rank").alias("place"))
 
 
+def merge_results(primary: DataFrame, secondary: DataFrame, limit: int, support: int = 3) -> DataFrame:
+    """(q, path, line_start, line_end, similarity, place) of two searches' results (q, rank, path, line_start, line_end, similarity): once
+    each, by similarity (none counts as 0), the supporting files among them last and no more than support; limit in all."""
+    rows = primary.withColumn("leg", F.lit(0)).unionByName(secondary.withColumn("leg", F.lit(1))).withColumn("ord", F.struct("leg", "rank"))
+    one = Q.first_by(rows, ["q"], F.struct("path", "line_start", "line_end"), "ord", 2**31 - 1).drop("place")
+    w = lambda *by: Window.partitionBy("q", *by).orderBy(F.desc(F.coalesce("similarity", F.lit(0.0))), "ord")
+    own = one.withColumn("helps", places.is_supporting(F.col("path"))).withColumn("nth", F.row_number().over(w("helps")))
+    own = own.withColumn("last", F.col("helps") & (F.col("nth") <= support)).withColumn("at", F.row_number().over(w("last")))
+    taken = F.count_if("last").over(Window.partitionBy("q"))
+    kept = own.withColumn("taken", taken).filter(F.col("last") | (F.col("at") <= F.greatest(F.lit(0), limit - F.col("taken"))))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("last", "at"))
+    return kept.withColumn("place", place).filter(F.col("place") <= limit).select("q", "path", "line_start", "line_end", "similarity", "place")
+
+
+def hub_evidence(hubs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(path, hub_rank, q, rank): the best of a question's ranked evidence (q, rank, path) in each hub (path, rank)."""
+    best = ranked.groupBy("q", "path").agg(F.min("rank").alias("rank"))
+    return best.join(F.broadcast(hubs.select("path", F.col("rank").alias("hub_rank"))), "path")
+
+
+def runtime_group(group: Column) -> Column:
+    """Whether a group of dependencies is needed when a system runs."""
+    return ~F.contains(F.lower(F.coalesce(group, F.lit(""))), F.lit("dev"))
+
+
 # ---- code in answers
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import places
 from ..functions import text as T
+from . import profiles
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -344,15 +345,17 @@ def lexical_tokens(questions: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def domain_boost(rows: DataFrame) -> DataFrame:
-    """rows of (tokens, families, manifest_seeking, path, content) with (boost): surface family 300, 40 for each term in the
-    path, else 3 for one in the content's first 4000 characters, and less 80 for a manifest that is not asked for."""
+    """rows of (tokens, families, manifest_seeking, path, content[, profile]) with (boost): surface family 300, 40 for each term in the
+    path, else 3 for one in the content's first 4000 characters, and less 80 for a manifest that is not asked for; with a
+    profile, the sets of profiles.context or null, 120 times its score."""
     norm = lambda c: F.array_distinct(F.filter(F.transform(c, T.search_token), lambda t: F.length(t) >= 2))
     parts, path, content = norm(F.col("tokens")), norm(T.split_identifier(F.col("path"))), norm(T.split_identifier(F.substring("content", 1, 4000)))
     in_path = F.array_intersect(parts, path)
     in_content = F.array_intersect(F.array_except(parts, path), content)
     family = F.coalesce(F.array_contains("families", places.family(F.col("path"))).cast("int"), F.lit(0))
     manifest = (~F.col("manifest_seeking") & places.is_manifest(F.col("path"))).cast("int")
-    return rows.withColumn("boost", (family * 300 + F.size(in_path) * 40 + F.size(in_content) * 3 - manifest * 80).cast("double"))
+    profile = profiles.profile_score(F.col("profile"), F.col("path"), F.col("content")) * 120 if "profile" in rows.columns else F.lit(0)
+    return rows.withColumn("boost", (family * 300 + profile + F.size(in_path) * 40 + F.size(in_content) * 3 - manifest * 80).cast("double"))
 
 
 def tiebreak(boost: Column) -> Column:
