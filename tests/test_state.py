@@ -141,3 +141,29 @@ def test_rolling_and_latest(spark, tmp_path):
     got = []
     live.latest_table(stream, lambda df, n: got.extend(df.collect()), "key", "tokens", f"{tmp_path}/ck2").awaitTermination()
     assert [(r.key, r.tokens) for r in got] == [("k", 4000)]
+
+
+def test_writers_do_not_lose_updates_and_batches_touch_few_parts(spark, tmp_path):
+    c = store.Catalog(spark, f"file://{tmp_path}/s", buckets=8)
+    rows = lambda *xs: spark.createDataFrame(list(xs), "path string, n int")
+    assert c.apply_batch("t", rows(*[(f"p{i}", i) for i in range(100)])) == 1
+    before = c._manifest("t", 1)["parts"]
+    other = store.Catalog(spark, f"file://{tmp_path}/s", buckets=8)
+    publish = c._publish
+
+    def late(*args):  # the other writer commits after this one has read its version
+        c._publish = publish
+        assert other.apply_batch("t", rows(("p1", -1))) == 2
+        return publish(*args)
+
+    c._publish = late
+    assert c.apply_batch("t", rows(("p2", -2)), delete=spark.createDataFrame([("p3",)], "path string")) == 3
+    got = {r.path: r.n for r in c.read("t").collect()}
+    assert got == {f"p{i}": {1: -1, 2: -2}.get(i, i) for i in range(100) if i != 3}
+    assert {r.n for r in c.read("t", 1).filter("path = 'p1'").collect()} == {1}
+    after = c._manifest("t", 3)["parts"]
+    assert 5 <= sum(before[b] == after.get(b) for b in before) < len(before)
+    assert c.upsert_latest("t", spark.createDataFrame([("p9", 90, "x")], "path string, n int, note string"), ["path"], [F.desc("n")]) == 4
+    c.vacuum("t")
+    assert c.read("t").filter("note = 'x'").count() == 1 and c.read("t").count() == 99
+    assert c.optimize("t", ["n"], 4) == 5 and c.read("t").count() == 99
