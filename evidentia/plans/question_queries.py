@@ -85,8 +85,8 @@ def answer_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CLASSIFIED}, h as (select *, {SHAPES} as shapes from classified),
-s as (select q, unnest(list_concat(case when api then {_list(V.API_SEEDS)} else [] end, case when api and {_m(V.FAILURE)} then ['{V.FAILURE_SEED}'] else [] end, case when scope = 'system' and {_OVERVIEW} then {_list(V.OVERVIEW_SEEDS)} else [] end, ['  Data Storage  persistence read write'])) as text from (select *, list_contains(domains, 'api') or {_m(V.API_QUESTION)} as api from h)),
-n as (select *, row_number() over (partition by q) as i from s), f as (select q, min(i) as i, arg_min(trim(text), i) as text from n group by q, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')))
+s as (select q, list_concat(case when api then {_list(V.API_SEEDS)} else [] end, case when api and {_m(V.FAILURE)} then ['{V.FAILURE_SEED}'] else [] end, case when scope = 'system' and {_OVERVIEW} then {_list(V.OVERVIEW_SEEDS)} else [] end, ['  Data Storage  persistence read write']) as l from (select *, list_contains(domains, 'api') or {_m(V.API_QUESTION)} as api from h)),
+n as (select q, unnest(l) as text, generate_subscripts(l, 1) as i from s), f as (select q, min(i) as i, arg_min(trim(text), i) as text from n group by q, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')))
 select q, text, row_number() over (partition by q order by i) as place from f qualify place <= 6""")
 def stage_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's own sub-query, here the same for all, repeats a seed in other case and blanks."""

@@ -216,7 +216,7 @@ def substantive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.substantive(lines.select("key", F.concat((F.col("i") + 1).cast("string"), F.lit("  "), "line").alias("line")))
 
 
-@query(f"""with {ASKED}, r as (select l_orderkey as q, l_linenumber % 2 as leg, row_number() over (partition by l_orderkey, l_linenumber % 2 order by l_linenumber, l_partkey) as rank, {_PICK} as path, l_partkey % 3 as ls, case when l_suppkey % 4 > 0 then l_discount end as sim from lineitem),
+@query(f"""with {ASKED}, r as (select l_orderkey as q, l_linenumber % 2 as leg, row_number() over (partition by l_orderkey, l_linenumber % 2 order by l_linenumber, l_partkey, l_suppkey, l_quantity) as rank, {_PICK} as path, l_partkey % 3 as ls, case when l_suppkey % 4 > 0 then l_discount end as sim from lineitem),
 o as (select *, ends_with(path, '.md') or ends_with(path, '.json') as helps from r qualify row_number() over (partition by q, path, ls order by leg, rank) = 1),
 n as (select *, helps and row_number() over (partition by q, helps order by coalesce(sim, 0) desc, leg, rank) <= 3 as last from o),
 a as (select *, row_number() over (partition by q, last order by coalesce(sim, 0) desc, leg, rank) as at_, count(*) filter (last) over (partition by q) as taken from n)
@@ -225,7 +225,7 @@ def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     path = F.element_at(F.array(*map(F.lit, PATHS)), ((F.col("l_partkey") + F.col("l_linenumber")) % len(PATHS) + 1).cast("int"))
     leg = F.col("l_linenumber") % 2
-    rank = F.row_number().over(Window.partitionBy("l_orderkey", leg).orderBy("l_linenumber", "l_partkey"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey", leg).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     rows = li.select(F.col("l_orderkey").alias("q"), leg.alias("l"), rank.alias("rank"), path.alias("path"), (F.col("l_partkey") % 3).alias("line_start"), (F.col("l_partkey") % 3 + 5).alias("line_end"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_discount")).alias("similarity"))
     return P.merge_results(rows.filter("l = 0").drop("l"), rows.filter("l = 1").drop("l"), 5)
 
