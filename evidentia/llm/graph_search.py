@@ -21,7 +21,7 @@ SHARD, QUERIES, DEGREE = 16384, 16384, 28
 #: Queries that advance together.
 TOGETHER = 1024
 #: Widths of the beams that build and that search, and how many points of a beam a step expands.
-BUILD_BEAM, BEAM, EXPAND = 48, 64, 4
+BUILD_BEAM, BEAM, EXPAND = 48, 192, 4
 #: A candidate goes when a kept one is so many times nearer to it than the point is (squared distances).
 RELAX = 1.2
 ENTRIES = 8

@@ -194,3 +194,21 @@ def test_assembly_without_sides(spark):
     records = spark.createDataFrame(rows, "record_id string, type string, concurrent_to string, refers_to string, url string, date string, payload_bytes long, payload_digest string")
     (one,) = warc.assemble(records).collect()
     assert one.page_id == 1 and one.request is None and one.metadata is None
+
+
+def test_recall_over_several_shards(spark, monkeypatch):
+    """Against brute force, in double precision, ties by the smaller id."""
+    monkeypatch.setattr(graph_search, "SHARD", 500)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in vectors.collect() if r.embedding and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v / np.linalg.norm(v) for _, v in rows])
+    found: dict[int, set] = {}
+    for r in graph_search.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.flatnonzero(ids % 50 == 0)
+    hits = 0
+    for k in asked:
+        score = np.round(x @ x[k], 12)
+        score[k] = -2
+        hits += len(found[ids[k]] & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    assert len(ids) > 1500 and hits >= 0.9 * 5 * len(asked)
