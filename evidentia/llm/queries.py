@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import exact_dedup as dedup
-from . import graph_search, kneser_ney, language_id, license_scan, ngram_join, packing, sharding, warc
+from . import fill_in_middle, graph_search, kneser_ney, language_id, license_scan, ngram_join, packing, sharding, vector_codes, warc
 
 #: The shards of the production layout.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -71,6 +71,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_search": op1_graph_search,
     "op2_sharding": op2_sharding,
@@ -82,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: pages of equal text differ in no byte, so that text stands for the payload here. Blanks and control characters of an
@@ -97,4 +109,4 @@ select page_id, payload_bytes, payload_digest,
 from k
 """
 
-ORACLES: dict[str, str] = {"op6_warc": WARC_SQL, "op9_exact_dedup": dedup.EXACT_DEDUP_SQL}
+ORACLES: dict[str, str] = {"op6_warc": WARC_SQL, "op9_exact_dedup": dedup.EXACT_DEDUP_SQL, "op12_fill_in_middle": fill_in_middle.FILL_IN_MIDDLE_SQL, "op13_vector_codes": vector_codes.sql()}
