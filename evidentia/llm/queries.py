@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import exact_dedup as dedup
-from . import fill_in_middle, graph_search, kneser_ney, language_id, license_scan, ngram_join, packing, sharding, vector_codes, warc
+from . import fill_in_middle, graph_search, kneser_ney, language_id, license_scan, ngram_join, packing, quality, sharding, vector_codes, warc
 
 #: The shards of the production layout.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -71,6 +71,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     restored = fill_in_middle.restore(F.col("output"), F.col("form"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_quality": op11_quality,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_vector_codes": op13_vector_codes,
 }
