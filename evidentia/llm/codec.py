@@ -26,3 +26,8 @@ def unpack(blob: bytes, n: int) -> list[np.ndarray]:
 def steps(keys: np.ndarray) -> np.ndarray:
     """Differences of ascending keys; np.cumsum gives the keys again."""
     return np.diff(keys, prepend=keys.dtype.type(0)) if len(keys) else keys
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, or in 64 if they are needed."""
+    return x.astype(np.uint32 if x.max(initial=0) <= 0xFFFFFFFF else np.uint64)

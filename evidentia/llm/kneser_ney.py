@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .codec import pack, steps, unpack
+from .codec import narrow, pack, steps, unpack
 from .scratch import local_path, shared_dir, written
 
 WORD = K.byte_table("\x20\x09\x0a\x0b\x0c\x0d")
@@ -30,6 +30,8 @@ END, START = np.uint64(0x9FB21C651E98DF25), np.uint64(0x3C79AC492BA7B653)
 #: Bytes of text that are counted before the counts move, and that are scored at once.
 STRETCH = 32 << 20
 SCORED = 4 << 20
+#: Files of a model that a worker maps at once.
+MAPS = 256
 SPREAD = 8
 #: Bytes of text whose grams a bucket holds at most, on average.
 BUCKET = 24 << 20
@@ -170,7 +172,7 @@ def _merge_counts(folder: str, buckets: int):  # noqa: ANN202
             c = np.add.reduceat(count[order].astype(np.int64), first)
             prev, cur = prev[order[first]], cur[order[first]]
             _save(folder, "bigram", bucket, key[first])
-            _save(folder, "bigram-n", bucket, c.astype(np.uint32))
+            _save(folder, "bigram-n", bucket, narrow(c))
             stats[2:] = _ones_to_fours(c)
             del key, order
             p, n1, n2, n3 = _summed(prev, *((x).astype(np.int64) for x in (c == 1, c == 2, c >= 3)))
@@ -179,10 +181,10 @@ def _merge_counts(folder: str, buckets: int):  # noqa: ANN202
             for b in range(buckets):
                 i, j = np.searchsorted(to, [b, b + 1])
                 if i < j:
-                    out.append((2, b, pack(steps(p[i:j]), *(x[i:j].astype(np.uint32) for x in (n1, n2, n3))), None))
+                    out.append((2, b, pack(steps(p[i:j]), *(narrow(x[i:j]) for x in (n1, n2, n3))), None))
                 i, j = np.searchsorted(tw, [b, b + 1])
                 if i < j:
-                    out.append((3, b, pack(steps(w[i:j]), m[i:j].astype(np.uint32)), None))
+                    out.append((3, b, pack(steps(w[i:j]), narrow(m[i:j])), None))
         out.append((4, bucket, None, stats))
         return pd.DataFrame(out, columns=["kind", "bucket", "data", "stats"])
 
@@ -196,12 +198,12 @@ def _merge_neighbours(folder: str):  # noqa: ANN202
         if parts:
             prev, *n = _summed(np.concatenate([np.cumsum(p[0]) for p in parts]), *(np.concatenate([p[k].astype(np.int64) for p in parts]) for k in (1, 2, 3)))
             _save(folder, "context", bucket, prev)
-            _save(folder, "context-n", bucket, np.stack(n, axis=1).astype(np.uint32))
+            _save(folder, "context-n", bucket, narrow(np.stack(n, axis=1)))
         parts = [unpack(x, 2) for x in group.loc[group["kind"] == 3, "data"]]
         if parts:
             cur, m = _summed(np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
             _save(folder, "successor", bucket, cur)
-            _save(folder, "successor-n", bucket, m.astype(np.uint32))
+            _save(folder, "successor-n", bucket, m.astype(np.uint64))
             stats = [int(m.sum()), int((m >= 3).sum()), *_ones_to_fours(m)]
         return pd.DataFrame([(4, bucket, None, stats)], columns=["kind", "bucket", "data", "stats"])
 
@@ -262,11 +264,11 @@ def train(docs: DataFrame) -> Model:
 
 
 class _Arrays:
-    """The model's files, mapped when first used."""
+    """The model's files, mapped when used; MAPS of them stay mapped, for each holds a file descriptor."""
 
     def __init__(self, folder: str, buckets: int) -> None:
         self.folder, self.buckets = folder, buckets
-        self.open = functools.lru_cache(maxsize=None)(self._open)
+        self.open = functools.lru_cache(maxsize=MAPS)(self._open)
 
     def _open(self, name: str, bucket: int) -> np.ndarray | None:
         path = f"{self.folder}/{name}-{bucket}.npy"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .codec import pack, steps, unpack
+from .codec import narrow, pack, steps, unpack
 from .kneser_ney import _ROWS, _16, _32, END, ROWS, START, STRETCH, _Arrays, _key, _ones_to_fours, _range, _save, _summed, discounts, n_buckets, tokens
 from .scratch import local_path, shared_dir, written
 
@@ -218,7 +218,7 @@ def _sent(kind: int, keys: np.ndarray, bucket: np.ndarray, values: list[np.ndarr
     order = np.lexsort((keys, bucket))
     for b, i, j in _parts(bucket[order], buckets):
         own = order[i:j]
-        yield kind, b, pack(steps(keys[own]), *(x[own].astype(np.uint32) for x in values)), None
+        yield kind, b, pack(steps(keys[own]), *(narrow(x[own]) for x in values)), None
 
 
 def _merge_counts(folder: str, buckets: int, hot: np.ndarray):  # noqa: ANN202
@@ -276,7 +276,7 @@ def _merge_rest(folder: str):  # noqa: ANN202
         if (rows := summed(3, 1)) is not None:
             word, m = rows
             _save(folder, "successor", bucket, word)
-            _save(folder, "successor-n", bucket, m.astype(np.uint32))
+            _save(folder, "successor-n", bucket, m.astype(np.uint64))
             stats = [int(m.sum()), int((m >= 3).sum()), *_ones_to_fours(m)]
         return pd.DataFrame([(4, bucket, None, stats)], columns=["kind", "bucket", "data", "stats"])
 

@@ -22,6 +22,8 @@ DIM = 512
 SYMBOLS = 64
 SEED = 20_240_501
 UNKNOWN = "und"
+#: Cells of a table of texts by trigrams, and trigrams whose vectors are made at once.
+CELLS, AT_ONCE = 1 << 23, 8192
 
 
 @functools.lru_cache(maxsize=1)
@@ -67,12 +69,29 @@ def bundles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     code = (sym[:-2] << 12) | (sym[1:-1] << 6) | sym[2:]
     good = (owner[:-2] == owner[2:]) & (code > 0) & (sym[1:-1] > 0)  # centred on a letter
     code, owner = code[good], owner[:-2][good]
+    return _sums(code, owner, n), np.bincount(owner, minlength=n)
+
+
+def _sums(code: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the sum of its trigrams' vectors; owner ascends. All sums are of whole numbers, so that either way
+    gives the same: a table of texts by distinct trigrams where it has few cells, else runs of equal trigrams of a text."""
+    out = np.zeros((n, DIM), np.float32)
     there = np.zeros(SYMBOLS**3, np.int32)
     there[code] = 1
     distinct = np.flatnonzero(there)
-    there[distinct] = np.arange(len(distinct))
-    counts = np.bincount(owner * len(distinct) + there[code], minlength=n * len(distinct)).reshape(n, -1) if len(distinct) else np.zeros((n, 0))
-    return counts.astype(np.float32) @ trigram_vectors(distinct), np.bincount(owner, minlength=n)
+    if n * len(distinct) <= CELLS:
+        there[distinct] = np.arange(len(distinct))
+        counts = np.bincount(owner * len(distinct) + there[code], minlength=n * len(distinct)).reshape(n, -1) if len(distinct) else np.zeros((n, 0))
+        for a in range(0, len(distinct), AT_ONCE):
+            out += counts[:, a : a + AT_ONCE].astype(np.float32) @ trigram_vectors(distinct[a : a + AT_ONCE])
+        return out
+    key, times = np.unique(owner.astype(np.int64) * SYMBOLS**3 + code, return_counts=True)
+    text, own = np.divmod(key, SYMBOLS**3)
+    for a in range(0, len(key), AT_ONCE):
+        t = text[a : a + AT_ONCE]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        out[t[first]] += np.add.reduceat(trigram_vectors(own[a : a + AT_ONCE]) * times[a : a + AT_ONCE, None].astype(np.float32), first, axis=0)
+    return out
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

@@ -60,3 +60,12 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
             monkeypatch.setattr(K, "span_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
         found, first, hashes, inverse = K.distinct_spans(data, starts, ends)
         assert len(set(found)) == len(found) == len(first) == len(hashes) and [found[k] for k in inverse] == words
+
+
+def test_counts_beyond_32_bits_keep_their_value():
+    from evidentia.llm import codec
+
+    for top in (0, 1, 2**32 - 1, 2**32, 4_294_967_303, 2**50):
+        x = np.array([1, top], np.int64)
+        assert codec.unpack(codec.pack(codec.narrow(x)), 1)[0].tolist() == [1, top]
+    assert codec.narrow(np.zeros(0, np.int64)).dtype == np.uint32
