@@ -30,6 +30,8 @@ COST = 4.0
 BLOCKS, ROUNDS, PASSES = 16, 10, 2
 #: Bounds of the sample that the hinge-loss model is fitted on; counts and ratios come from all labelled texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 1 << 28
+#: Labelled ids, of 12 bytes each, that go to every task; more are joined by an exchange of both sides, which moves texts.
+LABELS_AT_ONCE = 1_000_000
 #: The sample is made of whole buckets of document ids.
 BUCKETS = 4096
 #: score is the logistic function of SLOPE times the margin.
@@ -177,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     of indicators. Without documents of both labels all weights are 0 and the constant says which label was seen, if one was.
     """
     one = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most")
-    rows = docs.select("doc_id", "text").join(one.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id")
+    one = written(one.select("doc_id", F.col("label").cast("int").alias("label")), "labels")
+    rows = docs.select("doc_id", "text").join(F.broadcast(one) if one.count() <= LABELS_AT_ONCE else one, "doc_id")
     given = rows.select("text", "label", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
     featured = written(given.mapInArrow(_featured, "label int, bucket int, x binary"), "indicators")
     seen = {r.label for r in featured.select("label").distinct().collect()}

@@ -132,3 +132,11 @@ def test_sample_keeps_its_bounds(monkeypatch):
     monkeypatch.setattr(Q, "SAMPLE_BYTES", 100)
     assert Q._buckets(np.array([4, 0, 50, 5, 3, 1]), np.array([10, 0, 10, 20, 10, 10])) == [0, 3, 5]
     assert Q._buckets(np.array([4, 4]), np.array([101, 100])) == [1]
+
+
+def test_labels_that_go_to_every_task_and_labels_that_are_joined_give_the_same(spark, monkeypatch):
+    rows = corpus(200)
+    one = Q.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int"))
+    monkeypatch.setattr(Q, "LABELS_AT_ONCE", 0)
+    other = Q.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int"))
+    assert (one.ratio == other.ratio).all() and abs(one.constant - other.constant) < 0.2
