@@ -404,20 +404,27 @@ def actors(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("system")))
 
 
+# The sentences of a trace.
+NO_SUMMARY = "Alternate path"
+RISK = ("Changing ", " lines ", " may affect ", " behavior.")
+NO_EVIDENCE, STANDING_QUESTION = "No source evidence was captured for this trace.", "Which alternate failure paths should be traced before modifying this behavior?"
+NO_RISK = "Changing this behavior without source evidence is high risk."
+
+
 def trace_texts(components: DataFrame, evidence: DataFrame, limit: int = 5) -> DataFrame:
     """(q, alternates, questions, risks) of components (q, ord, type, kind, summary, detail): inferred callouts, gaps or else a standing question,
     and a risk for each of the first four items of evidence (q, ord, path, line_start, line_end)."""
     texts = lambda kind, c: F.slice(F.transform(F.array_sort(F.collect_list(F.when((F.col("type") == "evidence_callout") & (F.col("kind") == kind) & (c != ""), F.struct("ord", c.alias("t"))))), lambda x: x["t"]), 1, limit)
     s, d = F.coalesce("summary", F.lit("")), F.coalesce("detail", F.lit(""))
-    asked = components.groupBy("q").agg(texts("inferred", F.when(s != "", s).otherwise("Alternate path")).alias("alternates"), texts("gap", F.when(s != "", s).otherwise(d)).alias("gaps"))
-    where = F.when(F.col("line_start").isNotNull() & F.col("line_end").isNotNull(), F.concat(F.lit(" lines "), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))).otherwise("")
-    risk = F.concat(F.lit("Changing "), "path", where, F.lit(" may affect "), places.trace_role(F.col("path")), F.lit(" behavior."))
+    asked = components.groupBy("q").agg(texts("inferred", F.when(s != "", s).otherwise(NO_SUMMARY)).alias("alternates"), texts("gap", F.when(s != "", s).otherwise(d)).alias("gaps"))
+    where = F.when(F.col("line_start").isNotNull() & F.col("line_end").isNotNull(), F.concat(F.lit(RISK[1]), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))).otherwise("")
+    risk = F.concat(F.lit(RISK[0]), "path", where, F.lit(RISK[2]), places.trace_role(F.col("path")), F.lit(RISK[3]))
     few = evidence.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("ord"))).filter("k <= 4")
     risks = few.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", risk.alias("t")))), lambda x: x["t"]).alias("risks"))
     rows = asked.join(risks, "q", "left")
     none = F.col("risks").isNull()
-    standing = F.when(none, "No source evidence was captured for this trace.").otherwise("Which alternate failure paths should be traced before modifying this behavior?")
-    return rows.select("q", "alternates", F.when(F.size("gaps") > 0, F.col("gaps")).otherwise(F.array(standing)).alias("questions"), F.coalesce("risks", F.array(F.lit("Changing this behavior without source evidence is high risk."))).alias("risks"))
+    standing = F.when(none, NO_EVIDENCE).otherwise(STANDING_QUESTION)
+    return rows.select("q", "alternates", F.when(F.size("gaps") > 0, F.col("gaps")).otherwise(F.array(standing)).alias("questions"), F.coalesce("risks", F.array(F.lit(NO_RISK))).alias("risks"))
 
 
 def condition_evidence(evidence: DataFrame, conditions: DataFrame, limit: int = 4) -> DataFrame:

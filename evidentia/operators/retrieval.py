@@ -5,6 +5,7 @@ Questions are rows (q, text). A leg returns (q, key..., score, rank); ranks star
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ DIMS = 64
 QUERY_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
 #: Pairs of questions and terms that go to every task at once; more are joined.
 QUERY_TERMS = 1_000_000
+#: Meetings of a text's terms with questions that are scored at once.
+MEETINGS = 1 << 21
 
 
 def candidates(k: int) -> int:
@@ -85,14 +88,11 @@ def _term_places(low: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 
 def _term_scores(names: list, of: np.ndarray, term: np.ndarray, terms: pa.Array, idf: np.ndarray, avgdl: float, limit: int, q_type: pa.DataType):  # noqa: ANN202
-    """Scores the texts of a batch for all questions, some at a time: weights of texts by terms, times terms by questions."""
-    cuts, blocks = [0], []  # ranges of questions (of is ascending) with at most 8192 terms, or one question
-    for k in range(1, len(names) + 1):
-        if k == len(names) or np.searchsorted(of, k + 1) - np.searchsorted(of, cuts[-1]) > 8192:
-            cuts.append(k)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        i, j = np.searchsorted(of, [a, b])
-        blocks.append((a, b, of[i:j] - a, term[i:j]))
+    """Scores the texts of a batch for all questions: each posting meets the questions that hold its term. So many texts are taken at once
+    as bring MEETINGS of these, or one text; work and memory follow what texts and questions share."""
+    order = np.argsort(term, kind="stable")
+    askers, starts = of[order], np.searchsorted(term[order], np.arange(len(terms) + 1))
+    fan = np.diff(starts)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,24 +100,23 @@ def _term_scores(names: list, of: np.ndarray, term: np.ndarray, terms: pa.Array,
             pair, tf = np.unique(doc * len(terms) + own, return_counts=True)
             doc, own = pair // len(terms), pair % len(terms)
             weight = idf[own] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
-            for a, b, q, t in blocks:
-                used, column = np.unique(t, return_inverse=True)
-                asked = np.zeros((len(used), b - a))
-                asked[column, q] = 1
-                place = np.full(len(terms), -1)
-                place[used] = np.arange(len(used))
-                score = np.zeros((len(dl), b - a))
-                for k in range(0, len(dl), 256):
-                    i, j = np.searchsorted(doc, [k, k + 256])
-                    here = i + np.flatnonzero(place[own[i:j]] >= 0)
-                    table = np.zeros((min(256, len(dl) - k), len(used)))
-                    table[doc[here] - k, place[own[here]]] = weight[here]
-                    score[k : k + 256] = table @ asked
-                score = np.where(score > 0, np.round(score, 6), -np.inf).T
-                low = np.partition(score, -limit, axis=1)[:, -limit, None] if score.shape[1] > limit else -np.inf
-                r, c = np.nonzero((score >= low) & (score > -np.inf))
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in (r + a).tolist()], q_type), batch.column("key").take(pa.array(c)), pa.array(score[r, c])], names=["q", "key", "score"])
+            upto, at = np.cumsum(fan[own]), 0
+            while at < len(doc):
+                most = np.searchsorted(upto, (upto[at - 1] if at else 0) + MEETINGS, "right")
+                end = len(doc) if most >= len(doc) else max(int(np.searchsorted(doc, doc[most])), int(np.searchsorted(doc, doc[at], "right")))
+                n, key = fan[own[at:end]], doc[at:end]
+                q = askers[np.repeat(starts[own[at:end]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                meets, place = np.unique(q * len(dl) + np.repeat(key, n), return_inverse=True)
+                score = np.round(np.bincount(place, np.repeat(weight[at:end], n)), 6)
+                q, key = meets // len(dl), meets % len(dl)
+                best = np.lexsort((-score, q))
+                first = np.flatnonzero(np.concatenate([[True], q[best][1:] != q[best][:-1]])) if len(best) else np.zeros(0, np.int64)
+                size = np.diff(np.append(first, len(best)))
+                low = np.repeat(score[best][first + np.minimum(size, limit) - 1], size)  # ties with the last of them stay
+                kept = best[score[best] >= low]
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q[kept].tolist()], q_type), batch.column("key").take(pa.array(key[kept])), pa.array(score[kept])], names=["q", "key", "score"])
+                at = end
 
     return apply
 
@@ -167,13 +166,24 @@ def _joined_bm25(docs: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
 
 
 def hashed_vectors(docs: DataFrame, dims: int = DIMS) -> DataFrame:
-    """(key, vec) of (key, text): the deterministic default embedder, counts of terms by hashed dimension."""
-    own = docs.select("key", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dim = (F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % dims).alias("dim")
-    sums = own.select("key", dim, "tf").groupBy("key", "dim").agg(F.sum("tf").alias("x"))
-    packed = sums.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))
-    zero = F.lit(0).cast("long")
-    return packed.select("key", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero).cast("double")).alias("vec"))
+    """(key, vec) of (key, text): the deterministic default embedder, counts of terms by hashed dimension. A vector depends on its row
+    alone; a text without a term, or null, has none."""
+    own = docs.select("key", F.lower("text").alias("low"))
+    schema = f"key {docs.schema['key'].dataType.simpleString()}, vec array<double>"
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.split_pattern(pc.replace_substring_regex(pc.fill_null(batch.column("low"), ""), "[^a-z0-9]+", " "), " ")
+            values, doc = pc.dictionary_encode(lists.flatten()), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            places_ = np.array([int.from_bytes(hashlib.md5(t.encode()).digest()[:2], "big") % dims if t else -1 for t in values.dictionary.to_pylist()], np.int64)
+            dim = places_[values.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.int64)
+            some = dim >= 0
+            counts = np.bincount(doc[some] * dims + dim[some], minlength=len(lists) * dims).reshape(len(lists), dims).astype(np.float64)
+            kept = np.flatnonzero(counts.any(axis=1))
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * dims, pa.int32()), pa.array(counts[kept].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(kept)), vec], names=["key", "vec"])
+
+    return own.mapInArrow(apply, schema)
 
 
 def _matrix(vecs: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +296,10 @@ ABBREVIATION = r"(?i)^(?:e\.g|i\.e|etc|vs)\.?$"
 #: Phrases by which two technologies are joined.
 INTEGRATION = r"(?i)\b(?:work(?:s|ing)? together|works? with|integrat\w*|connect\w*|wire[ds]?|wiring|talks? to|interacts? with|flow (?:from|between|through)|powered by|powers|uses? [\w-]+ to\b)"
 #: Names by which technologies are asked for.
-TECHNOLOGIES = "javascript typescript python rust go golang java kotlin scala php elixir lua zig solidity html css react express flask django node.js sqlite postgres redis docker yaml toml json".split()
+TECHNOLOGIES = (
+    "javascript", "typescript", "python", "rust", "go", "golang", "java", "kotlin", "scala", "php", "elixir", "lua", "zig", "solidity", "html",
+    "css", "react", "express", "flask", "django", "node.js", "sqlite", "postgres", "redis", "docker", "yaml", "toml", "json",
+)
 
 
 #: Words that ask for package lists, for markup, and for style.

@@ -109,7 +109,7 @@ pos as (select q, unnest(ts) as token, generate_subscripts(ts, 1) as i from ever
 normed as (select q, token, i, regexp_replace(regexp_replace(lower(token), '^@', ''), '[^a-z0-9]+', '', 'g') as norm from pos),
 firsts as (select q, norm, min(i) as i, arg_min(token, i) as token from normed where norm not in ({STOP}) group by q, norm),
 prio as (select *, case when norm = '' then 0 when regexp_matches(token, '[./@$-]') or regexp_matches(token, '[a-z0-9][A-Z]') or regexp_matches(token, '^[A-Z0-9_]{{2,}}$') then 5
-  when norm in ({CORE}) then 4 when regexp_matches(norm, '({"|".join(T.CORE_PARTS)})') then 2 else 0 end as p from firsts),
+  when norm in ({CORE}) then 4 when regexp_matches(norm, '{T.CORE_PATTERN}') then 2 else 0 end as p from firsts),
 toks as (select q, token, row_number() over (partition by q order by p desc, i) as k from prio qualify k <= 8)"""
 
 

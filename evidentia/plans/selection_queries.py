@@ -19,11 +19,8 @@ from .question_queries import _OVERVIEW, ASKED, _list, _m, asked
 
 PROFILE_ROWS = ", ".join(
     f"('{r['id']}', '{r['family']}', '{r['category']}', {_list(r['direct'])}, {_list(r['evidence']) if r['evidence'] else '[]::varchar[]'})"
-    for name, extensions in PR.places.LANGUAGES.items()
-    for r in [{
-        "id": name, "family": PR.FAMILIES.get(name, name), "category": "config" if name in ("json", "toml", "yaml") else "source",
-        "direct": tuple(dict.fromkeys([name, *(e[1:] for e in extensions.split() if len(e) > 2), *PR.ASKED_BY.get(name, ())])), "evidence": PR.GOES_WITH.get(name, ()),
-    }]
+    for name in PR.places.LANGUAGES
+    for r in [{"id": name, "family": PR.FAMILIES.get(name, name), "category": PR.category(name), "direct": PR.direct_terms(name), "evidence": PR.evidence_terms(name)}]
 )
 _HIT = "list_filter({0}, lambda t: case when regexp_matches(t, '[^a-z0-9]') then contains(low, t) else contains(padded, concat(' ', t, ' ')) end)"
 
