@@ -192,7 +192,7 @@ def lint_diagrams(diagrams: DataFrame) -> DataFrame:
     blocks only, and balanced brackets in flow charts."""
     rows = diagrams.select("id", F.posexplode(T.lines(F.col("source"))).alias("i", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
     word = F.regexp_extract("line", r"^(\w+)", 1)
-    opens = word.isin("alt", "opt", "loop", "par", "critical", "rect", "subgraph").cast("int") - (word == "end").cast("int")
+    opens = word.isin(*OPENERS).cast("int") - (word == "end").cast("int")
     w = Window.partitionBy("id").orderBy("i")
     deep = rows.withColumn("word", word).withColumn("depth", F.sum(opens).over(w)).withColumn("first", F.row_number().over(w) == 1)
     brackets = F.length(F.regexp_replace("line", r"[^\[\](){}]", ""))
@@ -205,6 +205,32 @@ def lint_diagrams(diagrams: DataFrame) -> DataFrame:
     return s.select("id", problem.isNull().alias("ok"), problem.alias("problem"))
 
 
+#: Words that open a block of a diagram.
+OPENERS = ("alt", "opt", "loop", "par", "critical", "rect", "subgraph")
+
+
+def heal_diagrams(diagrams: DataFrame, close: bool = False) -> DataFrame:
+    """(id, source, dropped, closed) of diagrams (id, source): without the lines `end` that close no block, and with close with as many of
+    them behind the last line as blocks are open. Comments open and close nothing; a sound diagram stays as it is.
+
+    The depth never falls below 0, so it is the running sum of openers and ends less its own running minimum, where that is negative.
+    """
+    rows = diagrams.select("id", F.posexplode(F.split("source", "\r?\n", -1)).alias("i", "line"))
+    bare = F.trim("line")
+    mark = F.when(bare.startswith("%%"), 0).when(F.regexp_extract(bare, r"^(\w+)", 1).isin(*OPENERS), 1).when(bare == "end", -1).otherwise(0)
+    w = Window.partitionBy("id").orderBy("i")
+    summed = rows.withColumn("mark", mark).withColumn("sum", F.sum("mark").over(w))
+    low = summed.withColumn("low", F.least(F.lit(0), F.min("sum").over(w))).withColumn("before", F.least(F.lit(0), F.coalesce(F.min("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    stray = low.withColumn("stray", (F.col("mark") == -1) & (F.col("low") < F.col("before")))
+    kept = F.array_sort(F.collect_list(F.when(~F.col("stray"), F.struct("i", "line"))))
+    one = stray.groupBy("id").agg(kept.alias("kept"), F.count_if("stray").alias("dropped"), (F.max_by("sum", "i") - F.min("low")).alias("open"))
+    lines = F.transform("kept", lambda x: x["line"])
+    ends = F.array_repeat(F.lit("end"), F.col("open").cast("int")) if close else F.array().cast("array<string>")
+    changed = F.when((F.col("dropped") > 0) | (F.size(ends) > 0), F.array_join(F.concat(lines, ends), "\n"))
+    healed = one.select("id", changed.alias("healed"), "dropped", F.size(ends).alias("closed"))
+    return diagrams.select("id", "source").join(healed, "id", "left").select("id", F.coalesce("healed", "source").alias("source"), F.coalesce("dropped", F.lit(0)).alias("dropped"), F.coalesce("closed", F.lit(0)).alias("closed"))
+
+
 def is_weak_note(note: Column) -> Column:
     """Whether a note only restates the syntax, or is blank."""
     low = F.lower(F.trim(F.regexp_replace(F.coalesce(note, F.lit("")), r"\s+", " ")))

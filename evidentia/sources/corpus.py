@@ -195,6 +195,56 @@ def line_dependencies(files: DataFrame, group: str, pattern: str) -> DataFrame:
     return rows.select("path", F.lit(group).alias("group"), F.regexp_extract("line", pattern, 1).alias("name"), F.regexp_extract("line", pattern, 2).alias("spec")).filter("name <> ''")
 
 
+POM = "dependencies struct<dependency: array<struct<groupId: string, artifactId: string, version: string, scope: string>>>"
+
+
+def pom_dependencies(files: DataFrame) -> DataFrame:
+    """(path, group, name, spec) of pom.xml files, by Spark's XML reader: group:artifact names, scopes as groups. Broken files have none."""
+    text = F.regexp_replace(F.regexp_replace("content", r"(?s)<!--.*?-->", ""), r"(<project)\s[^>]*>", "$1>")
+    parsed = files.select("path", F.from_xml(text, POM, {"mode": "PERMISSIVE"}).alias("x")).select("path", F.explode("x.dependencies.dependency").alias("d"))
+    name = F.concat_ws(":", F.trim("d.groupId"), F.trim("d.artifactId"))
+    return parsed.filter("d.artifactId is not null").select("path", F.coalesce(F.trim("d.scope"), F.lit("compile")).alias("group"), name.alias("name"), F.coalesce(F.trim("d.version"), F.lit("")).alias("spec"))
+
+
+def toml_tables(files: DataFrame, table: str) -> DataFrame:
+    """(path, group, name, spec) of `[[table]]` entries with a name and a version: lock files of Cargo and Poetry. Sections are numbered by a
+    running count over the lines, and each number is one entry."""
+    from pyspark.sql import Window
+
+    rows = files.select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line"))
+    head = F.regexp_extract("line", r"^\s*(\[\[?[^\]]+\]\]?)\s*(?:#.*)?$", 1)
+    w = Window.partitionBy("path").orderBy("i")
+    numbered = rows.withColumn("head", head).withColumn("section", F.sum(F.when(F.col("head") != "", 1).otherwise(0)).over(w)).withColumn("own", F.last(F.when(F.col("head") != "", F.col("head")), ignorenulls=True).over(w))
+    value = lambda k: F.first(F.when(F.col("line").rlike(rf"^\s*{k}\s*="), F.regexp_extract("line", r'=\s*"([^"]*)"', 1)), ignorenulls=True)
+    entries = numbered.filter(F.col("own") == f"[[{table}]]").groupBy("path", "section").agg(value("name").alias("name"), value("version").alias("spec"))
+    return entries.filter("name is not null").select("path", F.lit("lock").alias("group"), "name", F.coalesce("spec", F.lit("")).alias("spec"))
+
+
+def vcpkg_dependencies(files: DataFrame) -> DataFrame:
+    """(path, group, name, spec) of vcpkg.json files, whose dependencies are names or objects with a name and a lowest version."""
+    each = files.select("path", F.explode(F.from_json(F.get_json_object("content", "$.dependencies"), "array<string>")).alias("d"))
+    plain = ~F.col("d").startswith("{")
+    return each.select("path", F.lit("dependencies").alias("group"), F.when(plain, F.col("d")).otherwise(F.get_json_object("d", "$.name")).alias("name"), F.coalesce(F.when(~plain, F.get_json_object("d", "$['version>=']")), F.lit("")).alias("spec")).filter("name is not null")
+
+
+def conan_dependencies(files: DataFrame) -> DataFrame:
+    """(path, group, name, spec) of the requires sections of conanfile.txt."""
+    from pyspark.sql import Window
+
+    rows = files.select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line"))
+    head = F.regexp_extract("line", r"^\s*\[([^\]]+)\]", 1)
+    group = F.last(F.when(head != "", head), ignorenulls=True).over(Window.partitionBy("path").orderBy("i"))
+    line = F.trim(F.regexp_replace("line", r"#.*$", ""))
+    kept = rows.withColumn("group", group).filter(F.col("group").rlike("requires$")).select("path", "group", F.regexp_extract(line, r"^([A-Za-z0-9_.+-]+)/", 1).alias("name"), F.regexp_extract(line, r"^[^/]+/([^@\s]+)", 1).alias("spec"))
+    return kept.filter("name <> ''")
+
+
+def tsconfig_options(files: DataFrame) -> DataFrame:
+    """(path, group, name, spec) of the compiler options of tsconfig files, comments allowed; nested values as JSON."""
+    parsed = files.select("path", F.from_json("content", "compilerOptions map<string,string>", {"allowComments": "true"}).alias("j"))
+    return parsed.select("path", F.lit("compilerOptions").alias("group"), F.explode("j.compilerOptions").alias("name", "spec"))
+
+
 #: Line patterns (name, version) of the ecosystems whose manifests are read by lines.
 LINE_PATTERNS = {
     "go": r"^\s*(?:require\s+)?([a-z0-9.-]+\.[a-z]+/[^\s]+)\s+(v[^\s]+)",
@@ -214,11 +264,12 @@ def dependency_docs(files: DataFrame) -> DataFrame:
         ("npm", json_dependencies(files.filter(low == "package.json"))),
         ("php", json_dependencies(files.filter(low == "composer.json").withColumn("content", F.regexp_replace("content", '"require(-dev)?"', '"dependencies"')))),
         ("python", requirement_lines(files.filter(low.rlike(r"^requirements.*\.txt$"))).unionByName(toml_section(files.filter(low == "pyproject.toml"), "dependencies"))),
-        ("rust", toml_section(files.filter(low.isin("cargo.toml")), "dependencies")),
+        ("rust", toml_section(files.filter(low.isin("cargo.toml")), "dependencies").unionByName(toml_tables(files.filter(low == "cargo.lock"), "package"))),
+        ("typescript", tsconfig_options(files.filter(low.rlike(r"^tsconfig.*\.json$")))),
         ("go", line_dependencies(files.filter(low == "go.mod"), "require", LINE_PATTERNS["go"])),
-        ("jvm", line_dependencies(files.filter(low.rlike(r"\.gradle(\.kts)?$")), "gradle", LINE_PATTERNS["jvm"]).unionByName(line_dependencies(files.filter(low == "build.sbt"), "sbt", LINE_PATTERNS["sbt"]))),
+        ("jvm", line_dependencies(files.filter(low.rlike(r"\.gradle(\.kts)?$")), "gradle", LINE_PATTERNS["jvm"]).unionByName(pom_dependencies(files.filter(low == "pom.xml"))).unionByName(line_dependencies(files.filter(low == "build.sbt"), "sbt", LINE_PATTERNS["sbt"]))),
         ("dotnet", line_dependencies(files.filter(low.rlike(r"\.csproj$|^directory\.packages\.props$")), "package", LINE_PATTERNS["dotnet"])),
-        ("native", line_dependencies(files.filter(low == "cmakelists.txt"), "cmake", LINE_PATTERNS["native"])),
+        ("native", line_dependencies(files.filter(low == "cmakelists.txt"), "cmake", LINE_PATTERNS["native"]).unionByName(vcpkg_dependencies(files.filter(low == "vcpkg.json"))).unionByName(conan_dependencies(files.filter(low == "conanfile.txt")))),
         ("elixir", line_dependencies(files.filter(low.isin("mix.exs")), "mix", LINE_PATTERNS["elixir"])),
     ]
     rows = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -47,6 +48,46 @@ def first_seen(events: DataFrame, ts: str, key: list[str], ttl: str = "30 days")
     return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(key)
 
 
+def quiet(events: DataFrame, ts: str, key: str, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """(key, fired_at): once for each burst of a key's events, seconds behind its last one. Events that are no farther apart are one burst;
+    it fires when event time has passed its end. A key's state is the time of its last event."""
+
+    def step(k: tuple, frames, held: GroupState):  # noqa: ANN001, ANN202
+        rest = pd.Timedelta(seconds=seconds)
+        if held.hasTimedOut:
+            last = pd.Timestamp(held.get[0], unit="us")
+            held.remove()
+            yield pd.DataFrame([(k[0], last + rest)], columns=["key", "fired_at"])
+            return
+        times = sorted(t for frame in frames for t in frame[ts])
+        last = pd.Timestamp(held.get[0], unit="us") if held.exists else None
+        fired = []
+        for t in times:
+            if last is not None and t - last > rest:
+                fired.append((k[0], last + rest))
+            last = t if last is None else max(last, t)
+        held.update((int(last.value // 1000),))
+        held.setTimeoutTimestamp(max(int((last + rest).value // 1_000_000), held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(fired, columns=["key", "fired_at"])
+
+    return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, "key string, fired_at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def compact_when_quiet(events: DataFrame, ts: str, key: str, seconds: int, compact: Callable[[str], None], checkpoint: str, available: bool = False) -> StreamingQuery:
+    """Runs compact for each table (key) whose events have been quiet. Batches follow one another, so that one compaction of a table is at
+    work and what fires meanwhile waits as one for the next; a compaction that fails is left to the next burst."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        for table in [r.key for r in batch.select("key").distinct().orderBy("key").collect()]:  # names of tables
+            try:
+                compact(table)
+            except Exception:  # noqa: BLE001  searches work on what is not compacted
+                logging.getLogger(__name__).warning("compaction of %s failed", table, exc_info=True)
+
+    writer = quiet(events, ts, key, seconds).writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available else writer).start()
+
+
 GOVERNED = "key string, ts timestamp, tokens long, admitted boolean, used long"
 
 
