@@ -15,7 +15,9 @@ STAGE_QUERIES, GRAPH_LIMIT, PRIOR_PATHS = 6, 18, 8
 
 
 def lowered(text: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    """Lower-case text for the fixed patterns, whose words are of ASCII letters: others stand as marks, so that a word may begin or end
+    beside them."""
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[^\x00-\x7F]", "·")
 
 
 def is_overview(low: Column) -> Column:

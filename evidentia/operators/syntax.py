@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places
 from ..functions.patterns import LINE_FACTS
+from ..sources.shared import settled
 
 _DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?'
 _SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?"
@@ -98,13 +99,18 @@ def nesting(lines: DataFrame) -> DataFrame:
     return depth.withColumn("depth_before", F.col("depth") - change)
 
 
-def body_pairs(lines: DataFrame) -> DataFrame:
-    """(path, line_no, i, closes): each opener of a body, i-th on its line, and the line of what closes it, or the last line.
-    Marks of one depth open and close in turns, so that the next one of the depth is the partner."""
-    marks = F.regexp_extract_all("code", F.lit(r"[{}]"), F.lit(0))
+def marks(lines: DataFrame) -> Column:
+    """What opens or closes a body on a line of code_lines, in order."""
+    out = F.regexp_extract_all("code", F.lit(r"[{}]"), F.lit(0))
     for lang, pattern in BODIES.items():
-        marks = F.when(F.col("lang") == lang, F.regexp_extract_all("code", F.lit(pattern), F.lit(0))).otherwise(marks)
-    rows = lines.select("path", "line_no", "n_lines", F.posexplode(marks).alias("i", "mark")).withColumn("opens", ~F.col("mark").isin(*CLOSERS))
+        out = F.when(F.col("lang") == lang, F.regexp_extract_all("code", F.lit(pattern), F.lit(0))).otherwise(out)
+    return out
+
+
+def body_pairs(lines: DataFrame) -> DataFrame:
+    """(path, line_no, i, closes) of lines (path, line_no, n_lines, marks): each opener of a body, i-th on its line, and the line of what
+    closes it, or the last line. Marks of one depth open and close in turns, so that the next one of the depth is the partner."""
+    rows = lines.select("path", "line_no", "n_lines", F.posexplode("marks").alias("i", "mark")).withColumn("opens", ~F.col("mark").isin(*CLOSERS))
     depth = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(Window.partitionBy("path").orderBy("line_no", "i"))
     rows = rows.withColumn("depth", depth).withColumn("level", F.when(F.col("opens"), F.col("depth")).otherwise(F.col("depth") + 1))
     turn = Window.partitionBy("path", "level").orderBy("line_no", "i")
@@ -123,13 +129,11 @@ def next_at_most(indents: np.ndarray) -> np.ndarray:
 
 
 def indent_ends(lines: DataFrame) -> DataFrame:
-    """(path, line_no, closes) of lines with code: the last such line before the next one that is indented no deeper. Lines that begin
-    inside a string or brackets belong to the line before them."""
-    coded = nesting(lines).filter(F.trim("code") != "")
+    """(path, line_no, closes) of lines of code (path, line_no, indent, depth_before): the last one before the next one that is indented no
+    deeper. Lines that begin inside a string or brackets belong to the line before them."""
     begins = F.when(F.col("depth_before") <= 0, F.col("line_no"))
     owner = F.last(begins, ignorenulls=True).over(Window.partitionBy("path").orderBy("line_no"))
-    indent = F.length(F.regexp_extract("code", r"^(\s*)", 1))
-    rows = coded.withColumn("own", owner).groupBy("path", "own").agg(F.min_by(indent, "line_no").alias("indent"), F.max("line_no").alias("upto")).filter("own is not null")
+    rows = lines.withColumn("own", owner).groupBy("path", "own").agg(F.min_by("indent", "line_no").alias("indent"), F.max("line_no").alias("upto")).filter("own is not null")
     # one row a file: numbers of lines and their indents, no text
     packed = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("own", "indent", "upto"))).alias("x"))
 
@@ -200,13 +204,9 @@ def symbol(trimmed: Column, language: Column, languages: tuple[str, ...] = tuple
     """struct(kind, name) of the definition on a trimmed line of code; null without one."""
     out = F.lit(None).cast("struct<kind:string,name:string>")
     for lang, rules in DEFINITIONS.items():
-        if lang not in languages:
-            continue
-        found = F.lit(None).cast("struct<kind:string,name:string>")
-        for kind, pattern in reversed(rules):
-            name = F.regexp_extract(trimmed, pattern, 1)
-            found = F.when(name != "", F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(found)
-        out = F.when(language == lang, found).otherwise(out)
+        if lang in languages:
+            found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract(trimmed, pattern, 1).alias("name")) for kind, pattern in rules])
+            out = F.when(language == lang, F.try_element_at(F.filter(found, lambda x: x["name"] != ""), F.lit(1))).otherwise(out)
     return out
 
 
@@ -219,12 +219,19 @@ def definitions(files: DataFrame, languages: tuple[str, ...] = tuple(DEFINITIONS
     neither define nor close anything. The first definition of a line counts. A corpus of few languages names them, for a
     smaller expression.
     """
-    lines = code_lines(files)
-    found = lines.withColumn("s", symbol(F.trim("code"), F.col("lang"), languages)).filter("s is not null").select("path", "lang", "line_no", "s.kind", "s.name")
-    flat = found.filter(F.col("lang").isin(*INDENTED)).join(indent_ends(lines.filter(F.col("lang").isin(*INDENTED))), ["path", "line_no"], "left")
-    flat = flat.select("path", "kind", "name", F.col("line_no").alias("line_start"), F.coalesce("closes", "line_no").alias("line_end"))
-    curly = found.filter(~F.col("lang").isin(*INDENTED))
-    opened = body_pairs(lines.filter(~F.col("lang").isin(*INDENTED))).groupBy("path", "line_no").agg(F.min_by("closes", "i").alias("closes"))
+    lines = nesting(code_lines(files))
+    flat = F.col("lang").isin(*INDENTED)
+    coded = F.trim("code") != ""
+    # what follows reads no text: lines are lexed once, and the rest works on this small table
+    outline = settled(lines.filter(coded).select(
+        "path", "lang", "line_no", "n_lines", "depth_before", symbol(F.trim("code"), F.col("lang"), languages).alias("s"),
+        F.when(flat, F.array().cast("array<string>")).otherwise(marks(lines)).alias("marks"), F.when(flat, F.length(F.regexp_extract("code", r"^(\s*)", 1))).alias("indent"),
+    ))
+    found = outline.filter("s is not null").select("path", "lang", "line_no", "s.kind", "s.name")
+    indented = found.filter(flat).join(indent_ends(outline.filter(flat)), ["path", "line_no"], "left")
+    indented = indented.select("path", "kind", "name", F.col("line_no").alias("line_start"), F.coalesce("closes", "line_no").alias("line_end"))
+    curly = found.filter(~flat)
+    opened = body_pairs(outline.filter(~flat)).groupBy("path", "line_no").agg(F.min_by("closes", "i").alias("closes"))
     both = curly.join(opened, ["path", "line_no"], "full").withColumn("body", F.struct("line_no", "closes"))
     # seen from the end of the file, the last body at or above a row is the next one at or below it
     back = Window.partitionBy("path").orderBy(F.desc("line_no"))
@@ -233,7 +240,7 @@ def definitions(files: DataFrame, languages: tuple[str, ...] = tuple(DEFINITIONS
     both = both.withColumn("other", other).filter("name is not null")
     near = (F.col("next.line_no") < F.col("line_no") + BODY_WITHIN) & (F.col("other").isNull() | (F.col("next.line_no") < F.col("other")))
     ends = both.select("path", "kind", "name", F.col("line_no").alias("line_start"), F.when(F.coalesce(near, F.lit(False)), F.col("next.closes")).otherwise(F.col("line_no")).alias("line_end"))
-    return flat.unionByName(ends)
+    return indented.unionByName(ends)
 
 
 def imports(files: DataFrame) -> DataFrame:

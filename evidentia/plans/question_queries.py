@@ -1,4 +1,4 @@
-"""Queries of what questions ask for. Each first line of a turn or document is a question too, so that every rule is met."""
+"""Queries of what questions ask for: sentences made for orders, so that every rule is met, with the questions of benchmark and of conversations."""
 
 from __future__ import annotations
 
@@ -21,14 +21,19 @@ def _list(xs: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-ASKED = f"""asked as (select o_orderkey as q, concat(({_list(OPENINGS)})[o_orderkey % {len(OPENINGS)} + 1], ' ', ({_list(SUBJECTS)})[o_custkey % {len(SUBJECTS)} + 1], case when o_orderkey % 3 = 0 then ' work?' else '' end) as text, o_orderkey % 7 = 0 as has_story from orders)"""
+ASKED = f"""asked as (select o_orderkey as q, concat(({_list(OPENINGS)})[o_orderkey % {len(OPENINGS)} + 1], ' ', ({_list(SUBJECTS)})[o_custkey % {len(SUBJECTS)} + 1], case when o_orderkey % 3 = 0 then ' work?' else '' end) as text, o_orderkey % 7 = 0 as has_story from orders
+ union all select 1000000000 + item_id, coalesce(text, ''), false from benchmark union all select 2000000000 + conv_id * 1000 + turn, coalesce(text, ''), turn > 0 from conversations where role = 'user')"""
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences made for orders, the questions of benchmark, and what users say in conversations."""
     pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n % len(xs) + 1).cast("int"))
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    o, c, none = F.col("o_orderkey"), F.col("o_custkey"), F.coalesce("text", F.lit(""))
     text = F.concat(pick(OPENINGS, o), F.lit(" "), pick(SUBJECTS, c), F.when(o % 3 == 0, " work?").otherwise(""))
-    return table(spark, sf_dir, "orders").select(o.alias("q"), text.alias("text"), (o % 7 == 0).alias("has_story"))
+    made = table(spark, sf_dir, "orders").select(o.alias("q"), text.alias("text"), (o % 7 == 0).alias("has_story"))
+    items = table(spark, sf_dir, "benchmark").select((F.lit(1_000_000_000) + F.col("item_id")).alias("q"), none.alias("text"), F.lit(False).alias("has_story"))
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.lit(2_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("q"), none.alias("text"), (F.col("turn") > 0).alias("has_story"))
+    return made.unionByName(items).unionByName(turns)
 
 
 def _m(pattern: str) -> str:
@@ -109,10 +114,11 @@ st as (select c, list(path order by turn) as paths, last(question order by turn)
 j as (select k.*, list_slice(paths, 1, 12) as ps, lastq, backq, list_contains(domains, 'api') as api,
   regexp_matches(low, '{V.VISUAL}|{V.CHILD}') or regexp_matches(low, '{V.RETELLING.replace("'", "''")}') as again from classified k left join st on st.c = k.q),
 p as (select *, array_to_string((case when api then [] else ps end)[1:8], ' ') as cited from j)
-select q, case when lastq is null then text when again then concat_ws(chr(10), lastq, lastq, concat('Previously cited paths: ', array_to_string(ps, ' ')), backq, backq, nullif(cited, '')) else concat_ws(chr(10), text, nullif(cited, '')) end as retrieval from p""")
+select q, case when lastq is null then text when again then concat_ws(chr(10), lastq, lastq, concat('Previously cited paths: ', array_to_string(ps, ' ')), backq, backq, nullif(cited, '')) else concat_ws(chr(10), text, nullif(cited, '')) end as retrieval,
+ case when again and lastq is not null then concat_ws(chr(10), lastq, lastq, concat('Previously cited paths: ', array_to_string(ps, ' '))) else concat_ws(chr(10), text, {', '.join(f"case when {_m(p)} then '" + h.replace("'", "''") + "' end" for _, p, h in V.DOMAINS)}) end as exploration from p""")
 def question_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations stand for stories; none of their paths is an interface's."""
     turns = table(spark, sf_dir, "conversations")
     topic = F.concat(F.lit("topic "), F.col("turn").cast("string"))
     chapters = turns.select(F.col("conv_id").alias("q"), F.col("turn").alias("ord"), topic.alias("question"), topic.alias("title"), F.array(F.concat(F.lit("src/"), "role", F.col("turn").cast("string"), F.lit(".js"))).alias("paths"))
-    return Q.question_context(Q.classify(asked(spark, sf_dir)), chapters).select("q", "retrieval")
+    return Q.question_context(Q.classify(asked(spark, sf_dir)), chapters).select("q", "retrieval", "exploration")
