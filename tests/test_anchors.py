@@ -38,7 +38,7 @@ LINE = "path string, lang string, line_no int, line string"
 
 def notes(spark, lang, *lines):
     df = spark.createDataFrame([("p", lang, i, x) for i, x in enumerate(lines, 1)], LINE)
-    return [(r.role, r.facts, r.note, r.score, r.worthy) for r in N.annotate(df).orderBy("line_no").collect()]
+    return [(r.role, r.facts, r.note, r.score, r.worthy) for r in N.annotate(df, languages=(lang,)).orderBy("line_no").collect()]
 
 
 def test_five_languages(spark):
@@ -57,8 +57,8 @@ def test_five_languages(spark):
 def test_facts_of_the_graph_come_first_and_eight_at_most(spark):
     lines = spark.createDataFrame([("p", "go", 1, "x := run(y)")], LINE)
     facts = spark.createDataFrame([("p", 1, f"k{i}", "n") for i in range(9)] + [("p", 1, "k0", "n"), ("p", 2, "other", "n"), ("p", 1, "empty", "")], "path string, line_start int, kind string, name string")
-    assert N.annotate(lines, facts).first().facts == [f"k{i}: n" for i in range(8)]
-    assert N.annotate(lines, facts.filter("kind = 'k0'")).first().facts == ["k0: n", "assigns: x", "calls: run"]
+    assert N.annotate(lines, facts, ("go",)).first().facts == [f"k{i}: n" for i in range(8)]
+    assert N.annotate(lines, facts.filter("kind = 'k0'"), ("go",)).first().facts == ["k0: n", "assigns: x", "calls: run"]
 
 
 def test_stories_and_roles_of_nodes(spark):
