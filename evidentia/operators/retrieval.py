@@ -87,6 +87,30 @@ def _term_places(low: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray
     return doc[term >= 0].astype(np.int64), term[term >= 0], np.bincount(doc[some], minlength=len(low))
 
 
+def _best_meetings(q: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of weights of each question q (below n) and text key, the best limit of a question with ties: in a table where few cells
+    hold them, else by sorting; both give the same."""
+    if not len(key):
+        return q, key, weight
+    low_key = int(key.min())
+    span = int(key.max()) - low_key + 1
+    if n * span <= 2 * MEETINGS:
+        score = np.round(np.bincount(q * span + key - low_key, weight, minlength=n * span), 6).reshape(n, span)
+        score[score <= 0] = -np.inf
+        low = np.partition(score, -limit, axis=1)[:, -limit, None] if span > limit else -np.inf
+        r, c = np.nonzero((score >= low) & (score > -np.inf))
+        return r, c + low_key, score[r, c]
+    meets, place = np.unique(q * span + key - low_key, return_inverse=True)
+    score = np.round(np.bincount(place, weight), 6)
+    q, key = meets // span, meets % span + low_key
+    best = np.lexsort((-score, q))
+    first = np.flatnonzero(np.concatenate([[True], q[best][1:] != q[best][:-1]]))
+    size = np.diff(np.append(first, len(best)))
+    low = np.repeat(score[best][first + np.minimum(size, limit) - 1], size)  # ties with the last of them stay
+    kept = best[(score[best] >= low) & (score[best] > 0)]
+    return q[kept], key[kept], score[kept]
+
+
 def _term_scores(names: list, of: np.ndarray, term: np.ndarray, terms: pa.Array, idf: np.ndarray, avgdl: float, limit: int, q_type: pa.DataType):  # noqa: ANN202
     """Scores the texts of a batch for all questions: each posting meets the questions that hold its term. So many texts are taken at once
     as bring MEETINGS of these, or one text; work and memory follow what texts and questions share."""
@@ -106,16 +130,9 @@ def _term_scores(names: list, of: np.ndarray, term: np.ndarray, terms: pa.Array,
                 end = len(doc) if most >= len(doc) else max(int(np.searchsorted(doc, doc[most])), int(np.searchsorted(doc, doc[at], "right")))
                 n, key = fan[own[at:end]], doc[at:end]
                 q = askers[np.repeat(starts[own[at:end]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                meets, place = np.unique(q * len(dl) + np.repeat(key, n), return_inverse=True)
-                score = np.round(np.bincount(place, np.repeat(weight[at:end], n)), 6)
-                q, key = meets // len(dl), meets % len(dl)
-                best = np.lexsort((-score, q))
-                first = np.flatnonzero(np.concatenate([[True], q[best][1:] != q[best][:-1]])) if len(best) else np.zeros(0, np.int64)
-                size = np.diff(np.append(first, len(best)))
-                low = np.repeat(score[best][first + np.minimum(size, limit) - 1], size)  # ties with the last of them stay
-                kept = best[score[best] >= low]
-                if len(kept):
-                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q[kept].tolist()], q_type), batch.column("key").take(pa.array(key[kept])), pa.array(score[kept])], names=["q", "key", "score"])
+                q, key, score = _best_meetings(q, np.repeat(key, n), np.repeat(weight[at:end], n), len(names), limit)
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q.tolist()], q_type), batch.column("key").take(pa.array(key)), pa.array(score)], names=["q", "key", "score"])
                 at = end
 
     return apply

@@ -55,3 +55,13 @@ def test_vectors_need_no_exchange(spark):
     assert "Exchange" not in got._jdf.queryExecution().toString()
     rows = {r.key: r.vec for r in got.collect()}
     assert set(rows) == {1} and sorted(x for x in rows[1] if x) == [1.0, 2.0] and len(rows[1]) == R.DIMS
+
+
+def test_meetings_in_a_table_and_sorted_are_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, key, weight = rng.integers(0, 9, 3_000), np.sort(rng.integers(50, 400, 3_000)), rng.choice([0.5, 1.0, 2.25], 3_000)
+    table = sorted(zip(*(x.tolist() for x in R._best_meetings(q, key, weight, 9, 7)), strict=True))
+    monkeypatch.setattr(R, "MEETINGS", 0)
+    assert table == sorted(zip(*(x.tolist() for x in R._best_meetings(q, key, weight, 9, 7)), strict=True)) and len(table) >= 63
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in R._best_meetings(none, none, none.astype(float), 9, 7)] == [0, 0, 0]
