@@ -11,6 +11,8 @@ from . import questions as Q
 from . import retrieval as R
 
 FAST_CHARS, FAST_SIMILARITY, WEAK_SIMILARITY, TRACE_FLOOR = 120, 0.55, 0.3, 0.55
+#: Characters of a search result, of a file that was read and of a line hit that an evidence item keeps.
+SEARCH_CHARS, READ_CHARS, HIT_CHARS = 2200, 6000, 160
 
 
 def is_overview(text: Column) -> Column:
@@ -54,9 +56,9 @@ def seed_queries(questions: DataFrame, templates: list[tuple[str, str]], limit:
 def items_from_results(results: DataFrame, reads: DataFrame, hits: DataFrame) -> DataFrame:
     """(q, ord, tool, path, line_start, line_end, score, content) of search results, file reads and line hits: texts cut at 2200, 6000 and 160
     characters, at most eight line hits of a question."""
-    a = results.select("q", F.lit("search").alias("tool"), "path", "line_start", "line_end", F.col("similarity").alias("score"), F.substring("content", 1, 2200).alias("content"), F.col("rank").alias("o"))
-    b = reads.select("q", F.lit("read_file").alias("tool"), "path", "line_start", "line_end", F.lit(None).cast("double").alias("score"), F.substring("content", 1, 6000).alias("content"), F.col("ord").alias("o"))
-    c = R.ranked(hits, ["q"], [F.asc("path"), F.asc("line_no")], 8).select("q", F.lit("grep").alias("tool"), "path", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.lit(None).cast("double").alias("score"), F.substring("line", 1, 160).alias("content"), F.col("rank").alias("o"))
+    a = results.select("q", F.lit("search").alias("tool"), "path", "line_start", "line_end", F.col("similarity").alias("score"), F.substring("content", 1, SEARCH_CHARS).alias("content"), F.col("rank").alias("o"))
+    b = reads.select("q", F.lit("read_file").alias("tool"), "path", "line_start", "line_end", F.lit(None).cast("double").alias("score"), F.substring("content", 1, READ_CHARS).alias("content"), F.col("ord").alias("o"))
+    c = R.ranked(hits, ["q"], [F.asc("path"), F.asc("line_no")], 8).select("q", F.lit("grep").alias("tool"), "path", F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.lit(None).cast("double").alias("score"), F.substring("line", 1, HIT_CHARS).alias("content"), F.col("rank").alias("o"))
     rows = a.unionByName(b).unionByName(c).repartition("q")
     tool = F.array_position(F.array(*map(F.lit, ("search", "read_file", "grep"))), F.col("tool"))
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy(tool, "o", "path"))).drop("o")

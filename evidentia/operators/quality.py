@@ -32,7 +32,7 @@ def dup_share(notes: DataFrame) -> DataFrame:
     return k.agg(F.round(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)) / F.sum("k"), 4).alias("dup_share"), F.sum("k").alias("n"))
 
 
-LOWER_BETTER = ("gap", "err", "weakCallouts")
+LOWER_BETTER = ("gap", "err", "weakCallouts", "dupCo")
 
 
 def gate(current: DataFrame, baseline: DataFrame, tolerance: float = 0.05, least: int = 5) -> DataFrame:

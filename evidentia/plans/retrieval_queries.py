@@ -224,7 +224,7 @@ EXPECT = """expect as (select item_id as q, case item_id % 4 when 0 then 'produc
   doc_id from benchmark left join documents on contains(documents.text, benchmark.text))"""
 
 
-def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a question word for word are its answers. Found through the questions' rarest word, not by pairs."""
     q, docs = questions(spark, sf_dir), _docs(spark, sf_dir)
     kind = F.element_at(F.array(*map(F.lit, ("product", "identifier", "leaky", "integration"))), (F.col("q") % 4 + 1).cast("int"))
@@ -237,7 +237,7 @@ def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("q", kind.alias("type")).join(found, "q", "left").withColumn("expect", F.coalesce("expect", F.array().cast("array<string>")))
 
 
-def _steps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def steps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     q, docs = questions(spark, sf_dir), _docs(spark, sf_dir)
     asked = R.hashed_vectors(q.select(F.col("q").alias("key"), "text")).withColumnRenamed("key", "q")
     vector, lexical = R.cosine_topk(R.hashed_vectors(docs), asked, 20, R.THRESHOLD), R.bm25(docs, q, 20)
@@ -255,17 +255,17 @@ m as (select step, coalesce(type, 'all') as type, round(avg((rank is not null)::
 
 @query(f"{LADDER} select type, recall, mrr, n from m where step = '+lexical'")
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = quality.first_hits(_steps(spark, sf_dir)["+lexical"].select("q", "rank", F.col("key").cast("string").alias("path")), _expected(spark, sf_dir))
+    hits = quality.first_hits(steps(spark, sf_dir)["+lexical"].select("q", "rank", F.col("key").cast("string").alias("path")), expected(spark, sf_dir))
     return quality.recall_mrr(hits)
 
 
 @query(f"""{LADDER}, o as (select *, case step when 'vector' then 1 when 'lexical' then 2 else 3 end as place from m)
 select step, type, recall, mrr, round(recall - lag(recall) over w, 4) as recall_delta, round(mrr - lag(mrr) over w, 4) as mrr_delta from o window w as (partition by type order by place)""")
 def ladder_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = _expected(spark, sf_dir)
+    cases = expected(spark, sf_dir)
     rows = None
-    for step, found in _steps(spark, sf_dir).items():
-        one = quality.recall_mrr(quality.first_hits(found.select("q", "rank", F.col("key").cast("string").alias("path")), expected)).withColumn("step", F.lit(step))
+    for step, found in steps(spark, sf_dir).items():
+        one = quality.recall_mrr(quality.first_hits(found.select("q", "rank", F.col("key").cast("string").alias("path")), cases)).withColumn("step", F.lit(step))
         rows = one if rows is None else rows.unionByName(one)
     return quality.ladder(rows, ["vector", "lexical", "+lexical"])
 
