@@ -97,8 +97,10 @@ PYTHON_BEFORE_CALL = (r"^(?:return|await)\s+",)
 
 
 def _first(trimmed: Column, patterns: tuple[str, ...]) -> Column:
-    """What the first matching pattern names; null without one."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(trimmed, p, 1), F.lit("")) for p in patterns], F.lit(None).cast("string"))
+    """What the first matching pattern names; null without one. As with syntax.symbol, the lambda keeps the projection out of whole-stage
+    code, where all languages' rules would be one method, too long for the JVM to compile."""
+    found = F.array(*[F.regexp_extract(trimmed, p, 1) for p in patterns])
+    return F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1))
 
 
 def _sentence(template: str, language: str, name: Column | None = None, kind: Column | None = None) -> Column:
@@ -108,40 +110,63 @@ def _sentence(template: str, language: str, name: Column | None = None, kind: Co
     return out
 
 
-def _parts(rules: Rules, line: Column, symbol: Column) -> dict[str, Column]:
-    """binding, call, role, note, score, worthy of a trimmed line."""
-    nothing = F.lit(None).cast("string")
+#: What a line says, as _says finds it.
+SAYS = ("binding", "call", "entry", "output", "branch", "iteration", "control", "await", "doubt", "returns", "error", "raises", "worthy")
+
+
+def _says(rules: Rules, line: Column) -> Column:
+    """SAYS of a trimmed line, as a struct: each pattern is matched once, and what follows reads its fields."""
+    nothing, no = F.lit(None).cast("string"), F.lit(False)
+    said = {k: nothing if k in ("binding", "call", "entry") else no for k in SAYS}
+    if rules.style == "config":
+        said["entry"] = F.nullif(F.regexp_extract(line, rf"^[\"']?([A-Za-z0-9_.-]+)[\"']?\s*{rules.separator}\s*(.+)$", 1), F.lit(""))
+        said["worthy"] = ~line.rlike(r"^[{}\[\],]+$") & ~line.rlike(rules.comment)
+    else:
+        python = rules.style == "python"
+        source = line
+        for pattern in PYTHON_BEFORE_CALL if python else BEFORE_CALL:
+            source = F.regexp_replace(source, pattern, "")
+        said |= {"binding": _first(line, rules.bindings), "call": F.nullif(F.regexp_extract(source, rules.call, 1), F.lit("")), "output": line.rlike(rules.output), "branch": line.rlike(rules.branch), "iteration": line.rlike(rules.iteration), "doubt": line.rlike(r"[?!];?$")}
+        if "await" in POINTS[rules.style]:
+            said["await"] = line.rlike(AWAIT)
+        if python:
+            said |= {"control": line.rlike(r"\b(if|elif|else|match|case|for|while|try|except|finally)\b"), "returns": line.rlike(r"\breturn\b"), "error": line.rlike(r"\b(raise|except)\b"), "raises": line.rlike(r"\braise\b")}
+        said["worthy"] = ~line.rlike(rules.comment) & ~line.rlike(r"^[()\[\]{},:]+$" if python else PUNCTUATION)
+        if rules.style == "block":
+            said["worthy"] = said["worthy"] & ~line.rlike(rules.block_end)
+    return F.struct(*[said[k].alias(k) for k in SAYS])
+
+
+def _call(rules: Rules, called: Column) -> Column:
+    """What is called, without keywords."""
+    if rules.style == "config":
+        return F.lit(None).cast("string")
+    return F.when(~(called if rules.style == "python" else F.lower(called)).isin(*rules.keywords), called)
+
+
+def _parts(rules: Rules, says: Column, call: Column, symbol: Column) -> dict[str, Column]:
+    """role, note, score of a line by what it says, calls and defines."""
     if rules.style == "config":
-        entry = F.nullif(F.regexp_extract(line, rf"^[\"']?([A-Za-z0-9_.-]+)[\"']?\s*{rules.separator}\s*(.+)$", 1), F.lit(""))
-        worthy = ~line.rlike(r"^[{}\[\],]+$") & ~line.rlike(rules.comment)
-        return {"binding": nothing, "call": nothing, "entry": entry, "role": F.when(entry.isNotNull(), "configuration entry").otherwise(""), "note": F.coalesce(_sentence(SETS, rules.name, entry), F.lit("")), "score": F.when(entry.isNotNull(), CONFIG_POINTS).otherwise(0), "worthy": worthy}
-    python = rules.style == "python"
-    binding, source = _first(line, rules.bindings), line
-    for pattern in PYTHON_BEFORE_CALL if python else BEFORE_CALL:
-        source = F.regexp_replace(source, pattern, "")
-    called = F.nullif(F.regexp_extract(source, rules.call, 1), F.lit(""))
-    call = F.when(~(called if python else F.lower(called)).isin(*rules.keywords), called)
-    says = {k: line.rlike(p) for k, p in (("output", rules.output), ("branch", rules.branch), ("iteration", rules.iteration))}
-    output = line.rlike(r"\breturn\b") if python else says["output"]
+        entry = says["entry"]
+        return {"role": F.when(entry.isNotNull(), "configuration entry").otherwise(""), "note": F.coalesce(_sentence(SETS, rules.name, entry), F.lit("")), "score": F.when(entry.isNotNull(), CONFIG_POINTS).otherwise(0)}
+    python, binding = rules.style == "python", says["binding"]
+    output = says["returns"] if python else says["output"]
     role = F.when(symbol.isNotNull(), F.concat(symbol["kind"], F.lit(" boundary"))).when(output, "output boundary")
     if python:
-        role = role.when(line.rlike(r"\b(raise|except)\b"), "error boundary")
+        role = role.when(says["error"], "error boundary")
     role = role.when(says["branch"], "branch").when(says["iteration"], "iteration").when(binding.isNotNull(), "state/data").when(call.isNotNull(), "call boundary").otherwise("supporting statement")
-    control = line.rlike(r"\b(if|elif|else|match|case|for|while|try|except|finally)\b") if python else says["branch"] | says["iteration"]
-    held = {"symbol": symbol.isNotNull(), "binding": binding.isNotNull(), "call": call.isNotNull(), "output": says["output"], "control": control, "await": line.rlike(AWAIT), "doubt": line.rlike(r"[?!];?$")}
+    control = says["control"] if python else says["branch"] | says["iteration"]
+    held = {"symbol": symbol.isNotNull(), "binding": binding.isNotNull(), "call": call.isNotNull(), "output": says["output"], "control": control, "await": says["await"], "doubt": says["doubt"]}
     score = F.lit(0)
     for what, points in POINTS[rules.style].items():
         score = score + F.when(held[what], points).otherwise(0)
     if python:
         note = F.when(symbol.isNotNull(), _sentence(PYTHON_INTRODUCES, rules.name, symbol["name"], symbol["kind"])).when(binding.isNotNull(), _sentence(PYTHON_STORES, rules.name, binding))
-        note = note.when(call.isNotNull(), "").when(output, PYTHON_RETURNS).when(line.rlike(r"\braise\b"), PYTHON_RAISES).otherwise("")
+        note = note.when(call.isNotNull(), "").when(output, PYTHON_RETURNS).when(says["raises"], PYTHON_RAISES).otherwise("")
     else:
         note = F.when(symbol.isNotNull(), _sentence(INTRODUCES, rules.name, symbol["name"], symbol["kind"])).when(binding.isNotNull(), _sentence(BINDS[rules.style], rules.name, binding))
         note = note.when(says["output"], _sentence(CONTROLS, rules.name)).otherwise("")
-    worthy = ~line.rlike(rules.comment) & ~line.rlike(r"^[()\[\]{},:]+$" if python else PUNCTUATION)
-    if rules.style == "block":
-        worthy = worthy & ~line.rlike(rules.block_end)
-    return {"binding": binding, "call": call, "entry": nothing, "role": role, "note": note, "score": score, "worthy": worthy}
+    return {"role": role, "note": note, "score": score}
 
 
 def annotate(lines: DataFrame, facts: DataFrame | None = None, languages: tuple[str, ...] = tuple(LANGUAGES)) -> DataFrame:
@@ -162,16 +187,20 @@ def annotate(lines: DataFrame, facts: DataFrame | None = None, languages: tuple[
         rows = rows.join(told.select("path", "line_no", F.col("told.text").alias("told")), ["path", "line_no"], "left")
     else:
         rows = rows.withColumn("told", F.array().cast("array<string>"))
-    line, symbol, blank = F.col("trimmed"), F.col("symbol"), F.col("trimmed") == ""
-    by_language = {lang: _parts(rules, line, symbol) for lang, rules in LANGUAGES.items() if lang in languages}
+    symbol, blank = F.col("symbol"), F.col("trimmed") == ""
+    known = {lang: rules for lang, rules in LANGUAGES.items() if lang in languages}
 
-    def pick(what: str) -> Column:
+    def pick(of: dict[str, Column]) -> Column:
         out = F.lit(None)
-        for lang, parts in by_language.items():
-            out = F.when(F.col("lang") == lang, parts[what]).otherwise(out)
+        for lang, value in of.items():
+            out = F.when(F.col("lang") == lang, value).otherwise(out)
         return out
 
-    out = rows.select("path", "line_no", "lang", "trimmed", "symbol", "around", "told", *[pick(k).alias(k) for k in ("binding", "call", "entry", "role", "note", "score", "worthy")])
+    # each step reads columns of the one before, so that a line meets each pattern once
+    rows = rows.withColumn("says", pick({lang: _says(rules, F.col("trimmed")) for lang, rules in known.items()}))
+    rows = rows.withColumn("call", pick({lang: _call(rules, F.col("says.call")) for lang, rules in known.items()}))
+    by_language = {lang: _parts(rules, F.col("says"), F.col("call"), symbol) for lang, rules in known.items()}
+    out = rows.select("path", "line_no", "trimmed", "symbol", "around", "told", "call", "says.binding", "says.entry", "says.worthy", *[pick({lang: parts[k] for lang, parts in by_language.items()}).alias(k) for k in ("role", "note", "score")])
     label = lambda text, c: F.when(c.isNotNull(), F.concat(F.lit(text), c))
     inside = F.when(F.col("around.name") != F.coalesce("symbol.name", F.lit("")), F.col("around.name"))
     own = F.array(label("configuration: ", F.col("entry")), label("definition: ", F.col("symbol.name")), label("assigns: ", F.col("binding")), label("calls: ", F.col("call")), label("inside: ", inside))

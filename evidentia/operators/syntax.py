@@ -77,6 +77,14 @@ def code(content: Column, language: Column, targets: bool = False) -> Column:
     return out
 
 
+def plain_lines(files: DataFrame) -> DataFrame:
+    """(path, lang, line_no, line) of code_lines, for what reads no code: nothing is lexed."""
+    known = [x for xs in FAMILIES.values() for x in xs]
+    text = F.replace(F.coalesce("content", F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    rows = files.select("path", places.language(F.col("path")).alias("lang"), text.alias("text")).filter(F.col("lang").isin(*known))
+    return rows.select("path", "lang", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("path", "lang", (F.col("i") + 1).alias("line_no"), "line")
+
+
 def code_lines(files: DataFrame, targets: bool = False) -> DataFrame:
     """(path, lang, line_no, line, code, n_lines) of files whose language has a lexer. Null content is an empty text, of one line."""
     lang = places.language(F.col("path"))

@@ -65,8 +65,7 @@ u as (select path, unnest(rows) as x, (first + generate_subscripts(rows, 1) - 1)
 select path, line_no, x.role as role, x.facts as facts, x.note as note, x.score as score, x.worthy as worthy from u
 union all select path, max(line_no) + 1, '', '', '', 0, false from u group by path""")
 def line_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = S.code_lines(sources(spark, sf_dir)).select("path", "lang", "line_no", "line")
-    return N.annotate(lines, languages=("python", "go")).select("path", "line_no", "role", F.array_join("facts", "|").alias("facts"), "note", "score", "worthy")
+    return N.annotate(S.plain_lines(sources(spark, sf_dir)), languages=("python", "go")).select("path", "line_no", "role", F.array_join("facts", "|").alias("facts"), "note", "score", "worthy")
 
 
 LINES = (
