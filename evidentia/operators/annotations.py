@@ -115,18 +115,18 @@ SAYS = ("binding", "call", "entry", "output", "branch", "iteration", "control",
 
 
 def _says(rules: Rules, line: Column) -> Column:
-    """SAYS of a trimmed line, as a struct: each pattern is matched once, and what follows reads its fields."""
+    """SAYS of a trimmed line, as a struct: each pattern is matched once, and what follows reads its fields. Without a call or entry those are empty."""
     nothing, no = F.lit(None).cast("string"), F.lit(False)
     said = {k: nothing if k in ("binding", "call", "entry") else no for k in SAYS}
     if rules.style == "config":
-        said["entry"] = F.nullif(F.regexp_extract(line, rf"^[\"']?([A-Za-z0-9_.-]+)[\"']?\s*{rules.separator}\s*(.+)$", 1), F.lit(""))
+        said["entry"] = F.regexp_extract(line, rf"^[\"']?([A-Za-z0-9_.-]+)[\"']?\s*{rules.separator}\s*(.+)$", 1)
         said["worthy"] = ~line.rlike(r"^[{}\[\],]+$") & ~line.rlike(rules.comment)
     else:
         python = rules.style == "python"
         source = line
         for pattern in PYTHON_BEFORE_CALL if python else BEFORE_CALL:
             source = F.regexp_replace(source, pattern, "")
-        said |= {"binding": _first(line, rules.bindings), "call": F.nullif(F.regexp_extract(source, rules.call, 1), F.lit("")), "output": line.rlike(rules.output), "branch": line.rlike(rules.branch), "iteration": line.rlike(rules.iteration), "doubt": line.rlike(r"[?!];?$")}
+        said |= {"binding": _first(line, rules.bindings), "call": F.regexp_extract(source, rules.call, 1), "output": line.rlike(rules.output), "branch": line.rlike(rules.branch), "iteration": line.rlike(rules.iteration), "doubt": line.rlike(r"[?!];?$")}
         if "await" in POINTS[rules.style]:
             said["await"] = line.rlike(AWAIT)
         if python:
@@ -141,13 +141,13 @@ def _call(rules: Rules, called: Column) -> Column:
     """What is called, without keywords."""
     if rules.style == "config":
         return F.lit(None).cast("string")
-    return F.when(~(called if rules.style == "python" else F.lower(called)).isin(*rules.keywords), called)
+    return F.when((called != "") & ~(called if rules.style == "python" else F.lower(called)).isin(*rules.keywords), called)
 
 
 def _parts(rules: Rules, says: Column, call: Column, symbol: Column) -> dict[str, Column]:
     """role, note, score of a line by what it says, calls and defines."""
     if rules.style == "config":
-        entry = says["entry"]
+        entry = F.nullif(says["entry"], F.lit(""))
         return {"role": F.when(entry.isNotNull(), "configuration entry").otherwise(""), "note": F.coalesce(_sentence(SETS, rules.name, entry), F.lit("")), "score": F.when(entry.isNotNull(), CONFIG_POINTS).otherwise(0)}
     python, binding = rules.style == "python", says["binding"]
     output = says["returns"] if python else says["output"]
@@ -200,7 +200,7 @@ def annotate(lines: DataFrame, facts: DataFrame | None = None, languages: tuple[
     rows = rows.withColumn("says", pick({lang: _says(rules, F.col("trimmed")) for lang, rules in known.items()}))
     rows = rows.withColumn("call", pick({lang: _call(rules, F.col("says.call")) for lang, rules in known.items()}))
     by_language = {lang: _parts(rules, F.col("says"), F.col("call"), symbol) for lang, rules in known.items()}
-    out = rows.select("path", "line_no", "trimmed", "symbol", "around", "told", "call", "says.binding", "says.entry", "says.worthy", *[pick({lang: parts[k] for lang, parts in by_language.items()}).alias(k) for k in ("role", "note", "score")])
+    out = rows.select("path", "line_no", "trimmed", "symbol", "around", "told", "call", "says.binding", F.nullif("says.entry", F.lit("")).alias("entry"), "says.worthy", *[pick({lang: parts[k] for lang, parts in by_language.items()}).alias(k) for k in ("role", "note", "score")])
     label = lambda text, c: F.when(c.isNotNull(), F.concat(F.lit(text), c))
     inside = F.when(F.col("around.name") != F.coalesce("symbol.name", F.lit("")), F.col("around.name"))
     own = F.array(label("configuration: ", F.col("entry")), label("definition: ", F.col("symbol.name")), label("assigns: ", F.col("binding")), label("calls: ", F.col("call")), label("inside: ", inside))
