@@ -69,6 +69,5 @@ def stored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 select path, md5(concat('File: ', path, ':1-', n, chr(10), 'Directory: ', dir, chr(10), 'Name terms: ', array_to_string(list_filter(string_split_regex(lower(base), '[^a-z0-9]+'), lambda x: x <> ''), ' '))) as head from n""")
 def embedding_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header of each file's embedded text, before the terms of its code."""
-    own = files(spark, sf_dir).select("path", "content", F.size(T.lines(F.col("content"))).alias("n"))
-    text = T.embedding_text(F.col("path"), F.lit(1), F.col("n"), F.col("content"), F.lit(None).cast("string"))
-    return own.select("path", F.md5(F.array_join(F.slice(F.split(text, "\n"), 1, 3), "\n")).alias("head"))
+    own = files(spark, sf_dir).select("path", F.size(T.lines(F.col("content"))).alias("n"))
+    return own.select("path", F.md5(T.embedding_head(F.col("path"), F.lit(1), F.col("n"), F.lit(None).cast("string"))).alias("head"))
