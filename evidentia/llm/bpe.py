@@ -14,15 +14,13 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from . import kernels as K
 from .codec import pack, steps, unpack
@@ -172,46 +170,44 @@ def encode_words(rows: DataFrame, ranks: str) -> DataFrame:
     return rows.mapInArrow(apply, ROWS)
 
 
-def _texts(group: pd.DataFrame, folder: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of some texts of a chunk at a time: doc ids, null flags, all their token ids, and where each text's begin."""
-    slots, lens, ids = [], [], []
-    for row in group[group["kind"] == 0].itertuples():
-        gaps, n = unpack(row.at, 2)
-        (own,) = unpack(row.data, 1)
-        slots.append(np.cumsum(gaps.astype(np.int64)))
-        lens.append(n.astype(np.int64))
-        ids.append(own)
+def _texts(group: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of some texts of a chunk at a time. Of the chunk's rows only its words' ids are kept."""
+    slots, lens, ids, chunk = [], [], [], None
+    for batch in group:
+        for row in batch.to_pylist():
+            chunk = row["chunk"]
+            if row["kind"] == 0:
+                gaps, n = unpack(row["at"], 2)
+                slots.append(np.cumsum(gaps.astype(np.int64)))
+                lens.append(n.astype(np.int64))
+                ids += unpack(row["data"], 1)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     slot, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slots, lens))
     begin, count = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
     begin[slot] = np.cumsum(size) - size
     count[slot] = size
-    with open(f"{folder}/{group['chunk'].iloc[0]}", "rb") as f:
+    with open(f"{folder}/{chunk}", "rb") as f:
         per_text, docs, null, codes = unpack(f.read(), 4)
     edges = np.concatenate([[0], np.cumsum(per_text.astype(np.int64))])
     for i in range(0, len(docs), 256):  # some texts at a time
         j = min(i + 256, len(docs))
         own = codes[edges[i] : edges[j]]
         tokens = np.concatenate([[0], np.cumsum(count[own])])
-        yield docs[i:j].view(np.int64), null[i:j], flat[K.ragged(begin[own], count[own])], tokens[edges[i : j + 1] - edges[i]]
+        found, at = flat[K.ragged(begin[own], count[own])].astype(np.int32), tokens[edges[i : j + 1] - edges[i]].astype(np.int32)
+        doc = pa.array(docs[i:j].view(np.int64), mask=null[i:j].astype(bool))
+        yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(at, found)], names=["doc_id", "ids"])
 
 
-#: What a chunk's frame of (doc_id, ids) becomes in the worker that made it, and the schema of that.
-Then = tuple[Callable[[pd.DataFrame], pd.DataFrame], str]
+#: What a chunk's batches of (doc_id, ids) become in the worker that made them, and the schema of that.
+Then = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
 
 
 def assemble(rows: DataFrame, folder: str, then: Then | None = None) -> DataFrame:
     """(doc_id, ids): each text's token ids, put together by position."""
-    finish, schema = then or (lambda frame: frame, "doc_id long, ids array<int>")
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    finish, schema = then or (lambda batches: batches, "doc_id long, ids array<int>")
 
-    def apply(group: pa.Table) -> pa.Table:
-        tables = []
-        for docs, null, ids, at in _texts(group.to_pandas(), folder):
-            own = pd.array([None if x else d for d, x in zip(docs.tolist(), null.tolist(), strict=True)], "Int64")
-            frame = pd.DataFrame({"doc_id": own, "ids": np.split(ids.astype(np.int32), at[1:-1])})
-            tables.append(pa.Table.from_pandas(finish(frame), schema=arrow, preserve_index=False))
-        return pa.concat_tables(tables)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from finish(_texts(batches, folder))
 
     return rows.groupBy("chunk").applyInArrow(apply, schema)
 
@@ -310,24 +306,33 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     columns do not matter, but bytes is replaced.
     """
     kept = [f for f in encoded.schema.fields if f.name not in ("ids", "bytes")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "bytes binary"])
     own = encoded.select("ids", *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
-    joined = own.mapInArrow(_distinct_ids, BLOCKS).join(F.broadcast(token_table(encoded.sparkSession, ranks)), "id", "left")
-    names = [*(f.name for f in kept), "bytes"]
-    return joined.select("head", "codes", "at", "id", "token").mapInArrow(lambda batches: (b.rename_columns(names) for b in _join_tokens(batches)), schema)
+    return joined(own.mapInArrow(_distinct_ids, BLOCKS), ranks, kept)
+
+
+def joined(blocks: DataFrame, ranks: str, kept: list[StructField]) -> DataFrame:
+    """The rows of blocks, whose other columns are kept, with their bytes."""
+    schema, names = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "bytes binary"]), [*(f.name for f in kept), "bytes"]
+    with_tokens = blocks.join(F.broadcast(token_table(blocks.sparkSession, ranks)), "id", "left")
+    return with_tokens.select("head", "codes", "at", "id", "token").mapInArrow(lambda batches: (b.rename_columns(names) for b in _join_tokens(batches)), schema)
 
 
-def id_digests() -> Then:
-    """For encode(): the number of ids, SHA-256 of the decimal ids joined by commas, and the ids."""
+#: What round_trip() knows of a text besides its ids.
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string"
 
-    def digest(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["ids"].tolist()
-        text = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-        return pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(x) for x in ids], "ids_sha256": text, "ids": frame["ids"]})
 
-    return digest, "doc_id long, n_tokens long, ids_sha256 string, ids array<int>"
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, ids) with (n_tokens, ids_sha256): the number of ids, and SHA-256 of the decimal ids joined by commas."""
+    for batch in batches:
+        ids = batch.column("ids")
+        flat, at = ids.flatten().to_numpy().tolist(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).tolist()
+        digests = [hashlib.sha256(",".join(map(str, flat[a:b])).encode()).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(pc.list_value_length(ids), pa.int64()), pa.array(digests, pa.string()), ids], names=["doc_id", "n_tokens", "ids_sha256", "ids"])
 
 
 def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, and decoded from its ids again."""
-    return decode(encode(docs, ranks, then=id_digests()), ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, and decoded from its ids again. The worker that puts ids
+    together makes the blocks of decode() of them, so that ids leave it once, and a task runs two workers for both steps."""
+    blocks = encode(docs, ranks, then=(lambda batches: _distinct_ids(_digested(batches)), BLOCKS))
+    decoded = joined(blocks, ranks, StructType.fromDDL(DIGESTS).fields)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
