@@ -120,22 +120,30 @@ def wires(edges: DataFrame) -> DataFrame:
     return edges.groupBy("path").agg(F.countDistinct("target").alias("wires"))
 
 
+def needed_sides(seeds: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """(q, path, d, first, most) of seeds (q, path, seed_rank) and the numbers of neighbours (path, d, size) of files: each question's sides in
+    the order of first, up to one with limit neighbours more than the question has seeds, which is most."""
+    counted = seeds.withColumn("most", limit + F.count(F.lit(1)).over(Window.partitionBy("q")))
+    each = counted.join(sizes, "path").withColumn("first", F.struct("seed_rank", "d"))
+    last = F.min(F.when(F.col("size") >= F.col("most"), F.col("first"))).over(Window.partitionBy("q"))
+    return each.withColumn("last", last).filter(F.col("last").isNull() | (F.col("first") <= F.col("last"))).select("q", "path", "d", "first", "most")
+
+
 def import_neighbours(edges: DataFrame, seeds: DataFrame, limit: int = 8) -> DataFrame:
     """(q, path, direction, rank): files one import away from the seeds (q, path, seed_rank): what they import, then what
     imports them, in the order of seeds; each once and no seed itself.
 
-    Of a file's neighbours on one side only the first limit + n by name can be in a result, where n is the largest number of
-    seeds of a question: all others stand behind limit rows that are no seeds. The rest goes before the join."""
-    n = seeds.groupBy("q").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    Of a file's neighbours on one side only the first limit + n by name can be in a result, where n is the number of seeds of the
+    question: all others stand behind limit rows that are no seeds. For the same reason a side of so many neighbours is the last
+    one that a question needs, and neither the seeds behind it nor their neighbours are joined."""
+    largest = limit + seeds.groupBy("q").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     pairs = edges.select("path", F.col("target").alias("other")).distinct()
-
-    def side(own: DataFrame, d: int) -> DataFrame:
-        few = ranked(own, ["path"], [F.col("other")], limit + n).drop("rank")
-        return seeds.join(few, "path").select("q", "seed_rank", F.lit(d).alias("d"), "other")
-
-    out, into = side(pairs, 0), side(pairs.select(F.col("other").alias("path"), F.col("path").alias("other")), 1)
-    both = out.unionByName(into).groupBy("q", "other").agg(F.min(F.struct("seed_rank", "d")).alias("first"))
-    both = both.withColumnRenamed("other", "path").join(seeds.select("q", "path"), ["q", "path"], "left_anti")
+    sides = [pairs.withColumn("d", F.lit(0)), pairs.select(F.col("other").alias("path"), F.col("path").alias("other"), F.lit(1).alias("d"))]
+    near = sides[0].unionByName(sides[1]).join(seeds.select("path").distinct(), "path", "left_semi")
+    few = ranked(near, ["path", "d"], [F.col("other")], largest).withColumnRenamed("rank", "place")
+    needed = needed_sides(seeds, few.groupBy("path", "d").agg(F.max("place").alias("size")), limit)
+    found = needed.join(few, ["path", "d"]).filter(F.col("place") <= F.col("most"))
+    both = found.groupBy("q", "other").agg(F.min("first").alias("first")).withColumnRenamed("other", "path").join(seeds.select("q", "path"), ["q", "path"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("first", "path"))
     best = both.withColumn("rank", rank).filter(F.col("rank") <= limit)
     return best.select("q", "path", F.when(F.col("first.d") == 0, "imports").otherwise("imported_by").alias("direction"), "rank")
