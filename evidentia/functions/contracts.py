@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -26,30 +27,47 @@ class Rule:
     values: tuple[str, ...] | None = None
 
 
-def violations(body: Column, rules: list[Rule]) -> Column:
-    """An array of `field: problem` of a JSON text against rules: not_json and not_object alone; else unknown fields, which a strict contract
-    does not take, and for each rule the first problem of missing, type, length, range, pattern and value. Empty for a good request."""
-    parsed = F.try_parse_json(body)
-    whole = F.schema_of_variant(parsed)
-    found = []
-    for rule in rules:
-        value = F.try_variant_get(parsed, F.lit(f"$.{rule.field}"), "variant")
-        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-        text, number = F.trim(F.get_json_object(body, f"$.{rule.field}")), F.try_variant_get(parsed, F.lit(f"$.{rule.field}"), "double")
-        missing = kind == "VOID"
-        problem = F.when(missing, F.lit("missing") if rule.required else F.lit(None).cast("string"))
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is made once, however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _problem(body: Column, parsed: Column, rule: Rule) -> Column:
+    """`field: problem` of the first problem of a rule; null without one. What the variant tells is not parsed out of the text again."""
+    value = lambda kind: F.try_variant_get(parsed, F.lit(f"$.{rule.field}"), kind)
+    text, number = F.trim(value("string") if rule.kind == "string" else F.get_json_object(body, f"$.{rule.field}")), value("double")
+    size = F.size(value("array<variant>")) if rule.kind == "array" else F.length(text)
+
+    def first(kind: Column) -> Column:
+        problem = F.when(kind == "VOID", F.lit("missing") if rule.required else F.lit(None).cast("string"))
         problem = problem.when(~kind.rlike(KINDS[rule.kind]), "type")
-        size = F.size(F.from_json(F.get_json_object(body, f"$.{rule.field}"), "array<string>")) if rule.kind == "array" else F.length(text)
         if rule.shortest is not None or rule.longest is not None:
-            problem = problem.when((size < (rule.shortest or 0)) | (size > (2**31 - 1 if rule.longest is None else rule.longest)), "length")
+            least, most = F.lit(rule.shortest or 0), F.lit(2**31 - 1 if rule.longest is None else rule.longest)
+            problem = problem.when(_bound(size, lambda n: (n < least) | (n > most)), "length")
         if rule.least is not None or rule.most is not None:
-            problem = problem.when((number < (float("-inf") if rule.least is None else rule.least)) | (number > (float("inf") if rule.most is None else rule.most)), "range")
+            least, most = F.lit(float("-inf") if rule.least is None else rule.least), F.lit(float("inf") if rule.most is None else rule.most)
+            problem = problem.when(_bound(number, lambda n: (n < least) | (n > most)), "range")
         if rule.pattern:
             problem = problem.when(~text.rlike(rule.pattern), "pattern")
         if rule.values:
             problem = problem.when(~text.isin(*rule.values), "value")
-        found.append(F.when(problem.isNotNull(), F.concat(F.lit(f"{rule.field}: "), problem)))
-    names = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
-    unknown = F.transform(F.array_sort(F.array_except(names, F.array(*[F.lit(r.field) for r in rules]))), lambda n: F.concat(n, F.lit(": unknown")))
-    every = F.concat(unknown, F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return F.when(parsed.isNull(), F.array(F.lit("not_json"))).when(~whole.rlike("^OBJECT"), F.array(F.lit("not_object"))).otherwise(every)
+        return problem
+
+    kind = F.coalesce(F.schema_of_variant(value("variant")), F.lit("VOID"))
+    return F.concat(F.lit(f"{rule.field}: "), _bound(kind, first))
+
+
+def violations(body: Column, rules: list[Rule]) -> Column:
+    """An array of `field: problem` of a JSON text against rules: not_json and not_object alone; else unknown fields, which a strict contract
+    does not take, and for each rule the first problem of missing, type, length, range, pattern and value. Empty for a good request.
+    A text is made and parsed into a variant once, whatever the number of rules."""
+
+    def of(x: Column) -> Column:
+        names = F.map_keys(x["fields"])
+        unknown = F.transform(F.array_sort(F.array_except(names, F.array(*[F.lit(r.field) for r in rules]))), lambda n: F.concat(n, F.lit(": unknown")))
+        found = F.filter(F.array(*[_problem(x["body"], x["parsed"], r) for r in rules]), lambda y: y.isNotNull())
+        wrong = F.when(x["parsed"].isNull(), F.array(F.lit("not_json"))).when(x["fields"].isNull(), F.array(F.lit("not_object")))
+        return wrong.otherwise(F.concat(unknown, found))
+
+    parsed = lambda b: _bound(F.try_parse_json(b), lambda p: F.struct(b.alias("body"), p.alias("parsed"), F.try_variant_get(p, F.lit("$"), "map<string,variant>").alias("fields")))
+    return _bound(_bound(body, parsed), of)
