@@ -8,6 +8,7 @@ Files are (path, content); lines count from 1, and a carriage return before a li
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ def _blanked(content: Column, family: str, targets: bool) -> Column:
     starts = _STARTS[family]
     lexeme = f"(?s)(?:{'|'.join(LEXEMES[family])})|[^{starts}]++|."
     quiet = lambda t: (F.length(t) > 1) & F.substring(t, 1, 1).isin(*starts)
-    blank = lambda t: F.regexp_replace(t, "[^\n]", " ")
+    blank = lambda t: F.when(F.contains(t, F.lit("\n")), F.regexp_replace(t, "[^\n]", " ")).otherwise(F.repeat(F.lit(" "), F.length(t)))
     quoted = lambda t: F.concat(F.lit('"'), blank(F.substring(t, 2, 1 << 30)))
     kept = lambda t: t.rlike(_TARGET) if targets else F.lit(False)
     tokens = F.regexp_extract_all(content, F.lit(lexeme), F.lit(0))
@@ -81,15 +82,17 @@ def plain_lines(files: DataFrame) -> DataFrame:
     """(path, lang, line_no, line) of code_lines, for what reads no code: nothing is lexed."""
     known = [x for xs in FAMILIES.values() for x in xs]
     text = F.replace(F.coalesce("content", F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    rows = files.select("path", places.language(F.col("path")).alias("lang"), text.alias("text")).filter(F.col("lang").isin(*known))
-    return rows.select("path", "lang", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("path", "lang", (F.col("i") + 1).alias("line_no"), "line")
+    rows = files.select("path", places.language(F.col("path")).alias("lang"), text.alias("text"))
+    # other files have no lines; a filter would be pushed down to whatever rows the files are made from, and match paths there
+    own = F.when(F.col("lang").isin(*known), F.split("text", "\n", -1))
+    return rows.select("path", "lang", F.posexplode(own).alias("i", "line")).select("path", "lang", (F.col("i") + 1).alias("line_no"), "line")
 
 
 def code_lines(files: DataFrame, targets: bool = False) -> DataFrame:
     """(path, lang, line_no, line, code, n_lines) of files whose language has a lexer. Null content is an empty text, of one line."""
     lang = places.language(F.col("path"))
-    known = [x for xs in FAMILIES.values() for x in xs]
-    plain = files.select("path", lang.alias("lang"), F.replace(F.coalesce("content", F.lit("")), F.lit("\r\n"), F.lit("\n")).alias("text")).filter(F.col("lang").isin(*known))
+    # the code of other files is null, so that they have no lines; a filter would match paths for each row that files are made from
+    plain = files.select("path", lang.alias("lang"), F.replace(F.coalesce("content", F.lit("")), F.lit("\r\n"), F.lit("\n")).alias("text"))
     cut = lambda c: F.split(c, "\n", -1)
     both = plain.select("path", "lang", cut(F.col("text")).alias("a"), cut(code(F.col("text"), F.col("lang"), targets)).alias("b"))
     rows = both.select("path", "lang", F.size("a").alias("n_lines"), F.posexplode(F.arrays_zip("a", "b")).alias("i", "x"))
@@ -97,7 +100,8 @@ def code_lines(files: DataFrame, targets: bool = False) -> DataFrame:
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many of some ASCII characters a text holds. A text without a character is searched, not made again."""
+    return reduce(Column.__add__, [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in characters])
 
 
 def nesting(lines: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ function for each of its lines, in Python, Go and JavaScript."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,15 +19,19 @@ from .retrieval_queries import questions
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content). Strings and comments hold braces and definitions that are none."""
-    k, n, kind = (F.floor("l_quantity") % 5).cast("int"), F.col("l_linenumber").cast("string"), F.col("l_orderkey") % 3
-    python = F.concat(F.lit("def item_"), n, F.lit("(a):\n"), F.repeat(F.lit('    x = "def no():" # def neither(){\n'), k), F.lit('    """ def quoted():\ndef still():\n"""\n\n'))
-    go = F.concat(F.lit("func Item_"), n, F.lit("(a int) {\n"), F.repeat(F.lit("\tcall(\"}\", '}', `{`) // }{\n"), k), F.lit("\tif a {\n\t}\n}\n\n"))
-    script = F.concat(F.lit("function item_"), n, F.lit("(a) {\n"), F.repeat(F.lit("  call('}', `${'{'}`); /* }\n} */\n"), k), F.lit("}\n// function none() {\n\n"))
-    part = F.when(kind == 0, python).when(kind == 1, go).otherwise(script)
-    ending = F.when(kind == 0, ".py").when(kind == 1, ".go").otherwise(".js")
-    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("src/"), F.col("l_orderkey").cast("string"), ending).alias("path"), F.struct("l_linenumber", k.alias("k"), part.alias("part")).alias("p"))
-    parts = F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"])
-    return rows.groupBy("path").agg(F.array_join(parts, "").alias("content"))
+    rows = table(spark, sf_dir, "lineitem")
+    ending = F.element_at(F.array(*map(F.lit, (".py", ".go", ".js"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    # numbers are grouped, texts are made of them afterwards
+    own = rows.select(F.concat(F.lit("src/"), F.col("l_orderkey").cast("string"), ending).alias("path"), F.struct("l_linenumber", (F.floor("l_quantity") % 5).cast("int").alias("k")).alias("p"))
+
+    def part(p: Column) -> Column:
+        k, n = p["k"], p["l_linenumber"].cast("string")
+        python = F.concat(F.lit("def item_"), n, F.lit("(a):\n"), F.repeat(F.lit('    x = "def no():" # def neither(){\n'), k), F.lit('    """ def quoted():\ndef still():\n"""\n\n'))
+        go = F.concat(F.lit("func Item_"), n, F.lit("(a int) {\n"), F.repeat(F.lit("\tcall(\"}\", '}', `{`) // }{\n"), k), F.lit("\tif a {\n\t}\n}\n\n"))
+        script = F.concat(F.lit("function item_"), n, F.lit("(a) {\n"), F.repeat(F.lit("  call('}', `${'{'}`); /* }\n} */\n"), k), F.lit("}\n// function none() {\n\n"))
+        return F.when(F.endswith("path", F.lit(".py")), python).when(F.endswith("path", F.lit(".go")), go).otherwise(script)
+
+    return own.groupBy("path").agg(F.sort_array(F.collect_list("p")).alias("parts")).select("path", F.array_join(F.transform("parts", part), "").alias("content"))
 
 
 #: Items of each file with their first line and number of lines.
