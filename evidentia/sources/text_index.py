@@ -1,38 +1,157 @@
 """A kept text index: postings on disk, changed batch by batch, and a top-k search that reads the blocks it needs.
 
 A batch of texts is a segment, which is never changed afterwards; texts that a later batch replaces or removes are listed as gone,
-with their terms, so that counts stay exact. A segment's texts lie in ranges of about RANGE by a hash of their key. A block holds
-a term's postings in one range, with the largest frequency and the smallest length among them, which bound what the term adds to
-a text of the range at any average length. The sum over a question's terms bounds every text of a range, so that a range whose
-sum is below the score of the k-th text found so far holds no result, and none of its blocks is read.
+with the numbers of texts that their terms lose, so that counts stay exact. A segment's texts lie in ranges of about RANGE, in which they
+are numbered. A block holds a term's postings in one range, with the largest frequency and the smallest length among them, which bound what
+the term adds to a text of the range at any average length. The sum over a question's terms bounds every text of a range, so that a range
+whose sum is below the score of the k-th text found so far holds no result, and none of its blocks is read. The block of the empty term
+lists a range's texts, with their keys and lengths.
+
+Texts are shuffled once, to their range, where its blocks are made; from then on blocks move, and no single postings.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from ..functions import text as T
 from ..operators import retrieval as R
+from .shared import settled
 from .store import ATTEMPTS, Catalog
 
-#: Texts of a range, ranges of a file, and folders by term.
-RANGE, SLICE, BUCKETS = 1024, 1024, 64
+#: Texts of a range, ranges of a file, and folders by term; the folder of the empty term.
+RANGE, SLICE, BUCKETS, TEXTS = 1024, 1024, 64, -1
 #: Ranges of a question that are scored first, for a bound on its k-th score.
 FIRST = 2
 #: Scores are rounded to six places.
 SLACK = 1e-6
+#: Texts of an index up to which what is known of its ranges, a bit a text, goes to every task; more is joined.
+AT_ONCE = 1 << 28
+#: Cells of questions by texts that are scored at once.
+CELLS = 1 << 21
+#: The layout of the folders.
+LAYOUT = 2
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """(key, dl, term, tf) of (key, text). A null text is an empty one."""
-    return R.postings(docs.select("key", F.coalesce("text", F.lit("")).alias("text")))
+    return F.when(term == "", F.lit(TEXTS)).otherwise(F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int"))
+
+
+def _pack_type(key: DataType) -> str:
+    """A range's blocks of one folder as a row: they end where ends says."""
+    return f"bucket int, r long, terms array<string>, ends array<int>, ords array<int>, tfs array<int>, dls array<int>, keys array<{key.simpleString()}>"
+
+
+def _unpacked(packs: DataFrame) -> DataFrame:
+    """The blocks (bucket, term, r, n, max_tf, min_dl, ords, tfs, dls, keys) of packs."""
+    each = packs.select("bucket", "r", "ends", "ords", "tfs", "dls", "keys", F.posexplode("terms").alias("i", "term"))
+    start = F.coalesce(F.get("ends", F.col("i") - 1), F.lit(0))
+    own = {c: F.slice(c, start + 1, F.get("ends", "i") - start) for c in ("ords", "tfs", "dls")}
+    return each.select("bucket", "term", "r", (F.get("ends", "i") - start).cast("long").alias("n"), F.array_max(own["tfs"]).alias("max_tf"), F.array_min(own["dls"]).alias("min_dl"), *[x.alias(c) for c, x in own.items()], "keys")
+
+
+def _is_dead(ord_: str) -> str:
+    """Whether the bits of dead hold a text's number."""
+    return f"(coalesce(shiftrightunsigned(get(dead, shiftright({ord_}, 6)), {ord_} & 63) & 1L, 0L) = 1L)"
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _packs_of(key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The packs of a range's texts (r, key, low), which are numbered as they come. Texts are cut a piece at a time, as
+    functions.text.tokens does; only numbers stay."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, dls, pairs, tfs, at, r = {"": 0}, [], [], [], [], 0, None
+        for batch in batches:
+            keys.append(batch.column("key"))
+            r = batch.column("r")[0] if len(batch) else r
+            for a, end in R._pieces(batch.column("low"), R.PIECE):
+                low = batch.column("low").slice(a, end - a)
+                lists = pc.split_pattern(pc.replace_substring_regex(low, "[^a-z0-9]+", " "), " ")
+                found, doc = pc.dictionary_encode(lists.flatten()), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                own = np.array([ids.setdefault(t, len(ids)) for t in found.dictionary.to_pylist()], np.int64)
+                term = own[found.indices.to_numpy(zero_copy_only=False)] if len(doc) else doc
+                dls.append(np.bincount(doc[term > 0], minlength=len(low)))
+                pair, tf = np.unique((term[term > 0] << 32) + doc[term > 0] + at, return_counts=True)
+                pairs.append(pair)
+                tfs.append(tf)
+                at += len(low)
+        if not at:
+            return
+        names = list(ids)
+        bucket = np.array([TEXTS] + [zlib.crc32(t.encode()) % BUCKETS for t in names[1:]], np.int64)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty_like(by)
+        place[by] = np.arange(len(by))
+        # the empty term's postings are all texts
+        pair, tf, dl = np.concatenate([np.arange(at), *pairs]), np.concatenate([np.zeros(at, np.int64), *tfs]), np.concatenate(dls)
+        pair = (place[pair >> 32] << 32) + (pair & 0xFFFFFFFF)
+        order = np.argsort(pair, kind="stable")
+        term, ords, tf = pair[order] >> 32, pair[order] & 0xFFFFFFFF, tf[order]
+        ends = np.append(np.flatnonzero(np.diff(term)) + 1, len(term))
+        first = np.flatnonzero(np.diff(bucket[by], prepend=TEXTS - 1))
+        terms, begin = np.append(first, len(by)), np.append(0, ends)[first]
+        offsets, size = np.append(begin, len(term)), np.diff(terms)
+        keys_at = np.append(0, np.full(len(first), at))
+        columns = {
+            "bucket": pa.array(bucket[by][first], pa.int32()), "r": pa.array(np.full(len(first), r.as_py()), pa.int64()),
+            "terms": pa.ListArray.from_arrays(pa.array(terms, pa.int32()), pa.array([names[t] for t in by.tolist()], pa.string())),
+            "ends": _lists(terms, ends - np.repeat(begin, size)), "ords": _lists(offsets, ords), "tfs": _lists(offsets, tf), "dls": _lists(offsets, dl[ords]),
+            "keys": pa.ListArray.from_arrays(pa.array(keys_at, pa.int32()), pa.concat_arrays(keys).cast(key_type), mask=pa.array(bucket[by][first] != TEXTS)),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
+
+    return apply
+
+
+def _scored(avgdl: float, limit: int, q_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    """The best texts (q, segment, r, ord, score) of a range for each of its questions (q, terms), ties included, from its blocks
+    (term, idf, ords, tfs, dls) and the numbers of its dead texts (ords)."""
+
+    def apply(group: pa.Table) -> pa.Table:
+        kind = group["kind"].to_numpy()
+        asked, blocks, dead = (group.filter(pa.array(kind == k)).combine_chunks() for k in (0, 1, 2))
+        out, array = [], lambda t, c: t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0)
+        if len(asked) and len(blocks):
+            flat = lambda t, c: array(t, c).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            block, ords, tf, dl = pc.list_parent_indices(array(blocks, "ords")).to_numpy(zero_copy_only=False).astype(np.int64), flat(blocks, "ords"), flat(blocks, "tfs"), flat(blocks, "dls")
+            live = ~np.isin(ords, flat(dead, "ords")) if len(dead) else np.ones(len(ords), bool)
+            weight = (blocks["idf"].to_numpy()[block] * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / avgdl)))[live]
+            n = np.bincount(block[live], minlength=len(blocks))
+            ords, starts, span = ords[live], np.cumsum(n) - n, int(ords.max()) + 1
+            terms = array(asked, "terms")
+            own = pc.fill_null(pc.index_in(terms.flatten(), value_set=array(blocks, "term")), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            q = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False).astype(np.int64)[own >= 0]
+            own = own[own >= 0]
+            upto, at = np.cumsum(np.bincount(q, n[own], minlength=len(asked))), 0
+            while at < len(asked):
+                end = min(at + max(1, CELLS // span), max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CELLS, "right"))), len(asked))
+                some = slice(np.searchsorted(q, at), np.searchsorted(q, end))
+                m = n[own[some]]
+                place = np.repeat(starts[own[some]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                cell, cells = np.repeat(q[some] - at, m) * span + ords[place], (end - at) * span
+                score = np.where(np.bincount(cell, minlength=cells) > 0, np.round(np.bincount(cell, weight[place], minlength=cells), 6), -np.inf).reshape(end - at, span)
+                low = np.partition(score, -limit, axis=1)[:, -limit, None] if span > limit else -np.inf
+                a, b = np.nonzero((score >= low) & (score > -np.inf))
+                out.append((a + at, b, score[a, b]))
+                at = end
+        a, b, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        one = lambda c: pa.array([group[c][0].as_py()] * len(a), group.schema.field(c).type)
+        return pa.table({"q": array(asked, "q").take(pa.array(a)).cast(q_type), "segment": one("segment"), "r": one("r"), "ord": pa.array(b, pa.int32()), "score": pa.array(score, pa.float64())})
+
+    return apply
 
 
 class TextIndex:
@@ -44,87 +163,131 @@ class TextIndex:
 
     def _head(self) -> tuple[int, dict]:
         version, manifest = self.catalog.head(self.name)
+        if version and manifest.get("layout") != LAYOUT:
+            raise ValueError(f"{self.name} was written in another layout and has to be made anew")
         return version, {"segments": manifest.get("segments", {}), "gone": manifest.get("gone", [])}
 
-    def _folder(self, what: str, segment: str) -> str:
-        return f"{self.root}/{what}/segment={segment}"
+    def _publish(self, base: int, segments: dict, gone: list[str]) -> int | None:
+        return self.catalog.publish(self.name, base, {"segments": segments, "gone": gone, "layout": LAYOUT, "parts": {}})
+
+    def _folder(self, segment: str) -> str:
+        return f"{self.root}/blocks/segment={segment}"
 
     # ---- reading
 
     def _blocks(self, manifest: dict, buckets: list[int] | None = None) -> DataFrame:
-        """(segment, term, r, n, max_tf, min_dl, postings)."""
-        paths = [self._folder("blocks", s) for s, x in manifest["segments"].items() if x["n"]]
+        """(segment, bucket, term, r, n, max_tf, min_dl, ords, tfs, dls, keys)."""
+        paths = [self._folder(s) for s, x in manifest["segments"].items() if x["n"]]
         found = self.spark.read.option("basePath", f"{self.root}/blocks").parquet(*paths)
         return found if buckets is None else found.filter(F.col("bucket").isin(buckets))
 
     def _docs(self, manifest: dict) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/docs").parquet(*[self._folder("docs", s) for s in manifest["segments"]])
+        """(segment, r, ord, key, dl), live or not."""
+        each = self._blocks(manifest, [TEXTS]).select("segment", "r", F.posexplode(F.arrays_zip("keys", "dls")).alias("ord", "x"))
+        return each.select("segment", "r", "ord", F.col("x.keys").alias("key"), F.col("x.dls").alias("dl"))
 
     def _gone(self, manifest: dict) -> DataFrame | None:
-        """(segment, key, dl, terms)."""
-        return self.spark.read.parquet(*manifest["gone"]) if manifest["gone"] else None
+        """(segment, r, ord, dl)."""
+        return self.spark.read.parquet(*[f"{g}/texts" for g in manifest["gone"]]) if manifest["gone"] else None
+
+    def _everywhere(self, manifest: dict, rows: DataFrame) -> DataFrame:
+        """Rows of ranges, for a join with blocks: the blocks stay where they are, unless the index is very large."""
+        return F.broadcast(rows) if sum(s["n"] for s in manifest["segments"].values()) <= AT_ONCE else rows
 
-    def _live(self, rows: DataFrame, manifest: dict) -> DataFrame:
-        gone = self._gone(manifest)
-        return rows if gone is None else rows.join(gone.select("segment", "key"), ["segment", "key"], "left_anti")
+    @staticmethod
+    def _bits(gone: DataFrame) -> DataFrame:
+        """(segment, r, dead): the numbers of a range's gone texts as bits of long values."""
+        own = gone.select("segment", "r", F.call_function("shiftright", "ord", F.lit(6)).alias("w"), F.expr("shiftleft(1L, ord & 63)").alias("bit"))
+        words = own.groupBy("segment", "r", "w").agg(F.bit_or("bit").alias("bits"))
+        by = words.groupBy("segment", "r").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+        return by.select("segment", "r", F.expr("transform(sequence(0, array_max(map_keys(m))), i -> coalesce(m[i], 0L))").alias("dead"))
 
     # ---- writing
 
-    def _write(self, docs: DataFrame, terms: DataFrame) -> dict:
-        """A segment of docs (key, dl) with the counts of their terms (key, dl, term, tf)."""
+    def _store(self, rows: DataFrame) -> dict:
+        """A segment of blocks with their bucket; they come dealt by the folder that they go to."""
         segment = f"s{uuid.uuid4().hex}"
-        docs.select("key", "dl").write.parquet(self._folder("docs", segment))
-        n, size = self.spark.read.parquet(self._folder("docs", segment)).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        ranges = max(1, -(-n // RANGE))
-        rows = terms.withColumn("r", F.pmod(F.xxhash64("key"), F.lit(ranges))).withColumn("bucket", _bucket(F.col("term"))).withColumn("slice", F.floor(F.col("r") / SLICE))
-        # dealt by the folder that a row goes to, which is also how it is grouped
-        by = rows.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "r").agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("key", "tf", "dl")).alias("postings")
-        )
-        if n:
-            by.drop("slice").sortWithinPartitions("bucket", "term", "r").write.partitionBy("bucket").parquet(self._folder("blocks", segment))
-        return {"id": segment, "n": n, "size": size, "ranges": ranges}
+        rows.sortWithinPartitions("bucket", "term", "r").write.partitionBy("bucket").parquet(self._folder(segment))
+        texts = self._blocks({"segments": {segment: {"n": 1}}}, [TEXTS])
+        n, size = texts.agg(F.sum("n"), F.sum(F.expr("aggregate(dls, 0L, (a, x) -> a + x)"))).first()
+        return {"id": segment, "n": n, "size": size, "ranges": max(1, -(-n // RANGE))}
+
+    def _write(self, docs: DataFrame, n: int) -> dict:
+        """A segment of n docs (key, text) with different keys."""
+        if not n:
+            return {"id": f"s{uuid.uuid4().hex}", "n": 0, "size": 0, "ranges": 1}
+        rows = docs.select(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // RANGE)))).alias("r"), "key", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+        key = docs.schema["key"].dataType
+        # in the order of keys, so that a task that is run again gives the same numbers
+        made = rows.repartition("r").sortWithinPartitions("r", "key").groupBy("r").applyInArrow(_packs_of(to_arrow_type(key)), _pack_type(key))
+        return self._store(_unpacked(made.repartition("bucket", F.floor(F.col("r") / SLICE))))
 
     def _replaced(self, manifest: dict, keys: DataFrame) -> str | None:
-        """The folder of the rows (segment, key, dl, terms) of the texts that keys replace; null without one. Only the blocks of
-        their ranges are read."""
-        held = {s: x for s, x in manifest["segments"].items() if x["n"]}
-        if not held:
+        """The folder of the texts (segment, r, ord, dl) that keys replace and of the numbers (term, lost) that their terms lose; null
+        without one. Blocks are read in place."""
+        if not any(x["n"] for x in manifest["segments"].values()):
+            return None
+        dead, gone, folder = self._docs(manifest).join(keys, "key", "left_semi").drop("key"), self._gone(manifest), f"{self.root}/gone/{uuid.uuid4().hex}"
+        (dead if gone is None else dead.join(gone, ["segment", "r", "ord"], "left_anti")).write.parquet(f"{folder}/texts")
+        new = self.spark.read.parquet(f"{folder}/texts")
+        if new.isEmpty():
             return None
-        dead = self._live(self._docs(manifest).join(keys, "key", "left_semi"), manifest)
-        ranges = F.create_map(*[F.lit(v) for s, x in held.items() for v in (s, x["ranges"])])
-        dead = dead.withColumn("r", F.pmod(F.xxhash64("key"), ranges[F.col("segment")]))
-        near = self._blocks(manifest).join(dead.select("segment", "r").distinct(), ["segment", "r"], "left_semi")
-        own = near.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.key")
-        terms = own.join(dead.select("segment", "key"), ["segment", "key"], "left_semi").groupBy("segment", "key").agg(F.collect_list("term").alias("terms"))
-        folder = f"{self.root}/gone/{uuid.uuid4().hex}"
-        out = dead.join(terms, ["segment", "key"], "left").select("segment", "key", "dl", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
-        out.write.parquet(folder)
-        return None if self.spark.read.parquet(folder).isEmpty() else folder
+        near = self._blocks(manifest).filter(F.col("bucket") != TEXTS).join(self._everywhere(manifest, self._bits(new)), ["segment", "r"])
+        lost = near.select("term", F.expr(f"size(filter(ords, o -> {_is_dead('o')}))").alias("lost"))
+        lost.filter("lost > 0").groupBy("term").agg(F.sum("lost").alias("lost")).write.parquet(f"{folder}/terms")
+        return folder
 
     def apply(self, docs: DataFrame, delete: DataFrame | None = None) -> int:
         """Adds docs (key, text) in the place of texts with the same keys, and removes the keys of delete, as one version. Nothing
         that is kept is written again: a batch costs its own texts and what it replaces. Of rows with one key the largest text
         counts; null keys are left out."""
-        own = docs.filter("key is not null").groupBy("key").agg(F.max("text").alias("text"))
-        segment = self._write(own.select("key", F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("dl")), counts(own))
+        own = docs.filter("key is not null").select("key", "text")
+        n, most = own.groupBy("key").count().agg(F.count(F.lit(1)), F.max("count")).first()
+        if n and most > 1:  # else texts need not meet
+            own = own.groupBy("key").agg(F.max("text").alias("text"))
+        segment = self._write(own, n)
         keys = own.select("key") if delete is None else own.select("key").unionByName(delete.select("key")).distinct()
         for _ in range(ATTEMPTS):
             base, manifest = self._head()
             gone = self._replaced(manifest, keys)
-            new = {"segments": manifest["segments"] | {segment["id"]: segment}, "gone": manifest["gone"] + ([gone] if gone else [])}
-            if done := self.catalog.publish(self.name, base, new | {"parts": {}}):
+            if done := self._publish(base, manifest["segments"] | {segment["id"]: segment}, manifest["gone"] + ([gone] if gone else [])):
                 return done
         raise RuntimeError(f"other writers replaced {self.name} {ATTEMPTS} times meanwhile")
 
     def merge(self) -> int:
-        """All live texts as one segment."""
+        """All live texts as one segment. Neighbouring ranges become one of about RANGE live texts, so that blocks move whole."""
         base, manifest = self._head()
-        if not any(s["n"] for s in manifest["segments"].values()):
+        held, gone = {s: x for s, x in manifest["segments"].items() if x["n"]}, self._gone(manifest)
+        if not held:
             return base
-        rows = self._blocks(manifest).select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*")
-        segment = self._write(self._live(self._docs(manifest), manifest), self._live(rows, manifest).select("key", "dl", "term", "tf"))
-        done = self.catalog.publish(self.name, base, {"segments": {segment["id"]: segment}, "gone": [], "parts": {}})
+        lost = dict(map(tuple, gone.groupBy("segment").count().collect())) if gone is not None else {}
+        live = {s: x["n"] - lost.get(s, 0) for s, x in held.items()}
+        if not any(live.values()):
+            segment = {"id": f"s{uuid.uuid4().hex}", "n": 0, "size": 0, "ranges": 1}
+        else:
+            upto, places = 0, []
+            for s, x in held.items():
+                places += [F.lit(s), F.struct(F.lit(float(upto)).alias("at"), F.lit(live[s] / x["ranges"]).alias("each"))]
+                upto += live[s]
+            place = F.create_map(*places)[F.col("segment")]
+            ranges = self._blocks(manifest, [TEXTS]).select("segment", "r", "n", F.floor((place["at"] + F.col("r") * place["each"]) / RANGE).alias("to"))
+            ranges = ranges.select("*", F.lit(None).cast("array<bigint>").alias("dead")) if gone is None else ranges.join(self._everywhere(manifest, self._bits(gone)), ["segment", "r"], "left")
+            # pre: the dead texts before each word of bits
+            ranges = ranges.select("segment", "r", "to", "n", F.coalesce("dead", F.array().cast("array<bigint>")).alias("dead"))
+            ranges = ranges.withColumn("pre", F.expr("transform(sequence(0, size(dead)), i -> aggregate(slice(dead, 1, i), 0, (a, x) -> a + bit_count(x)))"))
+            live_n = F.col("n") - F.element_at("pre", -1)
+            before = F.sum(live_n).over(Window.partitionBy("to").orderBy("segment", "r").rowsBetween(Window.unboundedPreceding, -1))
+            moves = ranges.select("segment", "r", "to", "dead", "pre", F.coalesce(before, F.lit(0)).cast("int").alias("base"))
+            blocks = self._blocks(manifest).select("segment", "bucket", "term", "r", "ords", "tfs", "dls", "keys").join(self._everywhere(manifest, moves), ["segment", "r"])
+            left = blocks.withColumn("at", F.expr(f"filter(sequence(0, size(ords) - 1), i -> not {_is_dead('ords[i]')})")).filter("size(at) > 0")
+            below = "coalesce(get(pre, shiftright(ords[i], 6)) + bit_count(coalesce(get(dead, shiftright(ords[i], 6)), 0L) & ~shiftleft(-1L, ords[i] & 63)), element_at(pre, -1))"
+            numbers = f"concat(transform(at, i -> base + ords[i] - {below}), transform(at, i -> tfs[i]), transform(at, i -> dls[i]))"
+            parts = left.select("bucket", "term", F.col("to").alias("r"), "base", F.expr(numbers).alias("x"), F.expr("if(keys is null, null, transform(at, i -> keys[i]))").alias("keys"))
+            by = parts.withColumn("slice", F.floor(F.col("r") / SLICE)).repartition("bucket", "slice").groupBy("bucket", "slice", "term", "r").agg(F.sort_array(F.collect_list(F.struct("base", "x", "keys"))).alias("p"))
+            third = lambda k: F.expr(f"flatten(transform(p, e -> slice(e.x, {k} * size(e.x) div 3 + 1, size(e.x) div 3)))")
+            whole = by.select("bucket", "term", "r", third(0).alias("ords"), third(1).alias("tfs"), third(2).alias("dls"), F.flatten("p.keys").alias("keys"))
+            segment = self._store(whole.select("bucket", "term", "r", F.size("ords").cast("long").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("dls").alias("min_dl"), "ords", "tfs", "dls", "keys"))
+        done = self._publish(base, {segment["id"]: segment}, [])
         if not done:
             raise RuntimeError(f"another writer changed {self.name} meanwhile")
         return done
@@ -132,8 +295,8 @@ class TextIndex:
     def vacuum(self) -> None:
         """Deletes what the last version does not hold. No reader or writer may be at work meanwhile."""
         fs, manifest = self.catalog._fs, self._head()[1]
-        held = {self._folder(what, s) for what in ("blocks", "docs") for s in manifest["segments"]} | set(manifest["gone"])
-        for what in ("blocks", "docs", "gone"):
+        held = {self._folder(s) for s in manifest["segments"]} | set(manifest["gone"])
+        for what in ("blocks", "gone"):
             folder = self.catalog._path(f"{self.root}/{what}")
             for f in fs.listStatus(folder) if fs.exists(folder) else []:
                 if f"{self.root}/{what}/{f.getPath().getName()}" not in held:
@@ -144,52 +307,61 @@ class TextIndex:
     def _weighted(self, manifest: dict, asked: DataFrame) -> tuple[DataFrame, DataFrame, float]:
         """The asked terms' blocks with (idf); the sums (q, segment, r, bound) of their bounds; and the average length."""
         terms = asked.select("term").distinct()
-        buckets = [r[0] for r in terms.select(_bucket(F.col("term"))).distinct().collect()]  # BUCKETS numbers at most
-        blocks = self._blocks(manifest, buckets).join(terms, "term", "left_semi")
+        numbers = terms.groupBy(_bucket(F.col("term")).alias("bucket")).count().collect()  # BUCKETS numbers at most
+        few = F.broadcast if sum(r[1] for r in numbers) <= R.QUERY_TERMS else lambda rows: rows
+        blocks = self._blocks(manifest, [r[0] for r in numbers]).drop("keys").join(few(terms), "term", "left_semi")
         df, gone = blocks.groupBy("term").agg(F.sum("n").alias("df")), self._gone(manifest)
         n, size = (sum(s[k] for s in manifest["segments"].values()) for k in ("n", "size"))
         if gone is not None:
-            lost = gone.select(F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
+            lost = self.spark.read.parquet(*[f"{g}/terms" for g in manifest["gone"]]).join(few(terms), "term", "left_semi").groupBy("term").agg(F.sum("lost").alias("lost"))
             df = df.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
             less = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
             n, size = n - less[0], size - less[1]
         avgdl = size / max(n, 1) or 1.0
-        idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        weighted = blocks.join(idf, "term")
+        idf = settled(df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
+        weighted = blocks.join(few(idf), "term")
         bounds = weighted.withColumn("bound", self._weight(F.col("idf"), F.col("max_tf"), F.col("min_dl"), avgdl)).select("term", "segment", "r", "bound")
-        return weighted, asked.join(bounds, "term").groupBy("q", "segment", "r").agg(F.sum("bound").alias("bound")), avgdl
+        return weighted, settled(asked.join(bounds, "term").groupBy("q", "segment", "r").agg(F.sum("bound").alias("bound"))), avgdl
 
     @staticmethod
     def _weight(idf: Column, tf: Column, dl: Column, avgdl: float) -> Column:
         return idf * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / F.lit(avgdl)))
 
     def _plan(self, questions: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-        """The texts' scores in the ranges to be read, those ranges (q, segment, r), and the asked blocks with their questions."""
+        """The best texts (q, segment, r, ord, score) of each range to be read, those ranges (q, segment, r), and the asked blocks with
+        their questions."""
         manifest = self._head()[1]
         if not any(s["n"] for s in manifest["segments"].values()):
             return None
         asked = R.query_terms(questions)
         weighted, ranges, avgdl = self._weighted(manifest, asked)
+        of, gone, q = asked.groupBy("q").agg(F.collect_list("term").alias("terms")), self._gone(manifest), questions.schema["q"].dataType
 
         def scores(chosen: DataFrame) -> DataFrame:
-            hit = chosen.select("q", "segment", "r").join(asked, "q").join(weighted, ["term", "segment", "r"])
-            each = hit.select("q", "segment", "idf", F.explode("postings").alias("p")).select("q", "segment", "idf", "p.*")
-            own = self._live(each, manifest).withColumn("w", self._weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl))
-            return own.groupBy("q", "key").agg(F.round(F.sum("w"), 6).alias("score"))
-
-        first = R.ranked(ranges, ["q"], [F.desc("bound"), F.asc("segment"), F.asc("r")], FIRST).drop("rank")
-        found = scores(first)
-        least = R.ranked(found, ["q"], [F.desc("score"), F.asc("key")], limit).filter(F.col("rank") == limit).select("q", F.col("score").alias("least"))
-        rest = ranges.join(first.select("q", "segment", "r"), ["q", "segment", "r"], "left_anti").join(least, "q", "left")
-        rest = rest.filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK).select("q", "segment", "r")
-        return found.unionByName(scores(rest)), first.select("q", "segment", "r").unionByName(rest), asked.join(weighted.select("term", "segment", "r", "n"), "term")
+            near = self._everywhere(manifest, chosen.select("segment", "r").distinct())
+            rows = chosen.join(of, "q").select("segment", "r", F.lit(0).alias("kind"), "q", "terms")
+            rows = rows.unionByName(weighted.join(near, ["segment", "r"], "left_semi").select("segment", "r", F.lit(1).alias("kind"), "term", "idf", "ords", "tfs", "dls"), allowMissingColumns=True)
+            if gone is not None:
+                dead = gone.join(near, ["segment", "r"], "left_semi").groupBy("segment", "r").agg(F.collect_list("ord").alias("ords"))
+                rows = rows.unionByName(dead.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+            return rows.groupBy("segment", "r").applyInArrow(_scored(avgdl, limit, to_arrow_type(q)), f"q {q.simpleString()}, segment string, r long, ord int, score double")
+
+        first = settled(R.ranked(ranges, ["q"], [F.desc("bound"), F.asc("segment"), F.asc("r")], FIRST).select("q", "segment", "r"))
+        found = settled(scores(first))
+        least = R.ranked(found, ["q"], [F.desc("score")], limit).filter(F.col("rank") == limit).select("q", F.col("score").alias("least"))
+        rest = ranges.join(first, ["q", "segment", "r"], "left_anti").join(least, "q", "left")
+        rest = settled(rest.filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK).select("q", "segment", "r"))
+        return found.unionByName(scores(rest)), first.unionByName(rest), asked.join(weighted.select("term", "segment", "r", "n"), "term")
 
     def search(self, questions: DataFrame, limit: int) -> DataFrame:
         """(q, key, score, rank): the rows of retrieval.bm25 over the live texts. Without texts there are none."""
         plan = self._plan(questions, limit)
         if plan is None:
             return questions.select("q", F.lit(None).cast("string").alias("key"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        return R.ranked(plan[0].repartition("q"), ["q"], [F.desc("score"), F.asc("key")], limit)
+        # ties end by keys, which only the best and those equal to them need
+        best = plan[0].withColumn("least", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("least") <= limit)
+        named = best.join(self._docs(self._head()[1]).drop("dl"), ["segment", "r", "ord"]).select("q", "key", "score")
+        return R.ranked(named, ["q"], [F.desc("score"), F.asc("key")], limit)
 
     def reads(self, questions: DataFrame, limit: int) -> DataFrame:
         """(q, blocks, postings, blocks_read, postings_read): what a question's terms have, and what search() reads of it."""
