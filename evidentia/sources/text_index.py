@@ -43,8 +43,8 @@ AT_ONCE = 1 << 28
 CELLS = 1 << 21
 #: The layout of the folders.
 LAYOUT = 3
-#: A pack, without the folder and range: blocks end where ends says, in numbers and frequencies of four bytes each.
-PACK = "terms array<string>, ends array<int>, max_tfs array<int>, min_dls array<int>, ords binary, tfs binary"
+#: A pack, without the folder and range: terms with blanks between them, whose blocks end where ends says, in numbers and frequencies of four bytes each.
+PACK = "terms string, ends array<int>, max_tfs array<int>, min_dls array<int>, ords binary, tfs binary"
 
 
 def _bucket(term: Column) -> Column:
@@ -53,7 +53,7 @@ def _bucket(term: Column) -> Column:
 
 def _blocks_of(packs: DataFrame) -> DataFrame:
     """The blocks (segment, term, r, n, max_tf, min_dl, ords, tfs) of packs."""
-    each = packs.select("segment", "r", "ends", "max_tfs", "min_dls", "ords", "tfs", F.posexplode("terms").alias("i", "term"))
+    each = packs.select("segment", "r", "ends", "max_tfs", "min_dls", "ords", "tfs", F.posexplode(F.split("terms", " ")).alias("i", "term"))
     each = each.withColumn("start", F.expr("if(i = 0, 0, get(ends, i - 1))")).withColumn("m", F.expr("get(ends, i) - start"))
     own = [F.expr(f"substring({c}, 4 * start + 1, 4 * m)").alias(c) for c in ("ords", "tfs")]
     return each.select("segment", "term", "r", F.col("m").cast("long").alias("n"), F.get("max_tfs", "i").alias("max_tf"), F.get("min_dls", "i").alias("min_dl"), *own)
@@ -81,6 +81,10 @@ def _in_bytes(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(values.astype("<i4"))])
 
 
+def _names(packs: pa.RecordBatch, k: int) -> pa.Array:
+    return pc.split_pattern(packs.column("terms").slice(k, 1), " ").flatten()
+
+
 def _dead_flags(words: pa.Scalar, n: int) -> np.ndarray:
     """Of the bits of dead as flags: those of the first n numbers."""
     flags, bits = np.zeros(n, bool), np.unpackbits(words.values.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8), bitorder="little")[:n]
@@ -95,7 +99,7 @@ def _packed(r: int, names: pa.Array, bucket: np.ndarray, low: np.ndarray, term:
     first = np.flatnonzero(np.diff(bucket, prepend=TEXTS))
     terms, posts = np.append(first, len(bucket)), np.append(begin[first], len(term))
     return {
-        "bucket": pa.array(bucket[first], pa.int32()), "r": pa.array(np.full(len(first), r), pa.int64()), "terms": pa.ListArray.from_arrays(pa.array(terms, pa.int32()), names),
+        "bucket": pa.array(bucket[first], pa.int32()), "r": pa.array(np.full(len(first), r), pa.int64()), "terms": pc.binary_join(pa.ListArray.from_arrays(pa.array(terms, pa.int32()), names), " "),
         "ends": _lists(terms, np.append(begin[1:], len(term)) - np.repeat(posts[:-1], np.diff(terms))), "max_tfs": _lists(terms, np.maximum.reduceat(tfs, begin)), "min_dls": _lists(terms, low),
         "ords": _in_bytes(posts, ords), "tfs": _in_bytes(posts, tfs),
     }
@@ -106,10 +110,10 @@ WORD = np.isin(np.arange(256), [*b"abcdefghijklmnopqrstuvwxyz0123456789"])
 
 
 def _words(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of lower-case texts, as functions.text.tokens cuts them, and the text of each."""
+    """The words of lower-case texts, as functions.text.tokens cuts them, and how many each text has."""
     at = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, 4 * low.offset)
     if at[-1] == at[0]:
-        return pa.array([], pa.string()), np.zeros(0, np.int64)
+        return pa.array([], pa.string()), np.zeros(len(low), np.int64)
     data = np.frombuffer(low.buffers()[2], np.uint8, at[-1] - at[0], at[0])
     inside = WORD[data]
     begins = inside.copy()
@@ -118,7 +122,7 @@ def _words(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins[heads] = inside[heads]  # a word ends with its text
     starts, kept = np.append(np.flatnonzero(begins[inside]), inside.sum()).astype(np.int32), data[inside]
     words = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(kept)])
-    return words, np.searchsorted(at - at[0], np.flatnonzero(begins), "right") - 1
+    return words, np.diff(np.searchsorted(np.flatnonzero(begins), at - at[0]))
 
 
 def _packs_of(key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -132,9 +136,9 @@ def _packs_of(key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Ite
             r = batch.column("r")[0].as_py() if len(batch) else r
             texts = batch.column("low").cast(pa.string())
             for a, end in R._pieces(texts, R.PIECE):
-                words, doc = _words(texts.slice(a, end - a))
-                own = words.dictionary_encode()
-                dls.append(np.bincount(doc, minlength=end - a))
+                words, dl = _words(texts.slice(a, end - a))
+                own, doc = words.dictionary_encode(), np.repeat(np.arange(end - a), dl)
+                dls.append(dl)
                 pair, tf = np.unique(own.indices.to_numpy().astype(np.int64) * (end - a) + doc, return_counts=True)
                 found.append(own.dictionary)
                 terms.append(pair // (end - a) + known)
@@ -145,12 +149,12 @@ def _packs_of(key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Ite
             return
         dl, empty = np.concatenate(dls), pa.nulls(1, pa.binary())
         lists = lambda x: pa.ListArray.from_arrays(pa.array([0, at], pa.int32()), x)
-        texts = {"bucket": pa.array([TEXTS], pa.int32()), "r": pa.array([r], pa.int64()), "terms": pa.array([[""]]), **dict.fromkeys(("ends", "max_tfs", "min_dls"), pa.nulls(1, pa.list_(pa.int32())))}
+        texts = {"bucket": pa.array([TEXTS], pa.int32()), "r": pa.array([r], pa.int64()), "terms": pa.array([""]), **dict.fromkeys(("ends", "max_tfs", "min_dls"), pa.nulls(1, pa.list_(pa.int32())))}
         yield pa.RecordBatch.from_pydict(texts | {"ords": empty, "tfs": empty, "dls": lists(pa.array(dl, pa.int32())), "keys": lists(pa.concat_arrays(keys).cast(key_type))})
         if not known:
             return
         names = pa.concat_arrays(found).dictionary_encode()
-        bucket = np.array([zlib.crc32(t.encode()) % BUCKETS for t in names.dictionary.to_pylist()], np.int64)
+        bucket = np.array([zlib.crc32(t.encode()) % BUCKETS for t in names.dictionary.to_numpy(zero_copy_only=False)], np.int64)
         by = np.argsort(bucket, kind="stable")
         place = np.empty_like(by)
         place[by] = np.arange(len(by))
@@ -172,7 +176,7 @@ def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = batch.column("ends")[k].values.to_numpy()
             lost = np.add.reduceat(_dead_flags(batch.column("dead")[k], int(ords.max()) + 1)[ords].astype(np.int64), np.append(0, ends[:-1]))
             some = np.flatnonzero(lost)
-            yield pa.RecordBatch.from_pydict({"term": batch.column("terms")[k].values.take(pa.array(some)), "lost": pa.array(lost[some], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"term": _names(batch, k).take(pa.array(some)), "lost": pa.array(lost[some], pa.int64())})
 
 
 def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,7 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def live(batch: pa.RecordBatch, k: int) -> tuple:
         ords, tfs = (_numbers(batch.column(c).slice(k, 1))[0] for c in ("ords", "tfs"))
-        names, ends, low = (batch.column(c)[k].values for c in ("terms", "ends", "min_dls"))
+        names, ends, low = _names(batch, k), *(batch.column(c)[k].values for c in ("ends", "min_dls"))
         alive = ~_dead_flags(batch.column("dead")[k], int(ords.max()) + 1)
         term, left = np.repeat(np.arange(len(names)), np.diff(ends.to_numpy(), prepend=0)), alive[ords]
         return names, low.to_numpy(), term[left], batch.column("base")[k].as_py() + np.cumsum(alive)[ords[left]] - 1, tfs[left]
@@ -301,10 +305,9 @@ class TextIndex:
     # ---- writing
 
     def _store(self, rows: DataFrame) -> dict:
-        """A segment of packs and rows of the empty term; they are dealt by the folder that they go to."""
+        """A segment of packs and rows of the empty term; they come dealt by the folder that they go to."""
         segment = f"s{uuid.uuid4().hex}"
-        dealt = rows.repartition("bucket", F.floor(F.col("r") / SLICE))
-        dealt.sortWithinPartitions("bucket", "r").write.partitionBy("bucket").parquet(self._folder(segment))
+        rows.sortWithinPartitions("bucket", "r").write.partitionBy("bucket").parquet(self._folder(segment))
         texts = self._blocks({"segments": {segment: {"n": 1}}}, [TEXTS])
         n, size = texts.agg(F.sum("n"), F.sum(F.expr("aggregate(dls, 0L, (a, x) -> a + x)"))).first()
         return {"id": segment, "n": n, "size": size, "ranges": max(1, -(-n // RANGE))}
@@ -317,7 +320,8 @@ class TextIndex:
         key = docs.schema["key"].dataType
         # in the order of keys, so that a task that is run again gives the same numbers
         kind = f"bucket int, r long, {PACK}, dls array<int>, keys array<{key.simpleString()}>"
-        return self._store(rows.repartition("r").sortWithinPartitions("r", "key").groupBy("r").applyInArrow(_packs_of(to_arrow_type(key)), kind))
+        made = rows.repartition("r").sortWithinPartitions("r", "key").groupBy("r").applyInArrow(_packs_of(to_arrow_type(key)), kind)
+        return self._store(made.repartition("bucket", F.floor(F.col("r") / SLICE)))
 
     def _replaced(self, manifest: dict, keys: DataFrame) -> str | None:
         """The folder of the texts (segment, r, ord, dl) that keys replace and of the numbers (term, lost) that their terms lose; null
@@ -375,11 +379,11 @@ class TextIndex:
             texts = self._blocks(manifest, [TEXTS]).select("segment", "r", "dls", "keys").join(moves, ["segment", "r"])
             left = texts.withColumn("at", F.expr(f"filter(sequence(0, size(dls) - 1), i -> not {_is_dead('i')})")).filter("size(at) > 0")
             parts = left.select("to", F.struct("base", F.expr("transform(at, i -> dls[i])").alias("dls"), F.expr("transform(at, i -> keys[i])").alias("keys")).alias("p"))
-            whole = parts.groupBy("to").agg(F.sort_array(F.collect_list("p")).alias("p")).select(F.lit(TEXTS).alias("bucket"), F.col("to").alias("r"), F.array(F.lit("")).alias("terms"), F.flatten("p.dls").alias("dls"), F.flatten("p.keys").alias("keys"))
+            whole = parts.groupBy("to").agg(F.sort_array(F.collect_list("p")).alias("p")).select(F.lit(TEXTS).alias("bucket"), F.col("to").alias("r"), F.lit("").alias("terms"), F.flatten("p.dls").alias("dls"), F.flatten("p.keys").alias("keys"))
             packs = self._packs(manifest).drop("max_tfs").join(moves, ["segment", "r"])
             near = packs.repartition("bucket", F.floor(F.col("to") / SLICE)).sortWithinPartitions("bucket", "to", "base")
             moved = near.select("bucket", "to", "base", "dead", "terms", "ends", "min_dls", "ords", "tfs").mapInArrow(_moved, f"bucket int, r long, {PACK}")
-            segment = self._store(moved.unionByName(whole, allowMissingColumns=True))
+            segment = self._store(moved.unionByName(whole.repartition(F.floor(F.col("r") / SLICE)), allowMissingColumns=True))
         done = self._publish(base, {segment["id"]: segment}, [])
         if not done:
             raise RuntimeError(f"another writer changed {self.name} meanwhile")
